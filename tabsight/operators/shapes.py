@@ -127,4 +127,4 @@ def raw_sample(df: DataFrame, cols: list[str], order_by: list[str], n: int = RAW
     """
     if where is not None:
         df = df.where(where)
-    return df.select(*[_q(c) for c in cols]).orderBy(*[_q(c) for c in order_by]).limit(n)
+    return df.orderBy(*[_q(c) for c in order_by]).select(*[_q(c) for c in cols]).limit(n)

@@ -477,3 +477,8 @@ def q_distribution_sample(spark, sf_dir):
     return sh.raw_sample(load(spark, sf_dir, "lineitem"),
                          ["l_returnflag", "l_extendedprice"] + fx.LINEITEM_KEY, fx.LINEITEM_KEY, 500,
                          where=F.col("l_discount") < 0.05)
+
+
+# Later groups register themselves on import.
+from tabsight.plans import catalog_context  # noqa: E402,F401
+from tabsight.plans import catalog_ledger  # noqa: E402,F401
