@@ -41,8 +41,21 @@ DEFAULT_DATE_FORMATS = (
     "MM/dd/yyyy",
     "dd-MMM-yyyy",
 )
+# Cheap shape checks run before a parse, so that values which cannot match a
+# format never reach the (exception-driven) parser.
+DATE_SHAPES = {
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$",
+    "yyyy-MM-dd HH:mm": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}$",
+    "yyyy-MM-dd": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
+    "yyyy/MM/dd": r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$",
+    "MM/dd/yyyy HH:mm:ss": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$",
+    "MM/dd/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
+    "dd-MMM-yyyy": r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$",
+}
 BOOL_TOKENS = ("true", "false")
 INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER_PATTERN = r"^\s*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -117,39 +130,57 @@ def infer_types(df: DataFrame, date_formats=DEFAULT_DATE_FORMATS, stats: dict |
         return df
     if stats is None:
         stats = wide_agg(df, _inference_exprs(df, str_cols, date_formats))
+    casts, _ = _casts(str_cols, stats, date_formats)
+    return df.select(*[(casts[c].alias(c) if c in casts else _q(c)) for c in df.columns])
+
+
+def _number(col):
+    return F.when(col.rlike(NUMBER_PATTERN), col.try_cast("double"))
+
+
+def _timestamp(col, fmt):
+    shape = DATE_SHAPES.get(fmt)
+    parsed = F.try_to_timestamp(col, F.lit(fmt))
+    return F.when(col.rlike(shape), parsed) if shape else parsed
+
+
+def _inference_exprs(df, str_cols, date_formats, rows_expr=None):
+    exprs = [(rows_expr if rows_expr is not None else F.count(F.lit(1))).alias("__rows")]
+    for i, c in enumerate(str_cols):
+        col = _q(c)
+        num = _number(col)
+        exprs += [
+            F.count(col).alias(f"nn{i}"),
+            F.count_if(col.rlike(INTEGER_PATTERN)).alias(f"nl{i}"),
+            F.count(num).alias(f"nd{i}"),
+            F.count_if(F.lower(col).isin(*BOOL_TOKENS)).alias(f"nb{i}"),
+            F.min(num).alias(f"smn{i}"), F.max(num).alias(f"smx{i}"),
+            F.count_if(F.lower(col) == "true").alias(f"nbt{i}"),
+        ]
+        exprs += [F.count(_timestamp(col, fmt)).alias(f"nt{i}_{j}") for j, fmt in enumerate(date_formats)]
+    return exprs
+
+
+def _casts(str_cols, stats, date_formats):
+    """Decide each text column's type from the inference counts."""
     n_rows = stats["__rows"]
-    casts = {}
+    casts, kinds = {}, {}
     for i, c in enumerate(str_cols):
         nn = stats[f"nn{i}"]
         if nn == 0:
             continue
         if stats[f"nl{i}"] == nn and nn == n_rows:
-            casts[c] = _q(c).try_cast("bigint")
+            casts[c], kinds[c] = _q(c).try_cast("bigint"), "bigint"
         elif stats[f"nd{i}"] == nn:
-            casts[c] = _q(c).try_cast("double")
+            casts[c], kinds[c] = _number(_q(c)), "double"
         elif stats[f"nb{i}"] == nn and nn == n_rows:
-            casts[c] = F.lower(_q(c)) == F.lit("true")
+            casts[c], kinds[c] = F.lower(_q(c)) == F.lit("true"), "boolean"
         else:
             for j, fmt in enumerate(date_formats):
                 if stats[f"nt{i}_{j}"] == nn:
-                    casts[c] = F.try_to_timestamp(_q(c), F.lit(fmt))
+                    casts[c], kinds[c] = _timestamp(_q(c), fmt), "timestamp"
                     break
-    return df.select(*[(casts[c].alias(c) if c in casts else _q(c)) for c in df.columns])
-
-
-def _inference_exprs(df, str_cols, date_formats):
-    exprs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(str_cols):
-        col = _q(c)
-        exprs += [
-            F.count(col).alias(f"nn{i}"),
-            F.count_if(col.rlike(INTEGER_PATTERN)).alias(f"nl{i}"),
-            F.count(col.try_cast("double")).alias(f"nd{i}"),
-            F.count_if(F.lower(col).isin(*BOOL_TOKENS)).alias(f"nb{i}"),
-        ]
-        exprs += [F.count(F.try_to_timestamp(col, F.lit(fmt))).alias(f"nt{i}_{j}")
-                  for j, fmt in enumerate(date_formats)]
-    return exprs
+    return casts, kinds
 
 
 def column_kind(dt) -> str:
@@ -170,80 +201,95 @@ class Profile:
 
 def profile(df: DataFrame, exact_median: bool = True, date_formats=DEFAULT_DATE_FORMATS,
             categorical_max: int = CATEGORICAL_MAX_DISTINCT) -> Profile:
-    """P1-P13 as three passes; returns the cleaned frame, the ontology and a summary row."""
+    """P1-P13 in at most four passes over the data.
+
+    1. one wide aggregate: row counts, non-null counts, numeric min/max and
+       the type-inference counts of every text column;
+    2. (only if some numeric column has gaps) the exact-median job;
+    3. one unpivot + ``groupBy(column, value)`` for text distinct counts.
+    """
     spark = df.sparkSession
-    cols_in = len(df.columns)
-
-    # Pass 1: one wide aggregate over the raw frame.
-    base = [F.count(F.lit(1)).alias("__rows_in")]
-    base += [F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    first = wide_agg(df, base)
-    keep = [c for i, c in enumerate(df.columns) if first[f"c{i}"] > 0]
-    df = df.select(*[_q(c) for c in keep]).dropna(how="all")           # P1, P2
-    df = clean_names(df)                                                # P3
-    df = infer_types(df, date_formats)                                  # P4, P5
-
-    fields = df.schema.fields
-    num_cols = [f.name for f in fields if column_kind(f.dataType) == "numeric"]
-    dt_cols = [f.name for f in fields if column_kind(f.dataType) == "datetime"]
-    txt_cols = [f.name for f in fields if column_kind(f.dataType) == "other"]
-
-    stats_exprs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(num_cols):
+    cols = df.columns
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    str_cols = [c for c in cols if _is_string(fields[c])]
+    num_raw = [c for c in cols if column_kind(fields[c]) == "numeric"]
+    any_value = F.lit(False)
+    for c in cols:
+        any_value = any_value | _q(c).isNotNull()
+
+    exprs = [F.count(F.lit(1)).alias("__rows_in")]
+    exprs += [F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(cols)]
+    for i, c in enumerate(num_raw):
         v = _q(c).cast("double")
-        stats_exprs += [F.count(_q(c)).alias(f"nn{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
-    for i, c in enumerate(txt_cols):
-        stats_exprs.append(F.count(_q(c)).alias(f"tn{i}"))
-    stats = wide_agg(df, stats_exprs)
+        exprs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
+    exprs += _inference_exprs(df, str_cols, date_formats, rows_expr=F.count_if(any_value))
+    stats = wide_agg(df, exprs)
     rows = stats["__rows"]
+    nonnull = {c: stats[f"c{i}"] for i, c in enumerate(cols)}
 
-    # Pass 2: medians of numeric columns that need filling (exact, bounded memory).
-    need = [c for i, c in enumerate(num_cols) if stats[f"nn{i}"] < rows
-            and not isinstance(df.schema[c].dataType, T.BooleanType)]
+    keep = [c for c in cols if nonnull[c] > 0]                              # P1
+    kept_str = [c for c in str_cols if c in keep]
+    casts, kinds = _casts(str_cols, stats, date_formats)                    # P4, P5
+    minmax = {c: (stats[f"mn{i}"], stats[f"mx{i}"]) for i, c in enumerate(num_raw)}
+    for i, c in enumerate(str_cols):
+        if kinds.get(c) in ("bigint", "double"):
+            minmax[c] = (stats[f"smn{i}"], stats[f"smx{i}"])
+        elif kinds.get(c) == "boolean":
+            t = stats[f"nbt{i}"]
+            minmax[c] = (0.0 if t < nonnull[c] else 1.0, 1.0 if t > 0 else 0.0)
+
+    typed = df.select(*[(casts[c].alias(c) if c in casts else _q(c)) for c in keep]).dropna(how="all")   # P2
+    names = clean_names(typed).columns                                      # P3
+    rename = dict(zip(keep, names))
+    typed = typed.toDF(*names)
+    tfields = {f.name: f.dataType for f in typed.schema.fields}
+    kind = {c: column_kind(tfields[rename[c]]) for c in keep}
+    num_cols = [c for c in keep if kind[c] == "numeric"]
+    txt_cols = [c for c in keep if kind[c] == "other"]
+
+    # Pass 2: medians of numeric columns with gaps (exact, bounded memory).
+    need = [c for c in num_cols if nonnull[c] < rows and not isinstance(tfields[rename[c]], T.BooleanType)]
     medians = {}
     if need:
+        nn = [rename[c] for c in need]
         if exact_median:
-            med = column_quantiles(df, need, [0.5], names=["median"]).collect()
+            med = column_quantiles(typed, nn, [0.5], names=["median"]).collect()
         else:
-            med = df.unpivot([], need, "column", "v").groupBy("column").agg(
+            med = typed.unpivot([], nn, "column", "v").groupBy("column").agg(
                 F.percentile_approx(F.col("v").cast("double"), 0.5, 10000).alias("median")).collect()
         medians = {r["column"]: r["median"] for r in med}
 
     out = []
-    for f in fields:
-        c = f.name
-        if c in medians:
-            # Integers with gaps become double, as in pandas.
-            target = T.DoubleType() if isinstance(f.dataType, INTEGRAL_TYPES) else f.dataType
-            out.append(F.coalesce(_q(c).cast(target), F.lit(medians[c]).cast(target)).alias(c))
+    for c in keep:
+        n, dt = rename[c], tfields[rename[c]]
+        if n in medians:
+            target = T.DoubleType() if isinstance(dt, INTEGRAL_TYPES) else dt    # integers with gaps -> double
+            out.append(F.coalesce(_q(n).cast(target), F.lit(medians[n]).cast(target)).alias(n))
         elif c in txt_cols:
-            out.append(strip_ws(F.coalesce(_q(c).cast("string"), F.lit(UNKNOWN))).alias(c))   # P9
+            out.append(strip_ws(F.coalesce(_q(n).cast("string"), F.lit(UNKNOWN))).alias(n))   # P9
         else:
-            out.append(_q(c))
-    clean = df.select(*out)
+            out.append(_q(n))
+    clean = typed.select(*out)
 
-    # Pass 3: distinct values of every text column in one shuffle.
     onto_rows = []
-    for pos, f in enumerate(fields):
-        c = f.name
-        if c in num_cols:
-            i = num_cols.index(c)
-            mn, mx = stats[f"mn{i}"], stats[f"mx{i}"]
-            onto_rows.append((c, pos, "numeric", None if mn is None else float(mn),
+    for pos, c in enumerate(keep):
+        if kind[c] == "numeric":
+            mn, mx = minmax.get(c, (None, None))
+            onto_rows.append((rename[c], pos, "numeric", None if mn is None else float(mn),
                               None if mx is None else float(mx), None, None))
-        elif c in dt_cols:
-            onto_rows.append((c, pos, "datetime", None, None, None, None))
+        elif kind[c] == "datetime":
+            onto_rows.append((rename[c], pos, "datetime", None, None, None, None))
     onto = spark.createDataFrame(onto_rows, ONTOLOGY_SCHEMA)
     onto = onto.select("column", "position", "type", F.round("min", 2).alias("min"),
                        F.round("max", 2).alias("max"), "allowed_values", "distinct_count")   # P7
     if txt_cols:
-        onto = onto.unionByName(text_ontology(clean, txt_cols, [f.name for f in fields], categorical_max))
+        onto = onto.unionByName(text_ontology(clean, [rename[c] for c in txt_cols], names, categorical_max))
 
-    filled_num = sum(rows - stats[f"nn{num_cols.index(c)}"] for c in medians)
-    filled_txt = sum(rows - stats[f"tn{i}"] for i in range(len(txt_cols)))
+    filled_num = sum(rows - nonnull[c] for c in need)
+    filled_txt = sum(rows - nonnull[c] for c in txt_cols)
     summary = spark.createDataFrame(
-        [(cols_in, len(fields), int(first["__rows_in"]), int(rows), int(filled_num), int(filled_txt),
-          f"Ontology Map Generated. Sanitized {len(fields)} columns.")],
+        [(len(cols), len(keep), int(stats["__rows_in"]), int(rows), int(filled_num), int(filled_txt),
+          f"Ontology Map Generated. Sanitized {len(keep)} columns.")],
         "columns_in int, columns_out int, rows_in long, rows_out long, "
         "numeric_filled long, text_filled long, message string")
     return Profile(clean, onto, summary, medians)

@@ -111,7 +111,7 @@ def route_charts(points: DataFrame, facts: ResultFacts) -> DataFrame:
     q = F.when(F.coalesce(rows_m[pid], F.lit(0)) > 0, pid).otherwise(fallback)
     cols = cols_m[q]
     rx, ry = F.trim(F.coalesce("x_col", F.lit(""))), F.trim(F.coalesce("y_col", F.lit("")))
-    rc = F.trim(F.coalesce("color_col", F.lit("")))
+    rc = F.trim(F.coalesce("color_col", F.lit(""))) if "color_col" in points.columns else F.lit("")
     x = F.when(F.array_contains(cols, rx), rx).otherwise(F.get(cols, 0))
     y = F.when(F.array_contains(cols, ry), ry).otherwise(F.coalesce(F.get(cols, 1), F.get(cols, 0)))
 

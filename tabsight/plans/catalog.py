@@ -483,3 +483,4 @@ def q_distribution_sample(spark, sf_dir):
 from tabsight.plans import catalog_context  # noqa: E402,F401
 from tabsight.plans import catalog_ledger  # noqa: E402,F401
 from tabsight.plans import catalog_plans  # noqa: E402,F401
+from tabsight.plans import catalog_stream  # noqa: E402,F401

@@ -36,15 +36,41 @@ def split_statements(sql: str, max_statements: int = MAX_STATEMENTS) -> list[str
     return [s.strip() for s in sql.split(";") if s.strip()][:max_statements]
 
 
+# Session settings under which script text is parsed: SQLite reads "x" as an
+# identifier, and Spark does so too with ANSI double-quoted identifiers.
+SCRIPT_CONF = {"spark.sql.ansi.enabled": "true", "spark.sql.ansi.doubleQuotedIdentifiers": "true"}
+
+
+def sqlite_like(stmt: str) -> str:
+    """SQLite's LIKE ignores ASCII case; Spark's ILIKE is the same operator."""
+    return re.sub(r"(?i)(?<![\w])LIKE(?![\w])", "ILIKE", stmt)
+
+
 def run_script(spark: SparkSession, sql: str, max_statements: int = MAX_STATEMENTS,
-               execute: bool = True) -> dict[str, DataFrame]:
-    """Run statements in order as ``Query_1..n``; the first error aborts (raises)."""
+               execute: bool = True, sqlite_compat: bool = True) -> dict[str, DataFrame]:
+    """Run statements in order as ``Query_1..n``; the first error aborts (raises).
+
+    With ``sqlite_compat`` statements are parsed with double-quoted
+    identifiers and case-insensitive LIKE, so SQLite-style text means what it
+    meant there instead of silently comparing string literals.
+    """
     out = {}
-    for i, stmt in enumerate(split_statements(sql, max_statements)):
-        df = spark.sql(stmt)
-        if execute:
-            df = materialize(df)
-        out[f"Query_{i + 1}"] = df
+    saved = {k: spark.conf.get(k, None) for k in SCRIPT_CONF} if sqlite_compat else {}
+    try:
+        if sqlite_compat:
+            for k, v in SCRIPT_CONF.items():
+                spark.conf.set(k, v)
+        for i, stmt in enumerate(split_statements(sql, max_statements)):
+            df = spark.sql(sqlite_like(stmt) if sqlite_compat else stmt)
+            if execute:
+                df = materialize(df)
+            out[f"Query_{i + 1}"] = df
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     return out
 
 
