@@ -65,24 +65,31 @@ def _corr_pair(a: Column, b: Column, complete: bool) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def corr_matrix(df: DataFrame, cols: list[str], round_to: int = 2, fill: float | None = None) -> DataFrame:
+def corr_matrix(df: DataFrame, cols: list[str], round_to: int = 2, fill: float | None = None,
+                complete: bool | None = None) -> DataFrame:
     """Pearson correlation of every pair, pairwise-complete, long form.
 
-    One wide aggregate (chunked) of ``covar_pop`` / ``stddev_pop`` per pair:
-    these are mergeable, numerically stable partial aggregates, so no row
-    leaves its partition. ``try_divide`` gives NULL on a constant column
-    where Spark 4's ``corr`` would raise; ``fill`` (A7: 0) replaces it.
+    One wide aggregate (chunked) of ``covar_pop`` per pair and ``stddev_pop``
+    per column: mergeable, numerically stable partial aggregates, so no row
+    leaves its partition. With gaps (``complete`` false, checked by a count
+    pass when not given) each pair masks rows where its partner is missing.
+    A constant column gives NULL where Spark 4's ``corr`` would raise under
+    ANSI; ``fill`` (A7: 0) replaces it.
     """
     spark = df.sparkSession
-    counts = wide_agg(df, [F.count(F.lit(1)).alias("__n")] + [F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(cols)])
-    complete = all(counts[f"n{i}"] == counts["__n"] for i in range(len(cols)))
-    exprs = []
+    if complete is None:
+        counts = wide_agg(df, [F.count(F.lit(1)).alias("__n")] + [F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(cols)])
+        complete = all(counts[f"n{i}"] == counts["__n"] for i in range(len(cols)))
+    exprs = [F.stddev_pop(_q(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
     for i, j in combinations(range(len(cols)), 2):
         a, b = _q(cols[i]).cast("double"), _q(cols[j]).cast("double")
-        exprs.append(_corr_pair(a, b, complete).alias(f"p{i}_{j}"))
-    for i, c in enumerate(cols):
-        exprs.append(F.stddev_pop(_q(c).cast("double")).alias(f"s{i}"))
+        # Without gaps the per-column deviations serve every pair: one covariance per pair.
+        exprs.append((F.covar_pop(a, b) if complete else _corr_pair(a, b, False)).alias(f"p{i}_{j}"))
     vals = wide_agg(df, exprs)
+    if complete:
+        for i, j in combinations(range(len(cols)), 2):
+            si, sj, cv = vals[f"s{i}"], vals[f"s{j}"], vals[f"p{i}_{j}"]
+            vals[f"p{i}_{j}"] = cv / (si * sj) if (cv is not None and si and sj) else None
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):

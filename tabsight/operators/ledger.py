@@ -238,18 +238,25 @@ def poll_deadline(starts: DataFrame, finishes: DataFrame, seconds: int = POLL_DE
                   key: str = "user_id", ts: str = "ts", id_col: str = "event_id") -> DataFrame:
     """First finish in ``(start, start + seconds]`` per start, else ``ERR_TIMEOUT``.
 
-    An as-of join without pairs: starts and finishes are one sorted stream per
-    key, read newest to oldest; a running ``last(finish_ts, ignorenulls)``
-    over the rows before the current one is the earliest later finish. The
-    frame is running (never buffered whole) and no key emits a cross product.
+    An as-of join without pairs. Time is cut into buckets of the deadline's
+    length; a start in bucket ``b`` can only be answered by a finish in ``b``
+    or ``b + 1``, so each finish is also copied into the bucket before its
+    own. Within a (key, bucket) partition, starts and finishes form one
+    stream read newest to oldest, and a running ``last(finish, ignorenulls)``
+    over the earlier rows is the earliest later finish. A key holding a third
+    of all rows is thus split over its time buckets, the frame is running
+    (never buffered whole) and no key emits a cross product.
     """
-    s = starts.select(key, F.col(ts).alias("__t"), F.col(id_col).alias("start_id"), F.lit(None).cast("timestamp").alias("__f"),
-                      F.lit(1).alias("__kind"))
+    bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+    s = starts.select(key, F.col(ts).alias("__t"), F.col(id_col).alias("start_id"),
+                      F.lit(None).cast("timestamp").alias("__f"), F.lit(1).alias("__kind"), bucket.alias("__b"))
     f = finishes.select(key, F.col(ts).alias("__t"), F.lit(None).cast(starts.schema[id_col].dataType).alias("start_id"),
-                        F.col(ts).cast("timestamp").alias("__f"), F.lit(0).alias("__kind"))
+                        F.col(ts).cast("timestamp").alias("__f"), F.lit(0).alias("__kind"),
+                        F.explode(F.array(bucket, bucket - 1)).alias("__b"))
     # Newest first; at equal times starts come before finishes, so a finish at
     # the very same instant is not "after" the start.
-    w = Window.partitionBy(key).orderBy(F.col("__t").desc(), F.col("__kind").desc(), F.col("start_id").desc_nulls_last()) \
+    w = Window.partitionBy(key, "__b").orderBy(F.col("__t").desc(), F.col("__kind").desc(),
+                                               F.col("start_id").desc_nulls_last()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     nxt = s.unionByName(f).withColumn("next_finish", F.last("__f", ignorenulls=True).over(w))
     out = nxt.where(F.col("__kind") == 1)
