@@ -28,6 +28,10 @@ from tabsight.functions.text import strip_ws
 # label for missing text.
 CATEGORICAL_MAX_DISTINCT = 20
 UNKNOWN = "Unknown"
+# HLL relative error for the distinct-count gate; columns estimated above
+# EXACT_DISTINCT_GATE x the categorical limit skip the exact distinct job.
+APPROX_RSD = 0.02
+EXACT_DISTINCT_GATE = 3
 
 # Datetime formats tried in order; a column is promoted only if every value
 # parses with one of them (all-or-nothing).
@@ -223,6 +227,10 @@ def profile(df: DataFrame, exact_median: bool = True, date_formats=DEFAULT_DATE_
         v = _q(c).cast("double")
         exprs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
     exprs += _inference_exprs(df, str_cols, date_formats, rows_expr=F.count_if(any_value))
+    # HLL estimate of each text column's distinct count after fill and strip:
+    # only columns that could be categorical get an exact distinct job.
+    exprs += [F.approx_count_distinct(strip_ws(F.coalesce(_q(c), F.lit(UNKNOWN))), APPROX_RSD).alias(f"ad{i}")
+              for i, c in enumerate(str_cols)]
     stats = wide_agg(df, exprs)
     rows = stats["__rows"]
     nonnull = {c: stats[f"c{i}"] for i, c in enumerate(cols)}
@@ -283,7 +291,10 @@ def profile(df: DataFrame, exact_median: bool = True, date_formats=DEFAULT_DATE_
     onto = onto.select("column", "position", "type", F.round("min", 2).alias("min"),
                        F.round("max", 2).alias("max"), "allowed_values", "distinct_count")   # P7
     if txt_cols:
-        onto = onto.unionByName(text_ontology(clean, [rename[c] for c in txt_cols], names, categorical_max))
+        approx = {rename[c]: stats[f"ad{str_cols.index(c)}"] for c in txt_cols if c in str_cols}
+        exact = [rename[c] for c in txt_cols if approx.get(rename[c], 0) <= EXACT_DISTINCT_GATE * categorical_max]
+        wide = {c: n for c, n in approx.items() if c not in exact}
+        onto = onto.unionByName(text_ontology(clean, exact, names, categorical_max, wide))
 
     filled_num = sum(rows - nonnull[c] for c in need)
     filled_txt = sum(rows - nonnull[c] for c in txt_cols)
@@ -296,14 +307,20 @@ def profile(df: DataFrame, exact_median: bool = True, date_formats=DEFAULT_DATE_
 
 
 def text_ontology(clean: DataFrame, txt_cols: list[str], all_cols: list[str],
-                  categorical_max: int = CATEGORICAL_MAX_DISTINCT) -> DataFrame:
+                  categorical_max: int = CATEGORICAL_MAX_DISTINCT, wide: dict | None = None) -> DataFrame:
     """Distinct count per text column; allowed values when <= ``categorical_max``.
 
     One unpivot + ``groupBy(column, value)`` (map-side combine collapses hot
     values), then per column a count; value lists are gathered only for
     columns already known to be small, so no list exceeds ``categorical_max``.
+    Columns in ``wide`` (an HLL estimate far above the threshold) are typed
+    ``text`` with the estimate as their count and never shuffled value by value.
     """
     spark = clean.sparkSession
+    wide_rows = spark.createDataFrame(
+        [(c, all_cols.index(c), "text", None, None, None, int(n)) for c, n in (wide or {}).items()], ONTOLOGY_SCHEMA)
+    if not txt_cols:
+        return wide_rows
     pos = spark.createDataFrame([(c, all_cols.index(c)) for c in txt_cols], "column string, position int")
     pairs = (clean.select(*[_q(c) for c in txt_cols])
              .unpivot([], txt_cols, "column", "value")
@@ -317,7 +334,8 @@ def text_ontology(clean: DataFrame, txt_cols: list[str], all_cols: list[str],
             .select("column", "position",
                     F.when(F.col("distinct_count") <= categorical_max, "categorical").otherwise("text").alias("type"),
                     F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"),
-                    "allowed_values", F.col("distinct_count").cast("long").alias("distinct_count")))
+                    "allowed_values", F.col("distinct_count").cast("long").alias("distinct_count"))
+            .unionByName(wide_rows))
 
 
 def impute_median(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:

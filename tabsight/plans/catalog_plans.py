@@ -138,7 +138,60 @@ def q_route_points(spark, sf_dir):
                     F.when(F.col("violation").isNull(), F.coalesce("analysis_title", F.lit(""))).alias("analysis_title")))
 
 
-@register("chart_routes")
+PLAN_COLUMNS = {
+    "Query_1": ["l_returnflag", "avg_l_extendedprice", "row_count"],
+    "Query_2": ["l_returnflag", "l_quantity_tier", "avg_l_extendedprice"],
+    "Query_3": ["l_returnflag", "l_extendedprice", "l_quantity_tier"],
+    "Query_4": ["l_returnflag", "avg_l_extendedprice", "row_count"],
+}
+
+
+def _chart_routes_sql() -> str:
+    src = {"Query_1": "q1", "Query_2": "q2", "Query_3": "q3", "Query_4": "(SELECT * FROM q1 WHERE row_count < 0)"}
+    num = lambda c: f"try_cast({c} AS DOUBLE)"
+    fc, fxy, meta = [], [], []
+    for q, cols in PLAN_COLUMNS.items():
+        for c in cols:
+            fc.append(f"SELECT '{q}' AS q, '{c}' AS col, count({num(c)}) AS nn, "
+                      f"coalesce(sum(abs(coalesce({num(c)}, 0))), 0) AS ab FROM {src[q]} t")
+            for d in cols:
+                fxy.append(f"SELECT '{q}' AS q, '{c}' AS x, '{d}' AS y, "
+                           f"count_if({num(c)} IS NOT NULL AND {num(d)} IS NOT NULL) AS n FROM {src[q]} t")
+        lst = "[" + ", ".join(f"'{c}'" for c in cols) + "]"
+        meta.append(f"SELECT '{q}' AS q, {lst} AS cols, (SELECT count(*) FROM {src[q]} t) AS nrows, "
+                    f"(SELECT count(*) > 0 AND count(DISTINCT {cols[0]}) <= 8 AND count(DISTINCT {cols[1]}) <= 8 "
+                    f"FROM (SELECT * FROM {src[q]} t LIMIT 300)) AS pivot_ok")
+    return f"""WITH {PLAN_SQL},
+fc AS ({' UNION ALL '.join(fc)}),
+fxy AS ({' UNION ALL '.join(fxy)}),
+meta AS ({' UNION ALL '.join(meta)}),
+pts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, point_id ORDER BY pos) AS rn FROM {POINTS_SQL} x) WHERE rn = 1),
+r1 AS (SELECT p.*, lower(trim(coalesce(p.chart_type, 'bar'))) AS c,
+              CASE WHEN coalesce(m.nrows, 0) > 0 THEN p.point_id ELSE 'Query_1' END AS data_query,
+              coalesce(m.pivot_ok, false) AS pivot_ok
+       FROM pts p LEFT JOIN meta m ON m.q = p.point_id),
+r2 AS (SELECT r1.*, m.cols,
+              CASE WHEN list_contains(m.cols, trim(coalesce(x_col, ''))) THEN trim(coalesce(x_col, '')) ELSE m.cols[1] END AS x,
+              CASE WHEN list_contains(m.cols, trim(coalesce(y_col, ''))) THEN trim(coalesce(y_col, ''))
+                   ELSE coalesce(m.cols[2], m.cols[1]) END AS y
+       FROM r1 JOIN meta m ON m.q = r1.data_query),
+r3 AS (SELECT r2.*, coalesce(a.nn, 0) AS nn_y, coalesce(a.ab, 0) AS ab_y, coalesce(b.n, 0) AS n_xy,
+              r2.c = 'heatmap' OR r2.point_id = 'heatmap' AS is_heat, r2.c IN ('scatter', 'line', 'bar') AND r2.pivot_ok AS is_pivot
+       FROM r2 LEFT JOIN fc a ON a.q = r2.data_query AND a.col = r2.y
+       LEFT JOIN fxy b ON b.q = r2.data_query AND b.x = r2.x AND b.y = r2.y)
+SELECT conv_id, pos, point_id, chart_type, data_query, x, y,
+       CASE WHEN is_heat THEN 'heatmap' WHEN is_pivot THEN 'pivot_heatmap'
+            WHEN c = 'violin' THEN CASE WHEN nn_y > 0 THEN 'violin' ELSE 'histogram' END
+            WHEN c = 'box' THEN CASE WHEN nn_y > 0 THEN 'box' ELSE 'histogram' END
+            WHEN c = 'scatter' THEN CASE WHEN n_xy > 0 THEN 'scatter' ELSE 'bar' END
+            ELSE c END AS rendered_as,
+       is_heat OR is_pivot OR NOT (c = 'pie' AND ab_y = 0) AS render_ok,
+       CASE WHEN is_heat OR is_pivot OR color_col IS NULL OR NOT list_contains(cols, color_col) THEN 'none'
+            ELSE 'discrete' END AS colour_mode
+FROM r3"""
+
+
+@register("chart_routes", _chart_routes_sql())
 def q_chart_routes(spark, sf_dir):
     """What every point renders as (fallback chains, column fallback, auto-pivot, colour)."""
     facts = rt.result_facts(_plan_results(spark, sf_dir))

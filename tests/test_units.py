@@ -250,3 +250,11 @@ def test_chunk_text_whole_text(spark):
     chunks = cv.chunk_text(df).orderBy("doc_id", "chunk_index").collect()
     assert [len(r.chunk) for r in chunks] == [900, 900, 1]
     assert "".join(r.chunk for r in chunks) == "x" * 1801
+
+
+def test_profile_wide_text_column_skips_exact_distinct(spark):
+    rows = [(f"name {i}", ["a", "b"][i % 2]) for i in range(500)]
+    p = pf.profile(spark.createDataFrame(rows, "name string, kind string"))
+    onto = {r.column: r for r in p.ontology.collect()}
+    assert onto["name"].type == "text" and abs(onto["name"].distinct_count - 500) < 50
+    assert onto["kind"].type == "categorical" and onto["kind"].allowed_values == ["a", "b"]
