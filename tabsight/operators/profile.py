@@ -138,14 +138,20 @@ def infer_types(df: DataFrame, date_formats=DEFAULT_DATE_FORMATS, stats: dict |
     return df.select(*[(casts[c].alias(c) if c in casts else _q(c)) for c in df.columns])
 
 
+def _starts_with_digit(col):
+    first = F.substring(col, 1, 1)
+    return (first >= F.lit("0")) & (first <= F.lit("9"))
+
+
 def _number(col):
     return F.when(col.rlike(NUMBER_PATTERN), col.try_cast("double"))
 
 
 def _timestamp(col, fmt):
+    """Parse only values whose first character is a digit and whose shape fits the format."""
     shape = DATE_SHAPES.get(fmt)
     parsed = F.try_to_timestamp(col, F.lit(fmt))
-    return F.when(col.rlike(shape), parsed) if shape else parsed
+    return F.when(_starts_with_digit(col) & col.rlike(shape), parsed) if shape else parsed
 
 
 def _inference_exprs(df, str_cols, date_formats, rows_expr=None):

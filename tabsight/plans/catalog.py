@@ -26,11 +26,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+WS_SQL = " || ".join(f"chr({ord(ch)})" for ch in tx.WHITESPACE)
+
+
+def expand_sql(sql: str) -> str:
+    """Oracle SQL may write ``strip_ws(x)``; DuckDB gets ``trim(x, <Python whitespace>)``."""
+    out, i = [], 0
+    while True:
+        j = sql.find("strip_ws(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        k, depth = j + len("strip_ws("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = expand_sql(sql[j + len("strip_ws("):k - 1])
+        out.append(sql[i:j] + f"trim({inner}, {WS_SQL})")
+        i = k
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = expand_sql(sql)
         return fn
     return deco
 
@@ -79,9 +99,9 @@ def q_result_pair(spark, sf_dir):
 
 
 @register("preview_rows", """
-SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, regexp_replace(coalesce(c_name, ''), '^\\s+|\\s+$', '', 'g') AS c_name,
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, strip_ws(coalesce(c_name, '')) AS c_name,
        CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
-       regexp_replace(coalesce(c_mktsegment, ''), '^\\s+|\\s+$', '', 'g') AS c_mktsegment
+       strip_ws(coalesce(c_mktsegment, '')) AS c_mktsegment
 FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 50) c""")
 def q_preview_rows(spark, sf_dir):
     """First 50 rows as trimmed text, missing as ''."""
@@ -150,7 +170,7 @@ def q_impute_median(spark, sf_dir):
 
 @register("fill_unknown", f"""
 SELECT o_orderkey, o_orderstatus,
-       regexp_replace(coalesce(o_orderpriority, 'Unknown'), '^\\s+|\\s+$', '', 'g') AS o_orderpriority
+       strip_ws(coalesce(o_orderpriority, 'Unknown')) AS o_orderpriority
 FROM {fx.ORDERS_UNKNOWN_SQL} u""")
 def q_fill_unknown(spark, sf_dir):
     """Null -> 'Unknown', whitespace stripped (blank stays '')."""
@@ -168,7 +188,7 @@ def _ontology_sql():
                      f"CAST(NULL AS VARCHAR) AS allowed_values, CAST(NULL AS DOUBLE) AS distinct_count FROM orders")
     parts.append("SELECT 'o_orderdate', 4, 'datetime', NULL, NULL, NULL, NULL")
     for c in ["o_orderstatus", "o_orderpriority"]:
-        v = f"regexp_replace(coalesce({c}, 'Unknown'), '^\\s+|\\s+$', '', 'g')"
+        v = f"strip_ws(coalesce({c}, 'Unknown'))"
         parts.append(f"SELECT '{c}', {pos[c]}, CASE WHEN count(DISTINCT {v}) <= 20 THEN 'categorical' ELSE 'text' END, "
                      f"NULL, NULL, CASE WHEN count(DISTINCT {v}) <= 20 THEN array_to_string(list_sort(list(DISTINCT {v})), '|') END, "
                      f"count(DISTINCT {v})::DOUBLE FROM orders")

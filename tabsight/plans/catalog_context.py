@@ -11,7 +11,7 @@ from tabsight.plans import fixtures as fx
 from tabsight.plans.catalog import register
 from tabsight.plans.fixtures import load
 
-STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+STRIP = "strip_ws({x})"
 NOISE = ("coalesce(contains(text, '> Dataset mounted') OR contains(text, '> Analysis complete') "
          "OR contains(text, 'PIPELINE CRASHED'), false)")
 
@@ -103,11 +103,11 @@ def _first_user(spark, sf_dir):
 
 @register("titles", r"""WITH """ + FIRST_USER_SQL + r""",
 t1 AS (SELECT conv_id, text,
-              left(regexp_replace(regexp_replace(coalesce(text, ''), '(?mi)^(To|From|Subject|Executive Memo):.*$', '', 'g'), '^\s+|\s+$', '', 'g'), 500) AS body
+              left(strip_ws(regexp_replace(coalesce(text, ''), '(?mi)^(To|From|Subject|Executive Memo):.*$', '', 'g')), 500) AS body
        FROM fu),
-t2 AS (SELECT conv_id, text, regexp_replace(translate(body, '"''*', ''), '^\s+|\s+$', '', 'g') AS t FROM t1),
+t2 AS (SELECT conv_id, text, strip_ws(translate(body, '"''*', '')) AS t FROM t1),
 s1 AS (SELECT conv_id, t, left(coalesce(text, 'Analysis Task'), 45) || '...' AS snip FROM t2),
-s2 AS (SELECT conv_id, t, regexp_replace(regexp_replace(snip, '(?i)^(To:|From:|Subject:|Executive Memo:)\s*', ''), '^\s+|\s+$', '', 'g') AS st FROM s1)
+s2 AS (SELECT conv_id, t, strip_ws(regexp_replace(snip, '(?i)^(To:|From:|Subject:|Executive Memo:)\s*', '')) AS st FROM s1)
 SELECT conv_id, CASE WHEN t = '' THEN 'Advanced Data Analysis' ELSE t END AS title,
        CASE WHEN st = '' THEN 'Analysis Session' ELSE array_to_string(string_split(st, ' ')[1:4], ' ') || '...' END AS short_title
 FROM s2""")
@@ -137,9 +137,9 @@ def q_text_chunks(spark, sf_dir):
 b AS (SELECT conv_id, turn, CASE WHEN regexp_matches(reply, '(?is)```(?:sql)?\n?(.*?)```')
                                  THEN regexp_extract(reply, '(?is)```(?:sql)?\n?(.*?)```', 1) ELSE reply END AS body FROM r)
 SELECT conv_id, turn,
-       CASE WHEN regexp_matches(body, '(?is)^\s*WITH\s') THEN regexp_replace(body, '^\s+|\s+$', '', 'g')
-            WHEN regexp_matches(body, '(?is)SELECT\s') THEN regexp_replace(regexp_extract(body, '(?is)(SELECT\s+.*)', 1), '^\s+|\s+$', '', 'g')
-            ELSE regexp_replace(body, '^\s+|\s+$', '', 'g') END AS extracted_sql
+       CASE WHEN regexp_matches(body, '(?is)^\s*WITH\s') THEN strip_ws(body)
+            WHEN regexp_matches(body, '(?is)SELECT\s') THEN strip_ws(regexp_extract(body, '(?is)(SELECT\s+.*)', 1))
+            ELSE strip_ws(body) END AS extracted_sql
 FROM b""")
 def q_extract_sql(spark, sf_dir):
     """SQL pulled out of model replies (fenced, bare SELECT, WITH kept whole, prose)."""

@@ -258,3 +258,18 @@ def test_profile_wide_text_column_skips_exact_distinct(spark):
     onto = {r.column: r for r in p.ontology.collect()}
     assert onto["name"].type == "text" and abs(onto["name"].distinct_count - 500) < 50
     assert onto["kind"].type == "categorical" and onto["kind"].allowed_values == ["a", "b"]
+
+
+def test_corr_pairwise_complete_matches_pandas(spark):
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(300):
+        a = rnd.gauss(1e6, 3)                       # large mean, small spread: no cancellation allowed
+        b = a * 0.5 + rnd.gauss(0, 1)
+        c = rnd.random() if rnd.random() > 0.2 else None
+        rows.append((a if rnd.random() > 0.1 else None, b, c))
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r.col_a, r.col_b): r.corr for r in cd.corr_matrix(df, ["a", "b", "c"], round_to=6).collect()}
+    want = pd.DataFrame(rows, columns=["a", "b", "c"]).corr()
+    for (x, y), v in got.items():
+        assert math.isclose(v, round(want.loc[x, y], 6), abs_tol=2e-6)
