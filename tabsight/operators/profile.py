@@ -28,10 +28,8 @@ from tabsight.functions.text import strip_ws
 # label for missing text.
 CATEGORICAL_MAX_DISTINCT = 20
 UNKNOWN = "Unknown"
-# HLL relative error for the distinct-count gate; columns estimated above
-# EXACT_DISTINCT_GATE x the categorical limit skip the exact distinct job.
-APPROX_RSD = 0.02
-EXACT_DISTINCT_GATE = 3
+# Distinct-value bitmap: BITMAP_WORDS x 64 bits, one bit per hashed value.
+BITMAP_WORDS = 4
 
 # Datetime formats tried in order; a column is promoted only if every value
 # parses with one of them (all-or-nothing).
@@ -133,11 +131,29 @@ def infer_types(df: DataFrame, date_formats=DEFAULT_DATE_FORMATS, stats: dict |
     if not str_cols:
         return df
     if stats is None:
-        stats = wide_agg(df, _inference_exprs(df, str_cols, date_formats))
+        src = df.select("*", *_inference_columns(str_cols, date_formats))
+        stats = wide_agg(src, _inference_exprs(src, str_cols, date_formats))
     casts, _ = _casts(str_cols, stats, date_formats)
     return df.select(*[(casts[c].alias(c) if c in casts else _q(c)) for c in df.columns])
 
 
+def distinct_bitmap(value, prefix: str) -> list:
+    """A linear-counting bitmap as ``bit_or`` aggregates (codegen friendly).
+
+    Each distinct value sets at most one bit, so the number of set bits is a
+    proven lower bound of the distinct count: more than ``k`` set bits means
+    more than ``k`` distinct values, with no estimation error.
+    """
+    h = F.xxhash64(value)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright(h, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
+    return [F.bit_or(F.when(word == w, bit)).alias(f"{prefix}{w}") for w in range(BITMAP_WORDS)]
+
+
+def bitmap_popcount(stats: dict, prefix: str) -> int:
+    return sum(bin((stats[f"{prefix}{w}"] or 0) & 0xFFFFFFFFFFFFFFFF).count("1") for w in range(BITMAP_WORDS))
+
+
 def _starts_with_digit(col):
     first = F.substring(col, 1, 1)
     return (first >= F.lit("0")) & (first <= F.lit("9"))
@@ -154,20 +170,41 @@ def _timestamp(col, fmt):
     return F.when(_starts_with_digit(col) & col.rlike(shape), parsed) if shape else parsed
 
 
-def _inference_exprs(df, str_cols, date_formats, rows_expr=None):
-    exprs = [(rows_expr if rows_expr is not None else F.count(F.lit(1))).alias("__rows")]
+def _inference_columns(str_cols, date_formats, bitmap: bool = False) -> list:
+    """Per-row derived values, computed once in a projection before the aggregate."""
+    out = []
     for i, c in enumerate(str_cols):
         col = _q(c)
-        num = _number(col)
+        out += [_number(col).alias(f"__num{i}"), col.rlike(INTEGER_PATTERN).alias(f"__int{i}"),
+                F.lower(col).alias(f"__low{i}"), _starts_with_digit(col).alias(f"__dig{i}")]
+        if bitmap:
+            h = F.xxhash64(strip_ws(F.coalesce(col, F.lit(UNKNOWN))))
+            out += [F.shiftright(h, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int").alias(f"__hw{i}"),
+                    F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias(f"__hb{i}")]
+    return out
+
+
+def _inference_exprs(df, str_cols, date_formats, rows_expr=None, bitmap: bool = False) -> list:
+    """Aggregates over the projection of ``_inference_columns``."""
+    exprs = [(rows_expr if rows_expr is not None else F.count(F.lit(1))).alias("__rows")]
+    for i, c in enumerate(str_cols):
+        col, num, low = _q(c), F.col(f"__num{i}"), F.col(f"__low{i}")
         exprs += [
             F.count(col).alias(f"nn{i}"),
-            F.count_if(col.rlike(INTEGER_PATTERN)).alias(f"nl{i}"),
+            F.count_if(F.col(f"__int{i}")).alias(f"nl{i}"),
             F.count(num).alias(f"nd{i}"),
-            F.count_if(F.lower(col).isin(*BOOL_TOKENS)).alias(f"nb{i}"),
+            F.count_if(low.isin(*BOOL_TOKENS)).alias(f"nb{i}"),
             F.min(num).alias(f"smn{i}"), F.max(num).alias(f"smx{i}"),
-            F.count_if(F.lower(col) == "true").alias(f"nbt{i}"),
+            F.count_if(low == "true").alias(f"nbt{i}"),
         ]
-        exprs += [F.count(_timestamp(col, fmt)).alias(f"nt{i}_{j}") for j, fmt in enumerate(date_formats)]
+        dig = F.col(f"__dig{i}")
+        for j, fmt in enumerate(date_formats):
+            shape = DATE_SHAPES.get(fmt)
+            ok = F.try_to_timestamp(col, F.lit(fmt)).isNotNull()
+            exprs.append(F.count_if((dig & col.rlike(shape) & ok) if shape else ok).alias(f"nt{i}_{j}"))
+        if bitmap:
+            exprs += [F.bit_or(F.when(F.col(f"__hw{i}") == w, F.col(f"__hb{i}"))).alias(f"bm{i}_{w}")
+                      for w in range(BITMAP_WORDS)]
     return exprs
 
 
@@ -232,12 +269,12 @@ def profile(df: DataFrame, exact_median: bool = True, date_formats=DEFAULT_DATE_
     for i, c in enumerate(num_raw):
         v = _q(c).cast("double")
         exprs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
-    exprs += _inference_exprs(df, str_cols, date_formats, rows_expr=F.count_if(any_value))
-    # HLL estimate of each text column's distinct count after fill and strip:
-    # only columns that could be categorical get an exact distinct job.
-    exprs += [F.approx_count_distinct(strip_ws(F.coalesce(_q(c), F.lit(UNKNOWN))), APPROX_RSD).alias(f"ad{i}")
-              for i, c in enumerate(str_cols)]
-    stats = wide_agg(df, exprs)
+    # Type-inference counts and, per text column, a distinct-value bitmap after
+    # fill and strip (only columns that could be categorical get an exact
+    # distinct job). Derived values are projected once, then aggregated.
+    exprs += _inference_exprs(df, str_cols, date_formats, rows_expr=F.count_if("__any"), bitmap=True)
+    src = df.select("*", any_value.alias("__any"), *_inference_columns(str_cols, date_formats, bitmap=True))
+    stats = wide_agg(src, exprs)
     rows = stats["__rows"]
     nonnull = {c: stats[f"c{i}"] for i, c in enumerate(cols)}
 
@@ -297,9 +334,9 @@ def profile(df: DataFrame, exact_median: bool = True, date_formats=DEFAULT_DATE_
     onto = onto.select("column", "position", "type", F.round("min", 2).alias("min"),
                        F.round("max", 2).alias("max"), "allowed_values", "distinct_count")   # P7
     if txt_cols:
-        approx = {rename[c]: stats[f"ad{str_cols.index(c)}"] for c in txt_cols if c in str_cols}
-        exact = [rename[c] for c in txt_cols if approx.get(rename[c], 0) <= EXACT_DISTINCT_GATE * categorical_max]
-        wide = {c: n for c, n in approx.items() if c not in exact}
+        lower = {rename[c]: bitmap_popcount(stats, f"bm{str_cols.index(c)}_") for c in txt_cols if c in str_cols}
+        exact = [rename[c] for c in txt_cols if lower.get(rename[c], 0) <= categorical_max]
+        wide = [c for c in lower if c not in exact]  # proven > categorical_max
         onto = onto.unionByName(text_ontology(clean, exact, names, categorical_max, wide))
 
     filled_num = sum(rows - nonnull[c] for c in need)
@@ -313,18 +350,19 @@ def profile(df: DataFrame, exact_median: bool = True, date_formats=DEFAULT_DATE_
 
 
 def text_ontology(clean: DataFrame, txt_cols: list[str], all_cols: list[str],
-                  categorical_max: int = CATEGORICAL_MAX_DISTINCT, wide: dict | None = None) -> DataFrame:
+                  categorical_max: int = CATEGORICAL_MAX_DISTINCT, wide: list | None = None) -> DataFrame:
     """Distinct count per text column; allowed values when <= ``categorical_max``.
 
     One unpivot + ``groupBy(column, value)`` (map-side combine collapses hot
     values), then per column a count; value lists are gathered only for
     columns already known to be small, so no list exceeds ``categorical_max``.
-    Columns in ``wide`` (an HLL estimate far above the threshold) are typed
-    ``text`` with the estimate as their count and never shuffled value by value.
+    Columns in ``wide`` (proven to hold more than ``categorical_max`` values by
+    their bitmap) are typed ``text`` without a count and never shuffled value
+    by value.
     """
     spark = clean.sparkSession
     wide_rows = spark.createDataFrame(
-        [(c, all_cols.index(c), "text", None, None, None, int(n)) for c, n in (wide or {}).items()], ONTOLOGY_SCHEMA)
+        [(c, all_cols.index(c), "text", None, None, None, None) for c in (wide or [])], ONTOLOGY_SCHEMA)
     if not txt_cols:
         return wide_rows
     pos = spark.createDataFrame([(c, all_cols.index(c)) for c in txt_cols], "column string, position int")
