@@ -197,6 +197,29 @@ def violin_outliers(df: DataFrame, x: str | None, y: str, color: str | None = No
     return joined.where((_q(y) < F.col("lo_fence")) | (_q(y) > F.col("hi_fence"))).select(*keys, y)
 
 
+def violin_density(df: DataFrame, x: str, y: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """H2 (body): per group, equal-width bins between the group's own min and max
+    and the density ``count / (n * width)``; a constant group is one bin with
+    NULL density (zero width).
+
+    Group ranges are one row per group, joined back (AQE broadcasts them when
+    small); counting is a partial aggregate, so no group is gathered whole.
+    """
+    v = _q(y).try_cast("double")
+    base = df.select(_q(x), v.alias("__y")).where(F.col("__y").isNotNull())
+    rng = base.groupBy(_q(x)).agg(F.min("__y").alias("__mn"), F.max("__y").alias("__mx"),
+                                  F.count(F.lit(1)).alias("__n"))
+    width = (F.col("__mx") - F.col("__mn")) / bins
+    b = F.when(F.col("__mx") == F.col("__mn"), F.lit(0)).otherwise(
+        F.least(F.floor((F.col("__y") - F.col("__mn")) / width), F.lit(bins - 1))).cast("int")
+    counted = (base.join(rng, x).withColumn("bin", b)
+               .groupBy(_q(x), "bin", "__mn", "__mx", "__n").agg(F.count(F.lit(1)).cast("long").alias("count")))
+    lo = F.col("__mn") + F.col("bin") * width
+    density = F.when(F.col("__mx") == F.col("__mn"), F.lit(None).cast("double")).otherwise(
+        F.col("count") / (F.col("__n") * width))
+    return counted.select(_q(x), "bin", lo.alias("bin_start"), "count", F.round(density, 8).alias("density"))
+
+
 def histogram(df: DataFrame, x: str, bins: int = HISTOGRAM_BINS, color: str | None = None,
               round_to: int | None = None) -> DataFrame:
     """H3: equal-width bins between min and max; the maximum falls in the last bin."""

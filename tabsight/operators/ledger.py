@@ -208,8 +208,10 @@ def fold_status(updates: DataFrame, key: str = "task_id", seq: str = "seq") -> D
 # ---------------------------------------------------------------- history views
 
 def merge_history(local: DataFrame, stored: DataFrame, key: str = "task_id", ts: str = "timestamp") -> DataFrame:
-    """Stored rows win by id, local-only rows are kept, newest first."""
-    return local.join(stored.select(key), key, "left_anti").unionByName(stored).orderBy(F.col(ts).desc(), F.col(key))
+    """Stored rows win by id, local-only rows are kept, newest first (a missing time sorts as epoch 0)."""
+    epoch0 = F.lit("1970-01-01 00:00:00").cast(local.schema[ts].dataType)
+    return (local.join(stored.select(key), key, "left_anti").unionByName(stored)
+            .orderBy(F.coalesce(F.col(ts), epoch0).desc(), F.col(key)))
 
 
 def number_titles(df: DataFrame, title: str = "title", ts: str = "timestamp", key: str = "task_id") -> DataFrame:

@@ -82,3 +82,13 @@ def pair_charts(charts: DataFrame, points: DataFrame, doc_cols: list[str]) -> Da
             .join(by_pos, doc_cols + ["chart_pos"], "left")
             .withColumn("analysis_title", F.coalesce("title_by_id", "title_by_pos", F.lit("")))
             .drop("title_by_id", "title_by_pos"))
+
+
+class MissingAnalysis(ValueError):
+    """M6: the analysis has no points or no brief."""
+
+
+def require_points(points: DataFrame, brief: DataFrame | None = None) -> None:
+    """M6: fail when no points remain (after de-duplication) or the brief is empty."""
+    if points.isEmpty() or (brief is not None and brief.isEmpty()):
+        raise MissingAnalysis("Model failed to generate structured output.")

@@ -8,6 +8,7 @@ total order.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +47,20 @@ def expand_sql(sql: str) -> str:
         i = k
 
 
+def _with_session_defaults(fn):
+    """Every rule here is stated in UTC (UTC days, UTC timestamps): pin the
+    session time zone, whichever session the caller brings."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    return run
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = _with_session_defaults(fn)
         if sql is not None:
             ORACLE[name] = expand_sql(sql)
         return fn
@@ -504,3 +516,15 @@ from tabsight.plans import catalog_context  # noqa: E402,F401
 from tabsight.plans import catalog_ledger  # noqa: E402,F401
 from tabsight.plans import catalog_plans  # noqa: E402,F401
 from tabsight.plans import catalog_stream  # noqa: E402,F401
+
+
+@register("violin_density", """
+WITH r AS (SELECT event_type, min(value) AS mn, max(value) AS mx, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1),
+b AS (SELECT e.event_type, CAST(CASE WHEN mx = mn THEN 0 ELSE least(floor((value - mn) / ((mx - mn) / 40)), 39) END AS INTEGER) AS bin,
+             mn, mx, n FROM events e JOIN r USING (event_type) WHERE value IS NOT NULL)
+SELECT event_type, bin, mn + bin * ((mx - mn) / 40) AS bin_start, count(*) AS count,
+       CASE WHEN mx = mn THEN NULL ELSE round(count(*) / (n * ((mx - mn) / 40)), 8) END AS density
+FROM b GROUP BY event_type, bin, mn, mx, n""")
+def q_violin_density(spark, sf_dir):
+    """H2: the violin body as per-group 40-bin densities of events.value by type."""
+    return cd.violin_density(load(spark, sf_dir, "events"), "event_type", "value")

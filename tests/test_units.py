@@ -281,3 +281,24 @@ def test_corr_pairwise_complete_matches_pandas(spark):
     want = pd.DataFrame(rows, columns=["a", "b", "c"]).corr()
     for (x, y), v in got.items():
         assert math.isclose(v, round(want.loc[x, y], 6), abs_tol=2e-6)
+
+
+def test_require_points_m6(spark):
+    from tabsight.operators import manifest as mf
+    empty = spark.createDataFrame([], "point_id string")
+    with pytest.raises(mf.MissingAnalysis):
+        mf.require_points(empty)
+    mf.require_points(spark.createDataFrame([("Query_1",)], "point_id string"))
+
+
+def test_violin_density_integrates_to_one(spark):
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(g, rnd.gauss(0, 1)) for g in "ab" for _ in range(500)] + [("c", 2.0)] * 3,
+                               "g string, y double")
+    out = cd.violin_density(df, "g", "y", 20).toPandas()
+    for g, sub in out.groupby("g"):
+        if g == "c":
+            assert sub.density.isna().all() and sub["count"].sum() == 3
+            continue
+        width = (sub.bin_start.max() - sub.bin_start.min()) / max(sub.bin.max() - sub.bin.min(), 1)
+        assert math.isclose((sub.density * width).sum(), 1.0, rel_tol=1e-3)
