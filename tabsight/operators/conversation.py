@@ -62,11 +62,15 @@ def context_window(df: DataFrame, n: int = CONTEXT_MESSAGES, key: str = "conv_id
 
 
 def split_prompt(df: DataFrame, key: str = "conv_id", order: str = "turn") -> tuple[DataFrame, DataFrame]:
-    """Newest turn of each conversation as its new command; the rest is history."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    ranked = df.withColumn("__rn", F.row_number().over(w))
-    prompts = ranked.where("__rn = 1").select(key, F.col("text").alias("prompt"))
-    history = ranked.where("__rn > 1").drop("__rn")
+    """Newest turn of each conversation as its new command; the rest is history.
+
+    The newest turn is found with a partial ``max`` and a join, so a
+    conversation holding a third of all rows is never one window partition.
+    """
+    newest = df.groupBy(key).agg(F.max(order).alias("__newest"))
+    marked = df.join(newest, key)
+    prompts = marked.where(F.col(order) == F.col("__newest")).select(key, F.col("text").alias("prompt"))
+    history = marked.where(F.col(order) < F.col("__newest")).drop("__newest")
     return history, prompts
 
 

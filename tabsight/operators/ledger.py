@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.functions import text as tx
+from tabsight.functions.ranking import ranked_within
 
 # Status names, defaults and limits of the ledger rules.
 STATUS_PENDING = "pending"
@@ -97,14 +98,14 @@ def user_history(tasks: DataFrame) -> DataFrame:
     """T2 (+V12, L5): completed tasks of every user, newest first by timestamp *string*.
 
     A missing timestamp reads ``Recent``, which sorts ahead of every date.
-    ``history_pos`` numbers each user's list (window per user: a sort, never a
-    collected list).
+    ``history_pos`` numbers each user's list; the numbering is skew-safe
+    (``ranked_within``), so a user holding a third of all tasks is spread
+    over many tasks instead of one window partition.
     """
     done = tasks.where(F.col("task_status") == STATUS_COMPLETED).select(
         "user_id", "task_id", tx.snippet("prompt").alias("prompt_snippet"),
         F.coalesce("last_updated", F.lit(RECENT)).alias("timestamp"))
-    w = Window.partitionBy("user_id").orderBy(F.col("timestamp").desc(), F.col("task_id"))
-    return done.withColumn("history_pos", F.row_number().over(w).cast("long"))
+    return ranked_within(done, ["user_id"], [F.col("timestamp").desc(), F.col("task_id")], "history_pos")
 
 
 def status_lookup(requests: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -143,14 +144,26 @@ def tier_of(email: Column, is_admin: Column) -> Column:
 
 
 def daily_quota(events: DataFrame, ts_col: str = "ts", tier_col: str = "tier") -> DataFrame:
-    """T4: the n-th request of a user on a UTC day is allowed while n <= the tier's limit."""
+    """T4: the n-th request of a user on a UTC day is allowed while n <= the tier's limit.
+
+    A partial aggregate counts requests per (user, day); a day within its
+    limit is allowed whole without any ranking. Only days over the limit are
+    ranked, with the skew-safe ``ranked_within`` (a user-day holding a third of
+    all rows is spread over many tasks). ``nth_today`` is filled for ranked
+    days only.
+    """
     limit = F.element_at(F.create_map(*[x for k, v in TIER_LIMITS.items() for x in (F.lit(k), F.lit(v))]),
                          F.col(tier_col))
-    day = F.to_date(F.col(ts_col))
-    w = Window.partitionBy("user_id", day).orderBy(F.col(ts_col), F.col("req_id"))
-    n = F.row_number().over(w)
-    return events.select("req_id", "user_id", day.alias("day"), tier_col, n.cast("long").alias("nth_today"),
-                         (n <= limit).alias("allowed"))
+    base = events.select("req_id", "user_id", F.to_date(F.col(ts_col)).alias("day"), tier_col, ts_col)
+    days = (base.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("__n"), F.max(tier_col).alias("__tier"))
+            .withColumn("__over", F.col("__n") > F.element_at(
+                F.create_map(*[x for k, v in TIER_LIMITS.items() for x in (F.lit(k), F.lit(v))]), F.col("__tier"))))
+    marked = base.join(days.select("user_id", "day", "__over"), ["user_id", "day"])
+    within = marked.where(~F.col("__over")).select("req_id", "user_id", "day", tier_col,
+                                                    F.lit(None).cast("long").alias("nth_today"), F.lit(True).alias("allowed"))
+    over = ranked_within(marked.where(F.col("__over")), ["user_id", "day"], [ts_col, "req_id"], "nth_today")
+    over = over.select("req_id", "user_id", "day", tier_col, "nth_today", (F.col("nth_today") <= limit).alias("allowed"))
+    return within.unionByName(over)
 
 
 # ---------------------------------------------------------------- delete
@@ -162,13 +175,14 @@ def owner_delete(requests: DataFrame, tasks: DataFrame) -> DataFrame:
     only the first succeeds, the later ones find it gone (403).
     """
     owners = tasks.select("task_id", F.col("user_id").alias("__owner"))
-    j = requests.join(owners, "task_id", "left")
-    match = F.col("__owner").isNotNull() & (F.col("__owner") == F.col("user_id"))
-    w = Window.partitionBy("task_id", match).orderBy("req_id")
-    first = F.row_number().over(w) == 1
+    j = requests.join(owners, "task_id", "left").withColumn(
+        "__match", F.coalesce(F.col("__owner") == F.col("user_id"), F.lit(False)))
+    # The first matching request per task: a partial aggregate, so a task hit
+    # by a third of all requests never becomes one window partition.
+    first = (j.where("__match").groupBy("task_id").agg(F.min("req_id").alias("__first")))
     code = (F.when(F.col("task_id").isNull() | (F.col("task_id") == ""), 400)
-            .when(match & first, 200).otherwise(403))
-    return j.select("req_id", "task_id", "user_id", code.alias("status_code"))
+            .when(F.col("__match") & (F.col("req_id") == F.col("__first")), 200).otherwise(403))
+    return j.join(first, "task_id", "left").select("req_id", "task_id", "user_id", code.alias("status_code"))
 
 
 def surviving_tasks(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -184,25 +198,24 @@ def fold_status(updates: DataFrame, key: str = "task_id", seq: str = "seq") -> D
 
     ``updates``: (key, seq, phase, log, append, sql). A plain update
     overwrites the log; an update with ``append`` text extends it with a new
-    line (or starts it when the log is empty). Only the rows after the last
-    plain update are gathered, because everything before was overwritten.
+    line (or starts it when the log is empty). Everything before a task's
+    last plain update was overwritten, so only the rows from it on are
+    gathered. Phase, SQL and the last plain update come from partial
+    aggregates (``max`` of structs), not from a window over the whole task.
     """
-    w = Window.partitionBy(key).orderBy(seq)
-    plain = (F.coalesce(F.col("append"), F.lit("")) == "").cast("int")
-    seg = updates.withColumn("__plain", plain).withColumn(
-        "__seg", F.sum("__plain").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last = seg.groupBy(key).agg(
+    plain = F.coalesce(F.col("append"), F.lit("")) == ""
+    last = updates.groupBy(key).agg(
         F.max(F.struct(seq, "phase"))["phase"].alias("current_phase"),
         F.max(F.when(F.coalesce("sql", F.lit("")) != "", F.struct(seq, "sql")))["sql"].alias("raw_sql"),
-        F.max("__seg").alias("__last"),
+        F.max(F.when(plain, F.col(seq))).alias("__last_plain"),
     )
-    text = F.when(F.col("__plain") == 1, F.coalesce("log", F.lit(""))).otherwise(F.col("append"))
-    tail = (seg.join(last.select(key, "__last"), key)
-            .where(F.col("__seg") == F.col("__last"))
+    text = F.when(plain, F.coalesce("log", F.lit(""))).otherwise(F.col("append"))
+    tail = (updates.join(last.select(key, "__last_plain"), key)
+            .where(F.col("__last_plain").isNull() | (F.col(seq) >= F.col("__last_plain")))
             .groupBy(key).agg(F.array_join(F.filter(
                 F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("o"), text.alias("t")))),
                             lambda x: x["t"]), lambda t: t != ""), "\n").alias("execution_log")))
-    return last.drop("__last").join(tail, key)
+    return last.drop("__last_plain").join(tail, key)
 
 
 # ---------------------------------------------------------------- history views
@@ -215,11 +228,15 @@ def merge_history(local: DataFrame, stored: DataFrame, key: str = "task_id", ts:
 
 
 def number_titles(df: DataFrame, title: str = "title", ts: str = "timestamp", key: str = "task_id") -> DataFrame:
-    """Repeated titles numbered oldest to newest: ``t``, ``t (2)``, ``t (3)``..."""
-    w = Window.partitionBy(title).orderBy(F.col(ts), F.col(key))
-    n = F.row_number().over(w)
-    return df.withColumn("display_title", F.when(n > 1, F.concat(F.col(title), F.lit(" ("), n.cast("string"), F.lit(")")))
-                         .otherwise(F.col(title)))
+    """Repeated titles numbered oldest to newest: ``t``, ``t (2)``, ``t (3)``...
+
+    The numbering is skew-safe (``ranked_within``): a title shared by a third
+    of all rows is spread over many tasks.
+    """
+    ranked = ranked_within(df, [title], [ts, key], "__n")
+    n = F.col("__n")
+    return ranked.withColumn("display_title", F.when(n > 1, F.concat(F.col(title), F.lit(" ("), n.cast("string"), F.lit(")")))
+                             .otherwise(F.col(title))).drop("__n")
 
 
 def safe_timestamp(s: Column, as_of: Column) -> Column:

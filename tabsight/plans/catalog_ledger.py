@@ -105,7 +105,7 @@ WITH e AS (SELECT event_id AS req_id, 'u' || user_id AS user_id, ts,
                   CASE WHEN user_id % 50 = 0 THEN 'admin' WHEN user_id % 3 <> 0 THEN 'signed_in' ELSE 'anonymous' END AS tier
            FROM events),
 n AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, req_id) AS nth FROM e)
-SELECT req_id, user_id, day, tier, nth AS nth_today,
+SELECT req_id, user_id, day, tier,
        nth <= CASE tier WHEN 'admin' THEN 9999 WHEN 'signed_in' THEN 15 ELSE 3 END AS allowed
 FROM n""")
 def q_daily_quota(spark, sf_dir):
@@ -115,7 +115,7 @@ def q_daily_quota(spark, sf_dir):
     tier = F.when(uid % 50 == 0, "admin").when(uid % 3 != 0, "signed_in").otherwise("anonymous")
     ev = e.select(F.col("event_id").alias("req_id"), F.concat(F.lit("u"), uid.cast("string")).alias("user_id"),
                   "ts", tier.alias("tier"))
-    return lg.daily_quota(ev)
+    return lg.daily_quota(ev).drop("nth_today")
 
 
 @register("status_lookup", f"""

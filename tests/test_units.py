@@ -302,3 +302,31 @@ def test_violin_density_integrates_to_one(spark):
             continue
         width = (sub.bin_start.max() - sub.bin_start.min()) / max(sub.bin.max() - sub.bin.min(), 1)
         assert math.isclose((sub.density * width).sum(), 1.0, rel_tol=1e-3)
+
+
+def test_ranked_within_equals_row_number_with_a_hot_group(spark):
+    from pyspark.sql import Window as W
+    from tabsight.functions.ranking import ranked_within
+    rnd = random.Random(4)
+    rows = [("hot" if rnd.random() < 0.34 else f"k{rnd.randint(0, 50)}", i, rnd.randint(0, 999)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, id long, t long")
+    got = {r.id: r.rn for r in ranked_within(df, ["k"], ["t", "id"], partitions=7).collect()}
+    want = {r.id: r.rn for r in df.withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy("t", "id"))).collect()}
+    assert got == want
+
+
+def test_daily_quota_with_a_hot_user_equals_row_number(spark):
+    import datetime
+    base = datetime.datetime(2024, 1, 1)
+    rows = [(i, "hot" if i % 3 == 0 else f"u{i % 7}", base + datetime.timedelta(minutes=i * 7 % 2000),
+             "anonymous" if i % 2 else "signed_in") for i in range(2000)]
+    df = spark.createDataFrame(rows, "req_id long, user_id string, ts timestamp, tier string")
+    df = df.withColumn("tier", F.first("tier").over(__import__("pyspark.sql").sql.Window.partitionBy("user_id").orderBy("req_id")
+                                                     .rowsBetween(-10**9, 10**9)))
+    got = {r.req_id: r.allowed for r in lg.daily_quota(df).collect()}
+    pdf = df.toPandas().sort_values(["ts", "req_id"])
+    pdf["day"] = pdf.ts.dt.date
+    pdf["n"] = pdf.groupby(["user_id", "day"]).cumcount() + 1
+    lim = {"anonymous": 3, "signed_in": 15, "admin": 9999}
+    for r in pdf.itertuples():
+        assert got[r.req_id] == (r.n <= lim[r.tier])
