@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsight.functions.distinct import distinct_lower_bounds
 from tabsight.functions.quantiles import exact_quantiles
 from tabsight.operators.profile import wide_agg
 
@@ -34,9 +35,12 @@ def _q(c: str) -> Column:
 def distinct_at_most(df: DataFrame, col: str, limit: int) -> list | None:
     """Distinct non-null values of ``col`` if there are at most ``limit``, else None.
 
-    Reads at most ``limit + 1`` distinct values back (partial aggregation
-    removes duplicates map-side), so the guard is bounded whatever the data.
+    A bitmap lower bound (one codegen aggregate) refuses large columns first;
+    only columns that may be small run the distinct job, which reads at most
+    ``limit + 1`` values back.
     """
+    if distinct_lower_bounds(df, [col])[col] > limit:
+        return None          # proven too many values: no distinct shuffle at all
     vals = [r[0] for r in df.select(_q(col)).where(_q(col).isNotNull()).distinct().limit(limit + 1).collect()]
     return None if len(vals) > limit else sorted(vals, key=lambda v: (str(type(v)), v))
 
@@ -290,21 +294,33 @@ def colour_kind(df: DataFrame, col: str | None) -> str:
 
 
 def colour_kinds(df: DataFrame) -> DataFrame:
-    """H11/A8 for every column at once: (column_name, distinct_count, kind).
+    """H11/A8/H10 for every column at once: (column_name, is_numeric, kind, many).
 
-    One unpivot + ``groupBy(column, value)`` (map-side combine) instead of a
-    ``count_distinct`` per column; nulls are not counted.
+    ``kind`` is ``continuous`` for a numeric column with more than 15 values,
+    else ``discrete``; ``many`` marks numeric columns with more than 8 values
+    (auto-binned for box/violin). One bitmap aggregate proves most answers;
+    only numeric columns that may be small get an exact distinct count (one
+    unpivot + ``groupBy(column, value)``). Nulls are not counted.
     """
     spark = df.sparkSession
     numeric = (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.FloatType, T.DoubleType, T.DecimalType)
-    meta = spark.createDataFrame([(f.name, isinstance(f.dataType, numeric)) for f in df.schema.fields],
-                                 "column_name string, is_numeric boolean")
-    cols = df.columns
-    pairs = (df.select(*[_q(c).cast("string").alias(c) for c in cols])
-             .unpivot([], cols, "column_name", "value").where(F.col("value").isNotNull())
-             .groupBy("column_name", "value").agg(F.lit(1).alias("__one")))
-    counts = pairs.groupBy("column_name").agg(F.count(F.lit(1)).cast("long").alias("distinct_count"))
-    return (counts.join(F.broadcast(meta), "column_name")
-            .select("column_name", "distinct_count",
-                    F.when(F.col("is_numeric") & (F.col("distinct_count") > CONTINUOUS_COLOUR_MIN_DISTINCT), "continuous")
-                     .otherwise("discrete").alias("kind")))
+    num_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, numeric)]
+    bound = distinct_lower_bounds(df, num_cols)
+    small = [c for c in num_cols if bound[c] <= CONTINUOUS_COLOUR_MIN_DISTINCT]
+    exact = {}
+    if small:
+        pairs = (df.select(*[_q(c).cast("string").alias(c) for c in small])
+                 .unpivot([], small, "column_name", "value").where(F.col("value").isNotNull())
+                 .groupBy("column_name", "value").agg(F.lit(1).alias("__one")))
+        exact = {r["column_name"]: r["n"] for r in pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = []
+    for f in df.schema.fields:
+        c = f.name
+        if c not in num_cols:
+            rows.append((c, False, "discrete", False))
+            continue
+        n = exact.get(c, 0) if c in small else None
+        many_values = n is None or n > CONTINUOUS_COLOUR_MIN_DISTINCT
+        rows.append((c, True, "continuous" if many_values else "discrete",
+                     bool(n is None or n > AUTO_BIN_MIN_DISTINCT or bound[c] > AUTO_BIN_MIN_DISTINCT)))
+    return spark.createDataFrame(rows, "column_name string, is_numeric boolean, kind string, many boolean")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsight.functions import distinct
 from tabsight.functions.quantiles import column_quantiles
 from tabsight.functions.text import strip_ws
 
@@ -28,8 +29,7 @@ from tabsight.functions.text import strip_ws
 # label for missing text.
 CATEGORICAL_MAX_DISTINCT = 20
 UNKNOWN = "Unknown"
-# Distinct-value bitmap: BITMAP_WORDS x 64 bits, one bit per hashed value.
-BITMAP_WORDS = 4
+BITMAP_WORDS = distinct.BITMAP_WORDS
 
 # Datetime formats tried in order; a column is promoted only if every value
 # parses with one of them (all-or-nothing).
@@ -138,20 +138,12 @@ def infer_types(df: DataFrame, date_formats=DEFAULT_DATE_FORMATS, stats: dict |
 
 
 def distinct_bitmap(value, prefix: str) -> list:
-    """A linear-counting bitmap as ``bit_or`` aggregates (codegen friendly).
-
-    Each distinct value sets at most one bit, so the number of set bits is a
-    proven lower bound of the distinct count: more than ``k`` set bits means
-    more than ``k`` distinct values, with no estimation error.
-    """
-    h = F.xxhash64(value)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    word = F.shiftright(h, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
-    return [F.bit_or(F.when(word == w, bit)).alias(f"{prefix}{w}") for w in range(BITMAP_WORDS)]
+    """Distinct-count lower bound aggregates (see ``functions.distinct``)."""
+    return distinct.bitmap_exprs(value, prefix)
 
 
 def bitmap_popcount(stats: dict, prefix: str) -> int:
-    return sum(bin((stats[f"{prefix}{w}"] or 0) & 0xFFFFFFFFFFFFFFFF).count("1") for w in range(BITMAP_WORDS))
+    return distinct.popcount(stats, prefix)
 
 
 def _starts_with_digit(col):

@@ -73,10 +73,8 @@ def result_facts(results: dict[str, DataFrame]) -> ResultFacts:
         f.pivot_ok[name] = ok
         if v["__n"] > 0:
             for r in colour_kinds(df).collect():
-                numeric = r["kind"] == "continuous" or _is_numeric(df, r["column_name"])
                 f.colour[name + SEP + r["column_name"]] = (
-                    "continuous" if numeric and r["distinct_count"] > CONTINUOUS_COLOUR_MIN_DISTINCT else
-                    "numeric_many" if numeric and r["distinct_count"] > AUTO_BIN_MIN_DISTINCT else "discrete")
+                    "continuous" if r["kind"] == "continuous" else "numeric_many" if r["many"] else "discrete")
     return f
 
 

@@ -460,14 +460,18 @@ def q_pie_share(spark, sf_dir):
 
 
 @register("colour_kind", """
-SELECT 'p_partkey' AS column_name, count(DISTINCT p_partkey) AS distinct_count, CASE WHEN count(DISTINCT p_partkey) > 15 THEN 'continuous' ELSE 'discrete' END AS kind FROM part
-UNION ALL SELECT 'p_name', count(DISTINCT p_name), 'discrete' FROM part
-UNION ALL SELECT 'p_brand', count(DISTINCT p_brand), 'discrete' FROM part
-UNION ALL SELECT 'p_type', count(DISTINCT p_type), 'discrete' FROM part
-UNION ALL SELECT 'p_size', count(DISTINCT p_size), CASE WHEN count(DISTINCT p_size) > 15 THEN 'continuous' ELSE 'discrete' END FROM part
-UNION ALL SELECT 'p_retailprice', count(DISTINCT p_retailprice), CASE WHEN count(DISTINCT p_retailprice) > 15 THEN 'continuous' ELSE 'discrete' END FROM part""")
+SELECT 'p_partkey' AS column_name, true AS is_numeric,
+       CASE WHEN count(DISTINCT p_partkey) > 15 THEN 'continuous' ELSE 'discrete' END AS kind,
+       count(DISTINCT p_partkey) > 8 AS many FROM part
+UNION ALL SELECT 'p_name', false, 'discrete', false
+UNION ALL SELECT 'p_brand', false, 'discrete', false
+UNION ALL SELECT 'p_type', false, 'discrete', false
+UNION ALL SELECT 'p_size', true, CASE WHEN count(DISTINCT p_size) > 15 THEN 'continuous' ELSE 'discrete' END,
+       count(DISTINCT p_size) > 8 FROM part
+UNION ALL SELECT 'p_retailprice', true, CASE WHEN count(DISTINCT p_retailprice) > 15 THEN 'continuous' ELSE 'discrete' END,
+       count(DISTINCT p_retailprice) > 8 FROM part""")
 def q_colour_kind(spark, sf_dir):
-    """Colour handling per column from one distinct-count job."""
+    """Colour handling per column; a bitmap bound spares the exact distinct job for large columns."""
     return cd.colour_kinds(load(spark, sf_dir, "part"))
 
 
