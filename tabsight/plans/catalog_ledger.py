@@ -162,19 +162,24 @@ def q_status_fold(spark, sf_dir):
 
 
 @register("merge_history", """
-WITH loc AS (SELECT o_orderkey AS task_id, 'local ' || o_orderpriority AS title, o_orderdate AS timestamp FROM orders WHERE o_orderkey % 3 <> 0),
-st AS (SELECT o_orderkey AS task_id, 'stored ' || o_orderpriority AS title, o_orderdate AS timestamp FROM orders WHERE o_orderkey % 2 = 0)
+WITH loc AS (SELECT o_orderkey AS task_id, 'local ' || o_orderpriority AS title, o_orderdate AS timestamp FROM orders
+             WHERE o_orderstatus <> 'F'),
+st AS (SELECT o_orderkey AS task_id, 'stored ' || o_orderpriority AS title, o_orderdate AS timestamp FROM orders
+       WHERE o_orderstatus = 'F' OR o_orderpriority = '1-URGENT')
 SELECT * FROM loc WHERE task_id NOT IN (SELECT task_id FROM st)
 UNION ALL SELECT * FROM st""")
 def q_merge_history(spark, sf_dir):
-    """Stored rows win by id, local-only rows kept, newest first."""
+    """Stored rows win by id, local-only rows kept, newest first.
+
+    Every order is in at least one list: open orders are cached locally,
+    finished and urgent ones are stored (urgent open orders are in both).
+    """
     o = load(spark, sf_dir, "orders")
-    loc = o.where(F.col("o_orderkey") % 3 != 0).select(F.col("o_orderkey").alias("task_id"),
-                                                       F.concat(F.lit("local "), "o_orderpriority").alias("title"),
-                                                       F.col("o_orderdate").alias("timestamp"))
-    st = o.where(F.col("o_orderkey") % 2 == 0).select(F.col("o_orderkey").alias("task_id"),
-                                                      F.concat(F.lit("stored "), "o_orderpriority").alias("title"),
-                                                      F.col("o_orderdate").alias("timestamp"))
+    as_rows = lambda df, tag: df.select(F.col("o_orderkey").alias("task_id"),
+                                        F.concat(F.lit(tag), "o_orderpriority").alias("title"),
+                                        F.col("o_orderdate").alias("timestamp"))
+    loc = as_rows(o.where(F.col("o_orderstatus") != "F"), "local ")
+    st = as_rows(o.where((F.col("o_orderstatus") == "F") | (F.col("o_orderpriority") == "1-URGENT")), "stored ")
     return lg.merge_history(loc, st)
 
 
