@@ -17,12 +17,24 @@ from pyspark.sql import functions as F
 BITMAP_WORDS = 4
 
 
-def bitmap_exprs(value: Column, prefix: str) -> list[Column]:
+def bitmap_parts(value: Column) -> tuple[Column, Column]:
+    """(word index, bit) of a value's hash: one bit among BITMAP_WORDS x 64."""
     h = F.xxhash64(value)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    word = F.shiftright(h, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
+    word = F.shiftright(h, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int")
+    return word, bit
+
+
+def bitmap_aggs(word: Column, bit: Column, prefix: str, present: Column | None = None) -> list[Column]:
+    keep = (word == w for w in range(BITMAP_WORDS))
+    return [F.bit_or(F.when(k if present is None else (present & k), bit)).alias(f"{prefix}{w}")
+            for w, k in enumerate(keep)]
+
+
+def bitmap_exprs(value: Column, prefix: str) -> list[Column]:
+    word, bit = bitmap_parts(value)
     # NULL values set no bit (like count_distinct, they are not counted).
-    return [F.bit_or(F.when(value.isNotNull() & (word == w), bit)).alias(f"{prefix}{w}") for w in range(BITMAP_WORDS)]
+    return bitmap_aggs(word, bit, prefix, value.isNotNull())
 
 
 def popcount(stats: dict, prefix: str) -> int:

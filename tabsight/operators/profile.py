@@ -170,9 +170,8 @@ def _inference_columns(str_cols, date_formats, bitmap: bool = False) -> list:
         out += [_number(col).alias(f"__num{i}"), col.rlike(INTEGER_PATTERN).alias(f"__int{i}"),
                 F.lower(col).alias(f"__low{i}"), _starts_with_digit(col).alias(f"__dig{i}")]
         if bitmap:
-            h = F.xxhash64(strip_ws(F.coalesce(col, F.lit(UNKNOWN))))
-            out += [F.shiftright(h, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int").alias(f"__hw{i}"),
-                    F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias(f"__hb{i}")]
+            word, bit = distinct.bitmap_parts(strip_ws(F.coalesce(col, F.lit(UNKNOWN))))
+            out += [word.alias(f"__hw{i}"), bit.alias(f"__hb{i}")]
     return out
 
 
@@ -195,8 +194,7 @@ def _inference_exprs(df, str_cols, date_formats, rows_expr=None, bitmap: bool =
             ok = F.try_to_timestamp(col, F.lit(fmt)).isNotNull()
             exprs.append(F.count_if((dig & col.rlike(shape) & ok) if shape else ok).alias(f"nt{i}_{j}"))
         if bitmap:
-            exprs += [F.bit_or(F.when(F.col(f"__hw{i}") == w, F.col(f"__hb{i}"))).alias(f"bm{i}_{w}")
-                      for w in range(BITMAP_WORDS)]
+            exprs += distinct.bitmap_aggs(F.col(f"__hw{i}"), F.col(f"__hb{i}"), f"bm{i}_")
     return exprs
 
 
@@ -271,7 +269,6 @@ def profile(df: DataFrame, exact_median: bool = True, date_formats=DEFAULT_DATE_
     nonnull = {c: stats[f"c{i}"] for i, c in enumerate(cols)}
 
     keep = [c for c in cols if nonnull[c] > 0]                              # P1
-    kept_str = [c for c in str_cols if c in keep]
     casts, kinds = _casts(str_cols, stats, date_formats)                    # P4, P5
     minmax = {c: (stats[f"mn{i}"], stats[f"mx{i}"]) for i, c in enumerate(num_raw)}
     for i, c in enumerate(str_cols):

@@ -16,8 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.operators.chartdata import (AUTO_BIN_MIN_DISTINCT, AUTO_PIVOT_MAX_DISTINCT, CHART_ROW_CAP,
-                                          CONTINUOUS_COLOUR_MIN_DISTINCT, colour_kinds, distinct_at_most)
+from tabsight.operators.chartdata import AUTO_PIVOT_MAX_DISTINCT, CHART_ROW_CAP, colour_kinds, distinct_at_most
 from tabsight.operators.profile import wide_agg
 
 # Fallback chains as coded in the reference (distribution chain checked first).
@@ -78,10 +77,6 @@ def result_facts(results: dict[str, DataFrame]) -> ResultFacts:
     return f
 
 
-def _is_numeric(df: DataFrame, col: str) -> bool:
-    return df.schema[col].dataType.typeName() in ("integer", "long", "short", "byte", "float", "double", "decimal")
-
-
 def _lit_map(d: dict, value_type: str) -> Column:
     if not d:
         return F.create_map().cast(f"map<string,{value_type}>")

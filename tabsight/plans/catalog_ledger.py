@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsight.functions import text as tx
 from tabsight.operators import ledger as lg
 from tabsight.plans import fixtures as fx
 from tabsight.plans.catalog import register

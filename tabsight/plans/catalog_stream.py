@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsight.plans import catalog_ledger as cl
-from tabsight.plans import fixtures as fx
 from tabsight.plans.catalog import ORACLE, register
 from tabsight.plans.fixtures import load
 from tabsight.streaming import ledger_stream as ls
