@@ -21,6 +21,30 @@ DEFAULT_CONF = {
 }
 
 
+# Target bytes per task for scans and shuffles on a cluster.
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def scale_conf(input_bytes: int, total_cores: int) -> dict:
+    """Cluster settings sized to the input so partitions fit executor memory.
+
+    Scan splits of ~256 MB; an initial shuffle width of ~input/256 MB (at
+    least 2x the cores) that AQE coalesces down at run time; AQE skew
+    splitting for partitions 5x the median and above 512 MB. For 100 TB on
+    8,000 cores this gives ~400,000 initial shuffle partitions.
+    """
+    width = max(2 * total_cores, int(input_bytes // TARGET_PARTITION_BYTES) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.shuffle.partitions": str(width),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(width),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * TARGET_PARTITION_BYTES),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }
+
+
 def get_session(master: str | None = None, app: str = "tabsight",
                 shuffle_partitions: int | None = None,
                 conf: dict | None = None) -> SparkSession:
