@@ -23,6 +23,7 @@ DEFAULT_CONF = {
 
 # Target bytes per task for scans and shuffles on a cluster.
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 200_000
 
 
 def scale_conf(input_bytes: int, total_cores: int) -> dict:
@@ -30,10 +31,12 @@ def scale_conf(input_bytes: int, total_cores: int) -> dict:
 
     Scan splits of ~256 MB; an initial shuffle width of ~input/256 MB (at
     least 2x the cores) that AQE coalesces down at run time; AQE skew
-    splitting for partitions 5x the median and above 512 MB. For 100 TB on
-    8,000 cores this gives ~400,000 initial shuffle partitions.
+    splitting for partitions 5x the median and above 512 MB. The width is
+    capped at MAX_SHUFFLE_PARTITIONS (map-status and scheduling overhead grow
+    with it); for 100 TB that cap applies and a full-input shuffle carries
+    ~0.5 GB per reducer, which sort-based shuffle spills safely.
     """
-    width = max(2 * total_cores, int(input_bytes // TARGET_PARTITION_BYTES) + 1)
+    width = min(MAX_SHUFFLE_PARTITIONS, max(2 * total_cores, int(input_bytes // TARGET_PARTITION_BYTES) + 1))
     return {
         "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES),
         "spark.sql.shuffle.partitions": str(width),
