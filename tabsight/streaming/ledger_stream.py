@@ -57,29 +57,45 @@ def file_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- ST1: status fold
 
 def _fold_group(key, batches, state: GroupState):
-    """T7 for one task: fold this micro-batch's updates (vectorised) onto the stored state."""
+    """T7 for one task: fold this micro-batch's updates onto the stored state.
+
+    Arrow batches are consumed one at a time and may arrive in any order:
+    only the newest phase, the newest SQL, the newest plain (overwriting)
+    update and the appends after it are kept, so memory is bounded by the
+    resulting log, not by the number of updates of the task.
+    """
     if state.exists:
         seq, phase, sql_seq, raw_sql, log = state.get
     else:
         seq, phase, sql_seq, raw_sql, log = -1, None, -1, None, ""
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable").reset_index(drop=True)
-    last = rows.iloc[-1]
-    if int(last["seq"]) > seq:
-        seq, phase = int(last["seq"]), last["phase"]
-    sql = rows["sql"].fillna("")
-    with_sql = rows[sql != ""]
-    if len(with_sql) and int(with_sql.iloc[-1]["seq"]) > sql_seq:
-        sql_seq, raw_sql = int(with_sql.iloc[-1]["seq"]), with_sql.iloc[-1]["sql"]
-    app = rows["append"].fillna("")
-    plain = np.flatnonzero((app == "").to_numpy())
-    if len(plain):
-        # The last plain update overwrote everything before it.
-        base = rows["log"].iloc[plain[-1]]
-        tail = app.iloc[plain[-1] + 1:].tolist()
-        log = base if isinstance(base, str) else ""
-    else:
-        tail = app.tolist()
-    log = "\n".join([x for x in [log] + tail if x])
+    plain_seq, plain_log = -1, None            # newest overwrite seen in this micro-batch
+    appends: list[tuple[int, str]] = []        # appends newer than plain_seq
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        s = pdf["seq"].to_numpy()
+        top = int(np.argmax(s))
+        if int(s[top]) > seq:
+            seq, phase = int(s[top]), pdf["phase"].iloc[top]
+        sql = pdf["sql"].fillna("")
+        has_sql = (sql != "").to_numpy()
+        if has_sql.any():
+            k = int(np.flatnonzero(has_sql)[np.argmax(s[has_sql])])
+            if int(s[k]) > sql_seq:
+                sql_seq, raw_sql = int(s[k]), sql.iloc[k]
+        app = pdf["append"].fillna("")
+        is_plain = (app == "").to_numpy()
+        if is_plain.any():
+            k = int(np.flatnonzero(is_plain)[np.argmax(s[is_plain])])
+            if int(s[k]) > plain_seq:
+                plain_seq = int(s[k])
+                base = pdf["log"].iloc[k]
+                plain_log = base if isinstance(base, str) else ""
+                appends = [(q, t) for q, t in appends if q > plain_seq]
+        appends += [(int(q), t) for q, t, p in zip(s, app, is_plain) if not p and q > plain_seq]
+    tail = [t for _, t in sorted(appends)]
+    start = plain_log if plain_seq >= 0 else log
+    log = "\n".join([x for x in [start] + tail if x])
     state.update((seq, phase, sql_seq, raw_sql, log))
     yield pd.DataFrame({"task_id": [key[0]], "current_phase": [phase], "raw_sql": [raw_sql],
                         "execution_log": [log], "last_seq": [seq]})
