@@ -356,3 +356,17 @@ def test_stream_fold_chunks_in_any_order_equal_batch_fold(spark):
     want = lg.fold_status(df).first()
     assert got.execution_log == want.execution_log
     assert got.current_phase == want.current_phase and got.raw_sql == want.raw_sql
+
+
+def test_ledger_append_and_pruned_read(spark):
+    from tabsight.session import scratch_path
+    from tabsight.sources import ledger_io
+    path = scratch_path(spark, "ledger-test")
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    ledger_io.append_events(ev.where("event_id % 2 = 0"), path)
+    ledger_io.append_events(ev.where("event_id % 2 = 1"), path)
+    got = ledger_io.read_events(spark, path, since="2024-01-10", until="2024-01-12")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "event_day" in plan
+    want = ev.where("to_date(ts) between date'2024-01-10' and date'2024-01-12'").count()
+    assert got.count() == want
