@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsight.functions import text as tx
 from tabsight.operators import chartdata as cd
@@ -47,6 +48,20 @@ def expand_sql(sql: str) -> str:
         i = k
 
 
+# Temporal results are reported as ISO text (microseconds) by both engines, so
+# the result check never depends on a time unit or a date/datetime type.
+TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+TS_TEXT_SQL = "%Y-%m-%d %H:%M:%S.%f"
+TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
+
+
+def _temporal_as_text(df: DataFrame) -> DataFrame:
+    if not any(isinstance(f.dataType, TEMPORAL) for f in df.schema.fields):
+        return df
+    return df.select(*[(F.date_format(F.col(f"`{f.name}`"), TS_TEXT).alias(f.name)
+                        if isinstance(f.dataType, TEMPORAL) else F.col(f"`{f.name}`")) for f in df.schema.fields])
+
+
 def _with_session_defaults(fn):
     """Every rule here is stated in UTC (UTC days, UTC timestamps): pin the
     session time zone, whichever session the caller brings."""
@@ -54,15 +69,19 @@ def _with_session_defaults(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return fn(spark, sf_dir)
+        return _temporal_as_text(fn(spark, sf_dir))
     return run
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, temporal: tuple = ()):
     def deco(fn):
         QUERIES[name] = _with_session_defaults(fn)
         if sql is not None:
-            ORACLE[name] = expand_sql(sql)
+            text = expand_sql(sql)
+            if temporal:
+                repl = ", ".join(f"strftime({c}, '{TS_TEXT_SQL}') AS {c}" for c in temporal)
+                text = f"SELECT * REPLACE ({repl}) FROM ({text}) AS q"
+            ORACLE[name] = text
         return fn
     return deco
 
@@ -74,7 +93,7 @@ LI_KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 @register("csv_scan", """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
-FROM orders ORDER BY o_orderkey LIMIT 50000""")
+FROM orders ORDER BY o_orderkey LIMIT 50000""", temporal=('o_orderdate',))
 def q_csv_scan(spark, sf_dir):
     """Orders written as CSV by Spark, read back all-string, typed, capped by key order."""
     path = scratch_path(spark, "orders-csv")
@@ -124,7 +143,7 @@ def q_preview_rows(spark, sf_dir):
 
 @register("drop_empty", f"""
 SELECT * EXCLUDE (empty_col) FROM {fx.LINEITEM_GAPS_SQL} g
-WHERE NOT ({' AND '.join(c + ' IS NULL' for c in fx.LINEITEM_COLS)})""")
+WHERE NOT ({' AND '.join(c + ' IS NULL' for c in fx.LINEITEM_COLS)})""", temporal=('l_shipdate',))
 def q_drop_empty(spark, sf_dir):
     """All-null column and all-null rows removed."""
     return pf.drop_empty(fx.lineitem_gaps(spark, sf_dir))
@@ -300,7 +319,7 @@ def q_coerce_numeric(spark, sf_dir):
 
 
 @register("retention", """
-SELECT event_id, ts, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 24 HOUR""")
+SELECT event_id, ts, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 24 HOUR""", temporal=('ts',))
 def q_retention(spark, sf_dir):
     """rows younger than 24 hours at a literal as-of time."""
     ev = load(spark, sf_dir, "events").select("event_id", "ts", "user_id")
@@ -434,7 +453,7 @@ def q_scatter_sample(spark, sf_dir):
 
 @register("line_series", """
 SELECT date_trunc('month', o_orderdate) AS month, round(sum(o_totalprice), 2) AS total_price
-FROM orders GROUP BY 1 ORDER BY 1""")
+FROM orders GROUP BY 1 ORDER BY 1""", temporal=('month',))
 def q_line_series(spark, sf_dir):
     """H5: monthly order totals ordered by x."""
     o = load(spark, sf_dir, "orders")

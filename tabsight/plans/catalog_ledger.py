@@ -106,7 +106,7 @@ WITH e AS (SELECT event_id AS req_id, 'u' || user_id AS user_id, ts,
 n AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, req_id) AS nth FROM e)
 SELECT req_id, user_id, day, tier,
        nth <= CASE tier WHEN 'admin' THEN 9999 WHEN 'signed_in' THEN 15 ELSE 3 END AS allowed
-FROM n""")
+FROM n""", temporal=('day',))
 def q_daily_quota(spark, sf_dir):
     """T4: per user and UTC day, the n-th request is allowed while n <= 3 / 15 / 9999 by tier."""
     e = load(spark, sf_dir, "events")
@@ -166,7 +166,7 @@ WITH loc AS (SELECT o_orderkey AS task_id, 'local ' || o_orderpriority AS title,
 st AS (SELECT o_orderkey AS task_id, 'stored ' || o_orderpriority AS title, o_orderdate AS timestamp FROM orders
        WHERE o_orderstatus = 'F' OR o_orderpriority = '1-URGENT')
 SELECT * FROM loc WHERE task_id NOT IN (SELECT task_id FROM st)
-UNION ALL SELECT * FROM st""")
+UNION ALL SELECT * FROM st""", temporal=('timestamp',))
 def q_merge_history(spark, sf_dir):
     """Stored rows win by id, local-only rows kept, newest first.
 
@@ -201,7 +201,7 @@ SELECT event_id, ts,
        CASE WHEN ts >= TIMESTAMP '{AS_OF[:10]} 00:00:00' THEN 'Today'
             WHEN ceil(abs(epoch_us(TIMESTAMP '{AS_OF[:10]} 00:00:00') - epoch_us(ts)) / 86400000000.0) <= 7 THEN 'Previous 7 Days'
             ELSE 'Older' END AS bucket
-FROM p""")
+FROM p""", temporal=('ts',))
 def q_recency(spark, sf_dir):
     """Bad or missing timestamps become as-of; Today / Previous 7 Days / Older."""
     e = load(spark, sf_dir, "events")
@@ -221,7 +221,7 @@ m AS (SELECT s.event_id, min(f.ts) AS fin FROM s JOIN f ON s.user_id = f.user_id
       GROUP BY s.event_id)
 SELECT s.event_id AS start_id, s.user_id, s.ts AS start_ts, m.fin AS finish_ts,
        CASE WHEN m.fin IS NULL THEN 'ERR_TIMEOUT' ELSE 'completed' END AS outcome
-FROM s LEFT JOIN m USING (event_id)""")
+FROM s LEFT JOIN m USING (event_id)""", temporal=('start_ts', 'finish_ts'))
 def q_poll_timeout(spark, sf_dir):
     """First purchase within a deadline after each signup, else ERR_TIMEOUT (deadline 1 day)."""
     e = load(spark, sf_dir, "events")

@@ -40,7 +40,7 @@ WITH e AS (SELECT 'u' || user_id AS user_id, CAST(ts AS DATE) AS day,
            FROM events)
 SELECT user_id, day, tier, count(*) AS n,
        count(*) > CASE tier WHEN 'admin' THEN 9999 WHEN 'signed_in' THEN 15 ELSE 3 END AS over_limit
-FROM e GROUP BY user_id, day, tier""")
+FROM e GROUP BY user_id, day, tier""", temporal=('day',))
 def q_stream_quota(spark, sf_dir):
     """ST2: per user and UTC day counts in event time (1 h watermark, update mode)."""
     return ls.stream_quota(spark, f"{sf_dir}/events.parquet", load(spark, sf_dir, "events"), _quota_events).select(
