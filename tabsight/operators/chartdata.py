@@ -45,6 +45,28 @@ def distinct_at_most(df: DataFrame, col: str, limit: int) -> list | None:
     return None if len(vals) > limit else sorted(vals, key=lambda v: (str(type(v)), v))
 
 
+def distinct_values_at_most(df: DataFrame, cols: list[str], limit: int) -> dict:
+    """``distinct_at_most`` for several columns: one bound job, one distinct read.
+
+    Returns {column: sorted values as text, or None when the column has more
+    than ``limit`` distinct non-null values}.
+    """
+    bound = distinct_lower_bounds(df, cols)
+    out = {c: None for c in cols if bound[c] > limit}
+    small = [c for c in cols if c not in out]
+    if small:
+        cap = (limit + 1) * len(small)
+        pairs = (df.select(*[_q(c).cast("string").alias(c) for c in small])
+                 .unpivot([], small, "column", "value").where(F.col("value").isNotNull())
+                 .distinct().limit(cap + 1).collect())
+        if len(pairs) > cap:                  # one column crowded the read: ask per column
+            return {**out, **{c: distinct_at_most(df, c, limit) for c in small}}
+        for c in small:
+            vals = sorted(r["value"] for r in pairs if r["column"] == c)
+            out[c] = None if len(vals) > limit else vals
+    return out
+
+
 def pivot_grid(df: DataFrame, col_a: str, col_b: str, metric: str, max_distinct: int = PIVOT_MAX_DISTINCT,
                round_to: int = 2) -> DataFrame | None:
     """A5: mean of metric, rows = ``col_b``, columns = values of ``col_a``; empty cells 0.
@@ -53,12 +75,13 @@ def pivot_grid(df: DataFrame, col_a: str, col_b: str, metric: str, max_distinct:
     column values are computed first and passed to ``pivot`` so Spark does
     not run its own distinct job.
     """
-    a_vals = distinct_at_most(df, col_a, max_distinct)
-    b_vals = distinct_at_most(df, col_b, max_distinct)
+    guard = distinct_values_at_most(df, [col_a, col_b], max_distinct)
+    a_vals, b_vals = guard[col_a], guard[col_b]
     if a_vals is None or b_vals is None:
         return None
     m = _q(metric).try_cast("double")
-    grid = (df.groupBy(_q(col_b)).pivot(col_a, a_vals)
+    # Pivot on the text form of the column axis: its values name the columns.
+    grid = (df.withColumn(col_a, _q(col_a).cast("string")).groupBy(_q(col_b)).pivot(col_a, a_vals)
             .agg(F.round(F.avg(m), round_to)))
     return grid.fillna(0, subset=[str(v) for v in a_vals])
 
