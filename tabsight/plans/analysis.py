@@ -19,11 +19,19 @@ from pyspark.sql import functions as F
 from tabsight.operators import shapes
 
 
-def _range(ontology: dict | None, df: DataFrame, col: str) -> tuple[float, float]:
-    if ontology and col in ontology and ontology[col].get("min") is not None:
-        return float(ontology[col]["min"]), float(ontology[col]["max"])
-    row = df.agg(F.min(col).alias("mn"), F.max(col).alias("mx")).first()
-    return float(row["mn"]), float(row["mx"])
+def _ranges(ontology: dict | None, df: DataFrame, cols: list[str]) -> dict:
+    """Min/max per column: from the ontology when known, else one aggregate for all."""
+    out, need = {}, []
+    for c in dict.fromkeys(cols):
+        if ontology and c in ontology and ontology[c].get("min") is not None:
+            out[c] = (float(ontology[c]["min"]), float(ontology[c]["max"]))
+        else:
+            need.append(c)
+    if need:
+        row = df.agg(*[x for i, c in enumerate(need)
+                       for x in (F.min(c).alias(f"mn{i}"), F.max(c).alias(f"mx{i}"))]).first()
+        out.update({c: (float(row[f"mn{i}"]), float(row[f"mx{i}"])) for i, c in enumerate(need)})
+    return out
 
 
 def _is_continuous(ontology: dict | None, df: DataFrame, col: str) -> bool:
@@ -38,6 +46,9 @@ def analysis_plan(df: DataFrame, dim: str, metric: str, dim2: str | None = None,
                   tier_col: str | None = None, round_to: int | None = 4) -> dict[str, DataFrame]:
     order_by = order_by or [dim, metric]
     src = df.where(where) if where is not None else df
+    seg = tier_col or metric
+    cont2 = bool(dim2) and _is_continuous(ontology, df, dim2)
+    ranges = _ranges(ontology, df, ([dim2] if cont2 else []) + [seg])
     out = {}
     if distribution:
         out["Query_1"] = shapes.raw_sample(src, [dim, metric], order_by, shapes.DISTRIBUTION_SAMPLE_ROWS)
@@ -46,8 +57,8 @@ def analysis_plan(df: DataFrame, dim: str, metric: str, dim2: str | None = None,
 
     if dim2:
         d2 = dim2
-        if _is_continuous(ontology, df, dim2):
-            mn, mx = _range(ontology, df, dim2)
+        if cont2:
+            mn, mx = ranges[dim2]
             edges = [mn + (mx - mn) * i / 3 for i in (1, 2)]
             d2 = f"{dim2}_tier"
             src2 = src.withColumn(d2, shapes.tier_expr(dim2, edges))
@@ -57,8 +68,7 @@ def analysis_plan(df: DataFrame, dim: str, metric: str, dim2: str | None = None,
     else:
         out["Query_2"] = shapes.grouped(src, [dim], [("sum", metric), ("max", metric)], "row_count", round_to)
 
-    seg = tier_col or metric
-    mn, mx = _range(ontology, df, seg)
+    mn, mx = ranges[seg]
     edges = [mn + (mx - mn) * i / 3 for i in (1, 2)]
     sample = src.withColumn(f"{seg}_tier", shapes.tier_expr(seg, edges))
     out["Query_3"] = shapes.raw_sample(sample, [dim, metric, f"{seg}_tier"], order_by + [f"{seg}_tier"],
