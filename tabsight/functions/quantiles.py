@@ -6,13 +6,17 @@ fails when one group (or a whole column) holds billions of rows. Here:
 1. one partial aggregate gives ``count`` and an approximate bracket
    ``[lo, hi]`` around each wanted rank (``percentile_approx`` sketches merge
    map-side, so no raw rows are shuffled);
-2. a second pass ships only (a) one "below lo" count per group and partition
-   and (b) the distinct values that fall inside the bracket, as a (value,
-   count) histogram. The bracket spans a rank width of about ``6 n /
-   accuracy`` rows, so the histogram is bounded, and a hot value collapses to
-   one row in the map-side combine;
-3. a running count over that small histogram finds the values at ranks
-   ``floor(k)`` and ``ceil(k)``, ``k = (n - 1) p``, and interpolates.
+2. if the largest group could leave more than ``max_bracket_rows`` rows in a
+   bracket (about ``6 n / accuracy``), the brackets are narrowed first: each
+   pass counts the rows of a bracket in ``bins`` equal-width value bins (a
+   partial aggregate, at most ``bins`` rows per bracket) and keeps the bins
+   that hold the wanted ranks; a bracket of a single value is final;
+3. the last pass ships one "below lo" count per bracket and partition and the
+   distinct values inside the bracket as a (value, count) histogram - at most
+   ``max_bracket_rows`` entries, and a hot value collapses to one entry in the
+   map-side combine;
+4. a running count over that histogram finds the values at ranks ``floor(k)``
+   and ``ceil(k)``, ``k = (n - 1) p``, and interpolates.
 
 Result equals pandas' default ``quantile`` / DuckDB ``quantile_cont``.
 """
@@ -22,13 +26,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsight.session import materialize
+
 DEFAULT_ACCURACY = 20000
 SMALL_GROUP_FACTOR = 4
+MAX_BRACKET_ROWS = 2_000_000
+REFINE_BINS = 4096
+MAX_REFINE_PASSES = 12
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                     group_cols: list[str] | tuple = (), accuracy: int = DEFAULT_ACCURACY,
-                    names: list[str] | None = None) -> DataFrame:
+                    names: list[str] | None = None, max_bracket_rows: int = MAX_BRACKET_ROWS,
+                    bins: int = REFINE_BINS) -> DataFrame:
     """Per group, one column per probability (named ``names`` or ``q0, q1, ...``)."""
     g = list(group_cols)
     names = names or [f"q{i}" for i in range(len(probs))]
@@ -44,39 +54,86 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
         F.count("__v").alias("__n"),
         F.percentile_approx("__v", lo_p + hi_p, accuracy).alias("__br"),
     )
-
-    # Pass 2: per row and prob, "below" (value null) or the value if inside the bracket.
-    # A group of at most ``small`` rows takes the whole range as its bracket: its
-    # histogram is bounded by ``small`` and the sketch's rank error (n/accuracy)
-    # could otherwise be smaller than the one-rank step of the interpolation.
-    joined = src.join(stats, on=g, how="inner") if g else src.crossJoin(F.broadcast(stats))
+    # One row per (group, probability): target rank and bracket. A group of at
+    # most ``small`` rows takes the whole range: its histogram is bounded by
+    # ``small`` and the sketch's rank error could be below one rank step.
     small = F.col("__n") <= F.lit(SMALL_GROUP_FACTOR * accuracy)
-    lo = [F.when(small, F.lit(float("-inf"))).otherwise(F.col("__br")[i]) for i in range(m)]
-    hi = [F.when(small, F.lit(float("inf"))).otherwise(F.col("__br")[m + i]) for i in range(m)]
-    marks = F.array(*[
-        F.when(F.col("__v") < lo[i], F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("vv")))
-         .when(F.col("__v") <= hi[i], F.struct(F.lit(i).alias("i"), F.col("__v").alias("vv")))
-        for i in range(m)
-    ])
-    hist = (joined.select(*g, "__n", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("__mk"))
-            .groupBy(*g, "__n", F.col("__mk.i").alias("__i"), F.col("__mk.vv").alias("__vv"))
-            .agg(F.count(F.lit(1)).alias("__c")))
+    brackets = (stats.select(*g, "__n", "__br", F.posexplode(F.array(*[F.lit(float(p)) for p in probs]))
+                             .alias("__i", "__p"))
+                .select(*g, "__i", "__n", ((F.col("__n") - 1) * F.col("__p")).alias("__k"),
+                        F.when(small, F.lit(float("-inf"))).otherwise(F.col("__br")[F.col("__i")]).alias("__lo"),
+                        F.when(small, F.lit(float("inf"))).otherwise(F.col("__br")[F.col("__i") + m]).alias("__hi"),
+                        F.lit(None).cast("long").alias("__below")))
+
+    needs_refine = max_bracket_rows is not None and (
+        (stats.agg(F.max("__n")).first()[0] or 0) * 6.0 / accuracy > max_bracket_rows)
+    if needs_refine:
+        brackets = _refine(src, brackets, g, max_bracket_rows, bins)
+
+    # Final pass: "below" counts (unless refinement already knows them) and the
+    # histogram of distinct values inside each bracket.
+    joined = src.join(brackets, on=g, how="inner") if g else src.crossJoin(F.broadcast(brackets))
+    inside = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
+    below_unknown = F.col("__below").isNull() & (F.col("__v") < F.col("__lo"))
+    marked = (joined.where(below_unknown | inside)
+              .select(*g, "__i", "__n", "__k", "__below",
+                      F.when(inside, F.col("__v")).alias("__vv")))
+    hist = marked.groupBy(*g, "__i", "__n", "__k", "__below", "__vv").agg(F.count(F.lit(1)).alias("__c"))
 
     w = Window.partitionBy(*g, "__i").orderBy(F.col("__vv").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    ranked = (hist.withColumn("__end", F.sum("__c").over(w))
-              .withColumn("__k", (F.col("__n") - 1) * probs_arr[F.col("__i")])
-              .withColumn("__r0", F.floor("__k"))
-              .withColumn("__r1", F.ceil("__k")))
+    base = F.coalesce(F.col("__below"), F.lit(0))
+    ranked = hist.withColumn("__end", base + F.sum("__c").over(w))
+    r0, r1 = F.floor("__k"), F.ceil("__k")
     picked = ranked.groupBy(*g, "__i").agg(
-        F.min(F.when(F.col("__vv").isNotNull() & (F.col("__end") > F.col("__r0")), F.col("__vv"))).alias("__v0"),
-        F.min(F.when(F.col("__vv").isNotNull() & (F.col("__end") > F.col("__r1")), F.col("__vv"))).alias("__v1"),
+        F.min(F.when(F.col("__vv").isNotNull() & (F.col("__end") > r0), F.col("__vv"))).alias("__v0"),
+        F.min(F.when(F.col("__vv").isNotNull() & (F.col("__end") > r1), F.col("__vv"))).alias("__v1"),
         F.first("__k").alias("__k"),
     )
     val = F.col("__v0") + (F.col("__k") - F.floor("__k")) * (F.col("__v1") - F.col("__v0"))
     return picked.groupBy(*g).agg(*[F.max(F.when(F.col("__i") == i, val)).alias(names[i]) for i in range(m)])
 
 
+def _refine(src: DataFrame, brackets: DataFrame, g: list[str], max_rows: int, bins: int) -> DataFrame:
+    """Narrow every bracket until it holds at most ``max_rows`` rows.
+
+    Each pass: rows below each bracket are counted, rows inside are counted per
+    equal-width value bin (at most ``bins`` rows per bracket after the partial
+    aggregate), and the bracket becomes [min of the bin holding rank floor(k),
+    max of the bin holding rank ceil(k)]. Brackets (one row per group and
+    probability) are checkpointed between passes.
+    """
+    finite = ~F.isnan(F.col("__lo") - F.col("__hi")) & (F.abs(F.col("__hi") - F.col("__lo")) < F.lit(float("inf")))
+    done = brackets.where(~finite)          # whole-range brackets of small groups
+    br = brackets.where(finite)
+    for _ in range(MAX_REFINE_PASSES):
+        joined = src.join(br, on=g, how="inner") if g else src.crossJoin(F.broadcast(br))
+        width = F.col("__hi") - F.col("__lo")
+        b = F.when(F.col("__v") < F.col("__lo"), F.lit(-1)).otherwise(
+            F.when(width == 0, F.lit(0)).otherwise(
+                F.least(F.floor((F.col("__v") - F.col("__lo")) / width * bins), F.lit(bins - 1)))).cast("int")
+        per_bin = (joined.where(F.col("__v") <= F.col("__hi")).withColumn("__bin", b)
+                   .groupBy(*g, "__i", "__n", "__k", "__bin")
+                   .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__bmin"), F.max("__v").alias("__bmax")))
+        w = Window.partitionBy(*g, "__i").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+        cum = per_bin.withColumn("__end", F.sum("__c").over(w))
+        r0, r1 = F.floor("__k"), F.ceil("__k")
+        first0 = F.min(F.when((F.col("__bin") >= 0) & (F.col("__end") > r0), F.struct("__bin", "__bmin", "__end", "__c")))
+        first1 = F.min(F.when((F.col("__bin") >= 0) & (F.col("__end") > r1), F.struct("__bin", "__bmax", "__end")))
+        nxt = (cum.groupBy(*g, "__i", "__n", "__k").agg(first0.alias("__f0"), first1.alias("__f1"))
+               .select(*g, "__i", "__n", "__k",
+                       F.col("__f0.__bmin").alias("__lo"), F.col("__f1.__bmax").alias("__hi"),
+                       (F.col("__f0.__end") - F.col("__f0.__c")).alias("__below"),
+                       (F.col("__f1.__end") - F.col("__f0.__end") + F.col("__f0.__c")).alias("__inside")))
+        # A reliable checkpoint (shared folder) cuts the lineage between passes.
+        nxt = materialize(nxt)
+        final = (F.col("__hi") == F.col("__lo")) | (F.col("__inside") <= max_rows)
+        done = done.unionByName(nxt.where(final).drop("__inside"))
+        br = nxt.where(~final).drop("__inside")
+        if br.isEmpty():
+            break
+    return done.unionByName(br)
+
+
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                      accuracy: int = DEFAULT_ACCURACY, names: list[str] | None = None) -> DataFrame:
     """Exact quantiles of many numeric columns at once: (column, q0, q1, ...)."""

@@ -370,3 +370,20 @@ def test_ledger_append_and_pruned_read(spark):
     assert "PartitionFilters" in plan and "event_day" in plan
     want = ev.where("to_date(ts) between date'2024-01-10' and date'2024-01-12'").count()
     assert got.count() == want
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_exact_quantiles_refinement_passes_match_numpy(spark, seed):
+    rnd = random.Random(seed)
+    vals = [rnd.expovariate(1.0) for _ in range(2500)] + [1.5] * 1200 + [float(rnd.randint(0, 5)) for _ in range(300)]
+    groups = [rnd.choice("abc") for _ in vals] + ["tiny"] * 3
+    vals += [7.0, 8.0, 9.0]
+    df = spark.createDataFrame(list(zip(groups, vals)), "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.67, 0.99, 1.0]
+    # tiny thresholds force several refinement passes per bracket
+    got = {r.g: r for r in exact_quantiles(df, "v", probs, ["g"], accuracy=20, max_bracket_rows=15, bins=4).collect()}
+    pdf = pd.DataFrame({"g": groups, "v": vals})
+    for g, sub in pdf.groupby("g"):
+        want = np.quantile(sub.v.to_numpy(), probs)
+        for i, w in enumerate(want):
+            assert math.isclose(got[g][f"q{i}"], w, rel_tol=1e-12, abs_tol=1e-12), (g, probs[i])
