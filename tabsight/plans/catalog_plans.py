@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tabsight.functions.ranking import ranked_within
 from tabsight.operators import manifest as mf
 from tabsight.operators import routing as rt
 from tabsight.plans import fixtures as fx
@@ -127,10 +127,11 @@ def q_route_points(spark, sf_dir):
     manifest = mf.shape_manifest(spark, _plan_results(spark, sf_dir))
     pts = mf.dedupe_points(points_frame(spark, sf_dir), ["conv_id"], "pos")
     checked = mf.route_points(pts, manifest)
-    w = Window.partitionBy("conv_id").orderBy("pos")
-    charts = (checked.where(F.col("violation").isNull())
-              .select("conv_id", F.col("point_id").alias("scenario_id"), (F.row_number().over(w) - 1).alias("chart_pos")))
-    plist = checked.select("conv_id", "point_id", "point_title", (F.row_number().over(w) - 1).alias("pos"))
+    # Positions within a document: skew-safe numbering (a document may hold a third of all points).
+    charts = (ranked_within(checked.where(F.col("violation").isNull()), ["conv_id"], ["pos"], "__rn")
+              .select("conv_id", F.col("point_id").alias("scenario_id"), (F.col("__rn") - 1).cast("int").alias("chart_pos")))
+    plist = (ranked_within(checked, ["conv_id"], ["pos"], "__rn")
+             .select("conv_id", "point_id", "point_title", (F.col("__rn") - 1).cast("int").alias("pos")))
     paired = mf.pair_charts(charts, plist, ["conv_id"])
     return (checked.join(paired.select("conv_id", F.col("scenario_id").alias("point_id"), "analysis_title"),
                          ["conv_id", "point_id"], "left")
