@@ -143,27 +143,46 @@ def tier_of(email: Column, is_admin: Column) -> Column:
     return F.when(is_admin, "admin").when(email.isNotNull(), "signed_in").otherwise("anonymous")
 
 
+# Limits up to this size are ranked as a top-k (Spark plans ``row_number() <= k``
+# as a WindowGroupLimit only up to its windowGroupLimitThreshold, 1000).
+TOP_K_MAX = 1000
+
+
 def daily_quota(events: DataFrame, ts_col: str = "ts", tier_col: str = "tier") -> DataFrame:
     """T4: the n-th request of a user on a UTC day is allowed while n <= the tier's limit.
 
     A partial aggregate counts requests per (user, day); a day within its
-    limit is allowed whole without any ranking. Only days over the limit are
-    ranked, with the skew-safe ``ranked_within`` (a user-day holding a third of
-    all rows is spread over many tasks). ``nth_today`` is filled for ranked
-    days only.
+    limit is allowed whole without any ranking. Over-limit days of tiers with
+    a small limit keep their first ``limit`` requests with ``row_number() <=
+    k``, planned as a WindowGroupLimit (top k per day before the shuffle).
+    Over-limit days of larger limits are ranked with the skew-safe
+    ``ranked_within``. ``nth_today`` is filled for allowed requests of
+    over-limit days only.
     """
-    limit = F.element_at(F.create_map(*[x for k, v in TIER_LIMITS.items() for x in (F.lit(k), F.lit(v))]),
-                         F.col(tier_col))
+    limits = F.create_map(*[x for k, v in TIER_LIMITS.items() for x in (F.lit(k), F.lit(v))])
+    limit = F.element_at(limits, F.col(tier_col))
     base = events.select("req_id", "user_id", F.to_date(F.col(ts_col)).alias("day"), tier_col, ts_col)
     days = (base.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("__n"), F.max(tier_col).alias("__tier"))
-            .withColumn("__over", F.col("__n") > F.element_at(
-                F.create_map(*[x for k, v in TIER_LIMITS.items() for x in (F.lit(k), F.lit(v))]), F.col("__tier"))))
-    marked = base.join(days.select("user_id", "day", "__over"), ["user_id", "day"])
-    within = marked.where(~F.col("__over")).select("req_id", "user_id", "day", tier_col,
-                                                    F.lit(None).cast("long").alias("nth_today"), F.lit(True).alias("allowed"))
-    over = ranked_within(marked.where(F.col("__over")), ["user_id", "day"], [ts_col, "req_id"], "nth_today")
-    over = over.select("req_id", "user_id", "day", tier_col, "nth_today", (F.col("nth_today") <= limit).alias("allowed"))
-    return within.unionByName(over)
+            .withColumn("__lim", F.element_at(limits, F.col("__tier")))
+            .where(F.col("__n") > F.col("__lim")).select("user_id", "day", "__lim"))
+    marked = base.join(days, ["user_id", "day"], "left")
+    out = ["req_id", "user_id", "day", tier_col]
+    within = marked.where(F.col("__lim").isNull()).select(
+        *out, F.lit(None).cast("long").alias("nth_today"), F.lit(True).alias("allowed"))
+    over = marked.where(F.col("__lim").isNotNull())
+    small_k = max([v for v in TIER_LIMITS.values() if v <= TOP_K_MAX], default=0)
+    w = Window.partitionBy("user_id", "day").orderBy(F.col(ts_col), F.col("req_id"))
+    top = (over.where(F.col("__lim") <= small_k).withColumn("__rn", F.row_number().over(w))
+           .where(F.col("__rn") <= small_k).where(F.col("__rn") <= F.col("__lim"))
+           .select("req_id", F.col("__rn").cast("long").alias("nth_today")))
+    big = over.where(F.col("__lim") > small_k)
+    if not big.isEmpty():
+        ranked = ranked_within(big, ["user_id", "day"], [ts_col, "req_id"], "__rn")
+        top = top.unionByName(ranked.where(F.col("__rn") <= F.col("__lim"))
+                              .select("req_id", F.col("__rn").cast("long").alias("nth_today")))
+    over_out = over.select(*out).join(top, "req_id", "left").select(
+        *out, "nth_today", F.col("nth_today").isNotNull().alias("allowed"))
+    return within.unionByName(over_out)
 
 
 # ---------------------------------------------------------------- delete

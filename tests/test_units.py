@@ -387,3 +387,17 @@ def test_exact_quantiles_refinement_passes_match_numpy(spark, seed):
         want = np.quantile(sub.v.to_numpy(), probs)
         for i, w in enumerate(want):
             assert math.isclose(got[g][f"q{i}"], w, rel_tol=1e-12, abs_tol=1e-12), (g, probs[i])
+
+
+def test_daily_quota_large_limit_path(spark, monkeypatch):
+    import datetime
+    monkeypatch.setattr(lg, "TIER_LIMITS", {"anonymous": 3, "signed_in": 15, "admin": 1500})
+    base = datetime.datetime(2024, 1, 1)
+    rows = [(i, "boss" if i % 4 else "u1", base + datetime.timedelta(seconds=i * 5),
+             "admin" if i % 4 else "anonymous") for i in range(4000)]
+    df = spark.createDataFrame(rows, "req_id long, user_id string, ts timestamp, tier string")
+    got = {r.req_id: r.allowed for r in lg.daily_quota(df).collect()}
+    pdf = df.toPandas().sort_values(["ts", "req_id"])
+    pdf["n"] = pdf.groupby(["user_id", pdf.ts.dt.date]).cumcount() + 1
+    for r in pdf.itertuples():
+        assert got[r.req_id] == (r.n <= {"anonymous": 3, "admin": 1500}[r.tier])
