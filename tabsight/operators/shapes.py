@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsight.functions.quantiles import exact_quantiles
+
 # Names treated as row identifiers, never correlation features.
 ID_NAME_PATTERN = r"\b(id|index|key|code|num|no|number|seq|sequence|row)\b"
 ID_WORDS = ("id", "index", "key", "code", "num", "no", "number", "seq", "sequence", "row")
@@ -17,7 +19,7 @@ DISTRIBUTION_SAMPLE_ROWS = 500
 
 AGG_FUNCS = {
     "avg": F.avg, "count": F.count, "sum": F.sum, "min": F.min, "max": F.max,
-    "median": F.median, "stddev": F.stddev, "variance": F.variance,
+    "stddev": F.stddev, "variance": F.variance,
 }
 
 
@@ -34,7 +36,25 @@ def project_filter(df: DataFrame, cols: list[str], where: Column | str | None =
 
 def grouped(df: DataFrame, dims: list[str], measures: list[tuple[str, str]],
             count_alias: str | None = "row_count", round_to: int | None = None) -> DataFrame:
-    """A1/A2/A4: ``GROUP BY dims`` with ``(func, column)`` measures named ``func_column``."""
+    """A1/A2/A4: ``GROUP BY dims`` with ``(func, column)`` measures named ``func_column``.
+
+    ``median`` measures use the bounded exact-quantile job (Spark's exact
+    ``median`` would buffer each group whole) and are joined on ``dims``.
+    """
+    medians = [col for func, col in measures if func == "median"]
+    out = _grouped(df, dims, [(f, c) for f, c in measures if f != "median"], count_alias, round_to)
+    for col in dict.fromkeys(medians):
+        med = exact_quantiles(df.select(*[_q(d) for d in dims], _q(col).try_cast("double").alias(col)),
+                              col, [0.5], dims, names=[f"median_{col}"])
+        if round_to is not None:
+            med = med.withColumn(f"median_{col}", F.round(f"median_{col}", round_to))
+        out = out.join(med, dims, "left") if dims else out.crossJoin(med)
+    names = [f"{f}_{c}" for f, c in measures] + ([count_alias] if count_alias else [])
+    return out.select(*[_q(d) for d in dims], *[_q(n) for n in names])
+
+
+def _grouped(df: DataFrame, dims: list[str], measures: list[tuple[str, str]],
+             count_alias: str | None, round_to: int | None) -> DataFrame:
     aggs = []
     for func, col in measures:
         e = AGG_FUNCS[func](_q(col).try_cast("double") if func not in ("count",) else _q(col))

@@ -551,3 +551,16 @@ FROM b GROUP BY event_type, bin, mn, mx, n""")
 def q_violin_density(spark, sf_dir):
     """H2: the violin body as per-group 40-bin densities of events.value by type."""
     return cd.violin_density(load(spark, sf_dir, "events"), "event_type", "value")
+
+
+@register("median_agg", """
+SELECT l_returnflag, round(median(l_extendedprice), 4) AS median_l_extendedprice,
+       round(stddev_samp(l_quantity), 4) AS stddev_l_quantity, round(var_samp(l_discount), 6) AS variance_l_discount,
+       count(*) AS row_count
+FROM lineitem GROUP BY l_returnflag""")
+def q_median_agg(spark, sf_dir):
+    """A2 (offered extras): exact median (bounded memory), standard deviation and variance per flag."""
+    li = load(spark, sf_dir, "lineitem")
+    out = sh.grouped(li, ["l_returnflag"], [("median", "l_extendedprice"), ("stddev", "l_quantity")], "row_count", 4)
+    var = li.groupBy("l_returnflag").agg(F.round(F.variance("l_discount"), 6).alias("variance_l_discount"))
+    return out.join(var, "l_returnflag")

@@ -401,3 +401,15 @@ def test_daily_quota_large_limit_path(spark, monkeypatch):
     pdf["n"] = pdf.groupby(["user_id", pdf.ts.dt.date]).cumcount() + 1
     for r in pdf.itertuples():
         assert got[r.req_id] == (r.n <= {"anonymous": 3, "admin": 1500}[r.tier])
+
+
+def test_grouped_with_median_matches_pandas(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice("xyz"), rnd.random() * 100) for _ in range(900)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r for r in sh.grouped(df, ["k"], [("avg", "v"), ("median", "v"), ("stddev", "v")], "n", 6).collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "v"])
+    for k, sub in pdf.groupby("k"):
+        assert math.isclose(got[k].median_v, round(sub.v.median(), 6), abs_tol=1e-6)
+        assert math.isclose(got[k].avg_v, round(sub.v.mean(), 6), abs_tol=1e-6)
+        assert got[k].n == len(sub)
