@@ -83,7 +83,9 @@ def pivot_grid(df: DataFrame, col_a: str, col_b: str, metric: str, max_distinct:
     # Pivot on the text form of the column axis: its values name the columns.
     grid = (df.withColumn(col_a, _q(col_a).cast("string")).groupBy(_q(col_b)).pivot(col_a, a_vals)
             .agg(F.round(F.avg(m), round_to)))
-    return grid.fillna(0, subset=[str(v) for v in a_vals])
+    # A value equal to the row column's name would duplicate that name: suffix it.
+    names = [col_b] + [f"{v}_" if v == col_b else str(v) for v in a_vals]
+    return grid.toDF(*names).fillna(0, subset=names[1:])
 
 
 # Aggregates per job: each centred sum is one buffer field, which keeps the

@@ -413,3 +413,25 @@ def test_grouped_with_median_matches_pandas(spark):
         assert math.isclose(got[k].median_v, round(sub.v.median(), 6), abs_tol=1e-6)
         assert math.isclose(got[k].avg_v, round(sub.v.mean(), 6), abs_tol=1e-6)
         assert got[k].n == len(sub)
+
+
+def test_pivot_grid_property(spark):
+    from hypothesis import given, settings, strategies as st
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from("pqr"), st.floats(-100, 100)),
+                    min_size=1, max_size=60))
+    def check(rows):
+        df = spark.createDataFrame(rows, "a string, b string, m double")
+        grid = cd.pivot_grid(df, "a", "b", "m", round_to=6)
+        a_vals, b_vals = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+        got = grid.collect()
+        assert len(got) == len(b_vals) and len(grid.columns) - 1 == len(a_vals)     # |a| x |b| cells
+        pdf = pd.DataFrame(rows, columns=["a", "b", "m"])
+        means = pdf.groupby(["b", "a"]).m.mean()
+        for r in got:
+            for a in a_vals:
+                want = round(means.get((r["b"], a), 0.0), 6)
+                assert math.isclose(r[a + "_" if a == "b" else a], want, abs_tol=1e-6)
+
+    check()
