@@ -435,3 +435,37 @@ def test_pivot_grid_property(spark):
                 assert math.isclose(r[a + "_" if a == "b" else a], want, abs_tol=1e-6)
 
     check()
+
+
+def _py_clean_title(p):
+    import re as _re
+    t = _re.sub(r"(?mi)^(To|From|Subject|Executive Memo):.*$", "", p).strip()[:500]
+    t = t.replace('"', "").replace("'", "").replace("*", "").strip()
+    return t if t else "Advanced Data Analysis"
+
+
+def _py_short_title(p):
+    import re as _re
+    t = _re.sub(r"(?i)^(To:|From:|Subject:|Executive Memo:)\s*", "", p, count=1).strip()
+    return " ".join(t.split(" ")[:4]) + "..." if t else "Analysis Session"
+
+
+def test_text_rules_match_plain_python(spark):
+    from hypothesis import given, settings, strategies as st
+    pieces = st.sampled_from(["To: x", "Subject: y", "from: z", "Executive Memo: q", "hello", "world", " ", "\n",
+                              "\t", '"', "'", "*", "```", "sql", "a b  c", "\r\n", "É", "日本"])
+
+    @settings(max_examples=8, deadline=None)
+    @given(st.lists(st.lists(pieces, max_size=12).map("".join), min_size=1, max_size=25)
+           .map(lambda ts: ts + ["hello\nTo: x\r\nworld", "a\rSubject: b\nc"]))
+    def check(texts):
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        got = df.select(tx.clean_title("t").alias("a"), tx.short_title("t").alias("b"),
+                        tx.snippet("t").alias("c"), tx.clean_content("t").alias("d")).collect()
+        for t, r in zip(texts, got):
+            assert r.a == _py_clean_title(t), t
+            assert r.b == _py_short_title(t), t
+            assert r.c == t[:45] + "...", t
+            assert r.d == t.split("```")[0].strip()[:1000], t
+
+    check()
