@@ -66,6 +66,12 @@ def preview_rows(df: DataFrame, n: int = 50, order_by: list[str] | None = None)
     return src.limit(n).select(*cols)
 
 
+def preview_with_count(df: DataFrame, n: int = 50, order_by: list[str] | None = None) -> tuple[DataFrame, int]:
+    """S4 with its row count: the count is of the whole table (the original counts only
+    the first 500 KB of the file)."""
+    return preview_rows(df, n, order_by), df.count()
+
+
 def result_pair(df: DataFrame, order_by: list[str], preview: int = 3) -> DataFrame:
     """Full rows plus the first ``preview`` rows, tagged ``part``."""
     full = df.withColumn("part", F.lit("full"))

@@ -469,3 +469,10 @@ def test_text_rules_match_plain_python(spark):
             assert r.d == t.split("```")[0].strip()[:1000], t
 
     check()
+
+
+def test_preview_with_count_counts_the_whole_table(spark):
+    df = spark.createDataFrame([(i, f" v{i} ") for i in range(120)], "k long, s string")
+    rows, n = ingest.preview_with_count(df, 50, ["k"])
+    got = rows.collect()
+    assert n == 120 and len(got) == 50 and got[0].s == "v0" and got[0].k == "0"
