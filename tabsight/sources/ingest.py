@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsight.functions.text import strip_ws
+
 # The missing-value tokens of pandas' default CSV reader.
 MISSING_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -60,8 +62,7 @@ def mount(df: DataFrame, name: str = DATASET_VIEW) -> DataFrame:
 
 def preview_rows(df: DataFrame, n: int = 50, order_by: list[str] | None = None) -> DataFrame:
     """First ``n`` rows, every value as trimmed text, missing as ''."""
-    cols = [F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")),
-                             r"^\s+|\s+$", "").alias(c) for c in df.columns]
+    cols = [strip_ws(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).alias(c) for c in df.columns]
     src = df.orderBy(*order_by) if order_by else df
     return src.limit(n).select(*cols)
 
