@@ -21,7 +21,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tabsight.operators import ledger as lg
 from tabsight.session import scratch_path
 
-FOLD_STATE_SCHEMA = "seq long, phase string, sql_seq long, raw_sql string, log string"
+FOLD_STATE_SCHEMA = ("seq long, phase string, sql_seq long, raw_sql string, plain_seq long, plain_log string, "
+                     "appends array<struct<seq:long,text:string>>")
 FOLD_OUT_SCHEMA = "task_id string, current_phase string, raw_sql string, execution_log string, last_seq long"
 
 
@@ -42,12 +43,14 @@ def _run(writer, query_name: str, checkpoint: str):
         raise q.exception()
 
 
-def file_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, like: DataFrame, max_files: int | None = None) -> DataFrame:
     """A file stream with the schema of a batch frame (no inference on streams).
 
     ``path`` is a folder, or one file (read as its folder filtered to that name).
     """
     reader = spark.readStream.schema(like.schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if path.endswith(".parquet") and os.path.isfile(path):
         reader = reader.option("pathGlobFilter", os.path.basename(path))
         path = os.path.dirname(path)
@@ -59,17 +62,18 @@ def file_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 def _fold_group(key, batches, state: GroupState):
     """T7 for one task: fold this micro-batch's updates onto the stored state.
 
-    Arrow batches are consumed one at a time and may arrive in any order:
-    only the newest phase, the newest SQL, the newest plain (overwriting)
-    update and the appends after it are kept, so memory is bounded by the
-    resulting log, not by the number of updates of the task.
+    Order-independent, within and across micro-batches: the state keeps the
+    newest phase and SQL by ``seq``, the newest plain (overwriting) update and
+    the ``(seq, text)`` appends newer than it. A late update lands where its
+    ``seq`` puts it; anything older than the newest overwrite is dropped. Arrow
+    batches are consumed one at a time, so memory is bounded by the resulting
+    log, not by the number of updates of the task.
     """
     if state.exists:
-        seq, phase, sql_seq, raw_sql, log = state.get
+        seq, phase, sql_seq, raw_sql, plain_seq, plain_log, kept = state.get
+        appends = [(int(a[0]), a[1]) for a in (kept or [])]
     else:
-        seq, phase, sql_seq, raw_sql, log = -1, None, -1, None, ""
-    plain_seq, plain_log = -1, None            # newest overwrite seen in this micro-batch
-    appends: list[tuple[int, str]] = []        # appends newer than plain_seq
+        seq, phase, sql_seq, raw_sql, plain_seq, plain_log, appends = -1, None, -1, None, -1, "", []
     for pdf in batches:
         if pdf.empty:
             continue
@@ -93,24 +97,23 @@ def _fold_group(key, batches, state: GroupState):
                 plain_log = base if isinstance(base, str) else ""
                 appends = [(q, t) for q, t in appends if q > plain_seq]
         appends += [(int(q), t) for q, t, p in zip(s, app, is_plain) if not p and q > plain_seq]
-    tail = [t for _, t in sorted(appends)]
-    start = plain_log if plain_seq >= 0 else log
-    log = "\n".join([x for x in [start] + tail if x])
-    state.update((seq, phase, sql_seq, raw_sql, log))
+    appends.sort()
+    log = "\n".join([x for x in [plain_log] + [t for _, t in appends] if x])
+    state.update((seq, phase, sql_seq, raw_sql, plain_seq, plain_log, [list(a) for a in appends]))
     yield pd.DataFrame({"task_id": [key[0]], "current_phase": [phase], "raw_sql": [raw_sql],
                         "execution_log": [log], "last_seq": [seq]})
 
 
 def stream_status(spark: SparkSession, updates_path: str, updates_like: DataFrame,
-                  transform=None, out_path: str | None = None) -> DataFrame:
+                  transform=None, out_path: str | None = None, max_files: int | None = None) -> DataFrame:
     """ST1: T7 as a stateful stream (``applyInPandasWithState``, update mode).
 
-    Updates must arrive in ``seq`` order across micro-batches (within one
-    micro-batch any order is fine). Returns the current state per task read
-    back from the sink: the newest emitted row of each task.
+    Updates may arrive in any order, within and across micro-batches. Returns
+    the current state per task read back from the sink: the row emitted in the
+    newest epoch for each task.
     """
     out_path = out_path or scratch_path(spark, "st1-out")
-    src = file_stream(spark, updates_path, updates_like)
+    src = file_stream(spark, updates_path, updates_like, max_files)
     if transform is not None:
         src = transform(src)
     folded = src.groupBy("task_id").applyInPandasWithState(

@@ -332,7 +332,7 @@ def test_daily_quota_with_a_hot_user_equals_row_number(spark):
         assert got[r.req_id] == (r.n <= lim[r.tier])
 
 
-def test_stream_fold_chunks_in_any_order_equal_batch_fold(spark):
+def test_stream_fold_in_any_order_across_batches_equals_batch_fold(spark):
     from tabsight.streaming.ledger_stream import _fold_group
 
     class State:
@@ -351,7 +351,11 @@ def test_stream_fold_chunks_in_any_order_equal_batch_fold(spark):
     pdf = pd.DataFrame(rows)
     chunks = [pdf.iloc[i:i + 17] for i in range(0, 200, 17)]
     rnd.shuffle(chunks)
-    got = next(_fold_group(("t",), iter(chunks), State())).iloc[0]
+    st1 = State()
+    next(_fold_group(("t",), iter(chunks[:5]), st1))          # micro-batch 1: a random subset
+    st2 = State()
+    st2.exists, st2.get = True, st1.v                         # micro-batch 2: the rest, late rows included
+    got = next(_fold_group(("t",), iter(chunks[5:]), st2)).iloc[0]
     df = spark.createDataFrame(pdf.assign(task_id="t"))
     want = lg.fold_status(df).first()
     assert got.execution_log == want.execution_log
@@ -476,3 +480,18 @@ def test_preview_with_count_counts_the_whole_table(spark):
     rows, n = ingest.preview_with_count(df, 50, ["k"])
     got = rows.collect()
     assert n == 120 and len(got) == 50 and got[0].s == "v0" and got[0].k == "0"
+
+
+def test_stream_status_over_several_out_of_order_batches(spark):
+    from tabsight.plans import catalog_stream as cs
+    from tabsight.plans import fixtures as fx
+    from tabsight.session import scratch_path
+    from tabsight.streaming import ledger_stream as ls
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    src = scratch_path(spark, "events-split")
+    for part in (3, 1, 0, 2):                     # each file interleaves seqs of the others
+        ev.where(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(src)
+    got = ls.stream_status(spark, src, ev, cs._status_updates, max_files=1)
+    want = lg.fold_status(fx.status_updates(spark, "/root/testdata/sf0.001"))
+    cols = ["task_id", "current_phase", "raw_sql", "execution_log"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
