@@ -1,4 +1,4 @@
-"""Chart routing (H9, H11-H15) as column expressions over every point at once.
+"""Chart routing (H9-H15) as column expressions over every point at once.
 
 The reference decides each chart in a Python loop over points. Here a fixed
 number of small jobs per *result* gather the facts the rules need (row
@@ -16,7 +16,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.operators.chartdata import AUTO_PIVOT_MAX_DISTINCT, CHART_ROW_CAP, colour_kinds, distinct_at_most
+from tabsight.functions.quantiles import column_quantiles
+from tabsight.operators.chartdata import (AUTO_PIVOT_MAX_DISTINCT, CHART_ROW_CAP, TIER_QUANTILES, colour_kinds,
+                                          distinct_at_most)
 from tabsight.operators.profile import wide_agg
 
 # Fallback chains as coded in the reference (distribution chain checked first).
@@ -36,6 +38,7 @@ class ResultFacts:
     abs_total: dict = field(default_factory=dict)
     n_xy: dict = field(default_factory=dict)
     colour: dict = field(default_factory=dict)
+    tier_ok: dict = field(default_factory=dict)
 
     @property
     def fallback(self) -> str | None:
@@ -71,9 +74,18 @@ def result_facts(results: dict[str, DataFrame]) -> ResultFacts:
                   and distinct_at_most(head, cols[1], AUTO_PIVOT_MAX_DISTINCT) is not None)
         f.pivot_ok[name] = ok
         if v["__n"] > 0:
+            many = []
             for r in colour_kinds(df).collect():
-                f.colour[name + SEP + r["column_name"]] = (
-                    "continuous" if r["kind"] == "continuous" else "numeric_many" if r["many"] else "discrete")
+                kind = "continuous" if r["kind"] == "continuous" else "numeric_many" if r["many"] else "discrete"
+                f.colour[name + SEP + r["column_name"]] = kind
+                if kind != "discrete":
+                    many.append(r["column_name"])
+            # The tier colour needs distinct 0.33 / 0.67 thresholds (rounded to 1).
+            if many:
+                qs = column_quantiles(df, many, list(TIER_QUANTILES), names=["lo", "hi"]).select(
+                    "column", F.round("lo", 1).alias("lo"), F.round("hi", 1).alias("hi")).collect()
+                for r in qs:
+                    f.tier_ok[name + SEP + r["column"]] = r["lo"] is not None and r["lo"] < r["hi"]
     return f
 
 
@@ -97,6 +109,7 @@ def route_charts(points: DataFrame, facts: ResultFacts) -> DataFrame:
     abs_m = _lit_map(facts.abs_total, "double")
     xy_m = _lit_map(facts.n_xy, "bigint")
     col_m = _lit_map(facts.colour, "string")
+    tier_m = _lit_map(facts.tier_ok, "boolean")
     fallback = F.lit(facts.fallback)
 
     c = F.lower(F.trim(F.coalesce(F.col("chart_type").cast("string"), F.lit("bar"))))
@@ -134,8 +147,10 @@ def route_charts(points: DataFrame, facts: ResultFacts) -> DataFrame:
                 .otherwise(F.coalesce(first_ok, cc)))
     ok = is_heat | pivot | (~no_data & ~err & first_ok.isNotNull())
     cm = col_m[key(F.col("data_query"), F.col("__rc"))]
+    tier_ok = F.coalesce(tier_m[key(F.col("data_query"), F.col("__rc"))], F.lit(False))
     colour = (F.when((F.col("__rc") == "") | cm.isNull(), "none")
-              .when(cc.isin("violin", "box") & cm.isin("numeric_many", "continuous"), "tier")
+              .when(cc.isin("violin", "box") & cm.isin("numeric_many", "continuous"),
+                    F.when(tier_ok, "tier").otherwise("none"))
               .when(cm == "continuous", "continuous").otherwise("discrete"))
     return (out.withColumn("rendered_as", rendered).withColumn("render_ok", ok)
             .withColumn("colour_mode", F.when(is_heat | pivot | no_data | err, F.lit("none")).otherwise(colour))
