@@ -507,3 +507,16 @@ def test_route_charts_tier_colour_needs_distinct_thresholds(spark):
                                 "point_id string, chart_type string, x_col string, y_col string, color_col string")
     got = [r.colour_mode for r in rt.route_charts(pts, facts).collect()]
     assert got == ["tier", "none", "discrete"]
+
+
+@pytest.mark.parametrize("rows", [[], [("a", 1.0, "2024-01-01")]])
+def test_kernels_on_empty_and_single_row_tables(spark, rows):
+    df = spark.createDataFrame(rows, "s string, x double, d string")
+    p = pf.profile(df)
+    assert p.clean.count() == len(rows)
+    assert len(p.ontology.collect()) == (3 if rows else 0)
+    assert len(cd.box_stats(df, "s", "x").collect()) == len(rows)
+    assert sum(r["count"] for r in cd.histogram(df, "x").collect()) == len(rows)
+    assert cd.corr_matrix(df, ["x"]).first().corr is None
+    assert (cd.pie_share(df, "s", "x") is None) == (not rows)
+    assert len(cd.pivot_grid(df, "s", "d", "x").collect()) == len(rows)
