@@ -45,9 +45,21 @@ class ResultFacts:
         return next((q for q in self.order if self.n_rows.get(q, 0) > 0), None)
 
 
-def result_facts(results: dict[str, DataFrame]) -> ResultFacts:
-    """One wide aggregate, one distinct-count job and one 300-row probe per result."""
+def result_facts(results: dict[str, DataFrame], points: DataFrame | None = None) -> ResultFacts:
+    """One wide aggregate, one distinct-count job and one 300-row probe per result.
+
+    Tier thresholds (H10) are computed only for colour columns that violin or
+    box points ask for (all many-valued numeric columns when ``points`` is not
+    given); the request list is a distinct over points restricted to known
+    column names, so it is bounded by the results' schemas.
+    """
     f = ResultFacts(order=list(results))
+    wanted = None
+    if points is not None and "color_col" in points.columns:
+        known = sorted({c for df in results.values() for c in df.columns})
+        wanted = {r[0] for r in points.where(
+            F.lower(F.trim(F.col("chart_type"))).isin("violin", "box") & F.trim("color_col").isin(*known))
+            .select(F.trim("color_col")).distinct().collect()}
     for name, df in results.items():
         cols = df.columns
         f.columns[name] = cols
@@ -78,7 +90,7 @@ def result_facts(results: dict[str, DataFrame]) -> ResultFacts:
             for r in colour_kinds(df).collect():
                 kind = "continuous" if r["kind"] == "continuous" else "numeric_many" if r["many"] else "discrete"
                 f.colour[name + SEP + r["column_name"]] = kind
-                if kind != "discrete":
+                if kind != "discrete" and (wanted is None or r["column_name"] in wanted):
                     many.append(r["column_name"])
             # The tier colour needs distinct 0.33 / 0.67 thresholds (rounded to 1).
             if many:

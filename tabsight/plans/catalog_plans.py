@@ -195,8 +195,8 @@ FROM r3"""
 @register("chart_routes", _chart_routes_sql())
 def q_chart_routes(spark, sf_dir):
     """What every point renders as (fallback chains, column fallback, auto-pivot, colour)."""
-    facts = rt.result_facts(_plan_results(spark, sf_dir))
     pts = mf.dedupe_points(points_frame(spark, sf_dir), ["conv_id"], "pos")
+    facts = rt.result_facts(_plan_results(spark, sf_dir), pts)
     return rt.route_charts(pts, facts).select("conv_id", "pos", "point_id", "chart_type", "data_query", "x", "y",
                                               "rendered_as", "render_ok", "colour_mode")
 

@@ -501,10 +501,10 @@ def test_route_charts_tier_colour_needs_distinct_thresholds(spark):
     # "flat": more than 8 values, but the 0.33 and 0.67 quantiles are both 5.0 -> colour dropped
     rows = [(f"g{i % 3}", float(i), float(i % 50), 5.0 if i < 290 else float(i)) for i in range(300)]
     res = {"Query_1": spark.createDataFrame(rows, "k string, v double, c double, flat double")}
-    facts = rt.result_facts(res)
     pts = spark.createDataFrame([("Query_1", "box", "k", "v", "c"), ("Query_1", "violin", "k", "v", "flat"),
                                  ("Query_1", "box", "k", "v", "k")],
                                 "point_id string, chart_type string, x_col string, y_col string, color_col string")
+    facts = rt.result_facts(res, pts)
     got = [r.colour_mode for r in rt.route_charts(pts, facts).collect()]
     assert got == ["tier", "none", "discrete"]
 
