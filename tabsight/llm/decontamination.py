@@ -59,16 +59,16 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     rows count as one per key; an empty table gives no rows; other columns are
     ignored.
     """
-    d = docs.select(F.col(key).alias("id"), F.col(text).alias("body")).filter("id is not null")
-    probe = items.select(F.col(item_key).alias("item"), _shingles(_words(F.col(item_text))).alias("own")).filter(
-        "item is not null and size(own) > 0")
+    d = docs.select(F.col(key).alias("id"), _words(F.col(text)).alias("words")).filter("id is not null")
+    listed = items.select(F.col(item_key).alias("item"), _words(F.col(item_text)).alias("words")).filter("item is not null")
+    probe = listed.select("item", _shingles(F.col("words")).alias("own")).filter("size(own) > 0")
     probe = stored(probe.withColumn("item_hash", simhash(F.col("own"))), "items")
     at_item = probe.select("item", F.size("own").alias("n"), F.posexplode("own").alias("p", "h"))
-    at_doc = d.select("id", F.posexplode(_shingles(_words(F.col("body")))).alias("q", "h"))
+    at_doc = d.select("id", F.posexplode(_shingles(F.col("words"))).alias("q", "h"))
     hits = at_doc.join(at_item, "h").select("id", "item", "n", (F.col("q") - F.col("p")).alias("begin")).distinct()
     hits = stored(hits, "anchors")
     # The windows' shingles come from the documents that have an anchor at all.
-    lists = d.join(hits.select("id").distinct(), "id", "left_semi").select("id", _shingles(_words(F.col("body"))).alias("all"))
+    lists = d.join(hits.select("id").distinct(), "id", "left_semi").select("id", _shingles(F.col("words")).alias("all"))
     cut = hits.join(lists, "id").select("id", "item", "begin", F.slice(
         "all", F.greatest(F.col("begin"), F.lit(0)) + 1,
         F.greatest(F.col("n") + F.least(F.col("begin"), F.lit(0)), F.lit(0))).alias("got")).filter("size(got) > 0")

@@ -56,7 +56,7 @@ class Restorer:
             if run:
                 out.append(("", -0.2 if run == 2 or token[i + 1:i + 2] == c else -5.0))
         elif not c.isalnum():
-            out.append(("", -0.5))
+            out.append(("", -3.0 if c in LOOK_ALIKES else -0.5))
         return out or [("", -4.0)]
 
     def decode(self, token: str) -> str:
