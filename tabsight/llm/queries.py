@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabsight.llm.common import table
 from tabsight.llm.decontamination import contaminated
@@ -13,6 +14,8 @@ from tabsight.llm.packing import pack
 from tabsight.llm.sharding import shard_documents
 from tabsight.llm.suffix_dedup import remove_repeats
 from tabsight.llm.toxicity import toxicity
+from tabsight.llm.url_filter import evaluate, host_of, intervals
+from tabsight.llm.warc import read_packages, write_packages
 
 
 def tokenizer_path() -> str:
@@ -33,6 +36,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_packages(write_packages(table(spark, sf_dir, "pages"))).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,24 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("left", "kept_text")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch times and dated entries are derived from all pages: a page is fetched ``page_id`` mod 365 days
+    after the epoch's 20,000th day; every page names its host (odd crc32) or domain as listed or delisted on
+    day crc32 mod 12 of a month."""
+    day = lambda n: F.timestamp_seconds((F.lit(20_000) + n) * 86_400)
+    host = host_of(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", day(F.col("page_id") % 365).alias("fetched_at"),
+                                                 host.alias("host"), F.crc32(host.cast("binary")).alias("c"))
+    domain = F.regexp_extract("host", r"[^.]+\.[^.]+$", 0)
+    code = F.crc32(F.concat_ws("/", "host", (F.col("page_id") % 12).cast("string")).cast("binary"))
+    entries = pages.filter("host <> ''").select(
+        F.when(F.col("c") % 3 == 0, "spam").otherwise("adult").alias("list"),
+        F.when(code % 16 == 0, domain).otherwise(F.col("host")).alias("pattern"),
+        day((F.col("page_id") % 12) * 30).alias("at"), (code % 4 == 0).alias("listed"))
+    return evaluate(pages, intervals(entries, day(F.lit(400)))).withColumn(
+        "fetched_at", F.unix_timestamp("fetched_at"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,9 +75,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
     "op6_hash_tree": op6_hash_tree,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+             d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS s FROM p),
+             m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY s, n) ELSE page_id END AS rep FROM d)
+        SELECT page_id, n AS payload_bytes, s AS payload_digest,
+               CASE WHEN rep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN rep <> page_id THEN rep END AS refers_to
+        FROM m""",
+}
