@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsight.llm.common import table
+from tabsight.llm.cover_tree import embedding_links
 from tabsight.llm.decontamination import contaminated
+from tabsight.llm.license_scan import scan
 from tabsight.llm.minhash import near_duplicates
 from tabsight.llm.packing import pack
 from tabsight.llm.sharding import shard_documents
@@ -28,6 +30,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +55,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("left", "kept_text")
 
 
+def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetch times and dated entries are derived from all pages: a page is fetched ``page_id`` mod 365 days
     after the epoch's 20,000th day; every page names its host (odd crc32) or domain as listed or delisted on
@@ -73,11 +83,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_hash_tree": op6_hash_tree,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_cover_tree": op8_cover_tree,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
 }
