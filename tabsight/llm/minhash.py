@@ -27,7 +27,7 @@ BANDS, BAND_ROWS = 32, 4
 HASHES = BANDS * BAND_ROWS
 #: Pairs whose signatures agree on fewer minima are dropped: 6 standard deviations below 0.75 of 128.
 MIN_AGREE = 66
-_BLOCK = 4096
+_BLOCK = 512
 
 
 def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -57,8 +57,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         for at in range(0, len(shingles), _BLOCK):
             part = shingles[at:at + _BLOCK]
-            for j in range(HASHES):
-                low[j] = min(low[j], (part * a[j] + b[j]).min())
+            low = np.minimum(low, (part[None, :] * a[:, None] + b[:, None]).min(axis=1))
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
@@ -88,9 +87,11 @@ def _agree(x: pd.Series, y: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BooleanType())
 def _linked(x: pd.Series, y: pd.Series) -> pd.Series:
-    out = []
+    out, seen = [], {}
     for p, q in zip(x, y, strict=True):
-        s, t = shingle_hashes(p), shingle_hashes(q)
+        if len(seen) > 256:
+            seen = {}
+        s, t = (seen[v] if v in seen else seen.setdefault(v, shingle_hashes(v)) for v in (p, q))
         both = len(np.intersect1d(s, t, assume_unique=True))
         out.append(100 * both >= PERCENT * (len(s) + len(t) - both))
     return pd.Series(out, dtype="bool")
