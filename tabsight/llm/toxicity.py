@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,7 @@ TRAINING_ROWS = 20_000
 MIN_SUPPORT, MIN_LIFT, MIN_CHI2 = 4, 3.0, 25.0
 FOLDS = 5
 _CACHE = 300_000
+_BARE_SIGNS = ".,;:?-_~`'^\")]}>"
 _LETTER = re.compile(r"[^\W\d_]")
 _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 _ODD_SIGN = re.compile(r"[\d@$!|+(<€£*._\-~'`^]")
@@ -44,8 +45,8 @@ def _code(c: str) -> int:
 class Restorer:
     """Viterbi decoding of tokens under a trigram table of log probabilities (27 x 27 x 27, 0: word end)."""
 
-    def __init__(self, logp: np.ndarray):
-        self.logp, self.known = logp.tolist(), {}
+    def __init__(self, logp: np.ndarray, only: Set[str] | None = None):
+        self.logp, self.only, self.known = logp.tolist(), only, {}
 
     def options(self, token: str, i: int) -> list[tuple[str, float]]:
         c = token[i]
@@ -74,25 +75,29 @@ class Restorer:
 
     def words(self, token: str) -> tuple[str, ...]:
         """The plain form of a lower-case token and, if it looks disguised, its restored form."""
-        got = self.known.get(token)
-        if got is None:
-            plain = _ENDS.sub("", token)
-            out = {plain} if plain else set()
-            for form in {plain, token}:
-                if len(form) <= 40 and _LETTER.search(form) and (_ODD_SIGN.search(form) or _REPEAT.search(form)):
-                    out.add(self.decode(form))
-            if len(self.known) > _CACHE:
-                self.known = {}
-            got = self.known[token] = tuple(out - {""})
-        return got
+        plain = _ENDS.sub("", token)
+        out = {plain}
+        # Signs at the ends that stand for no letter are dropped by any decoding.
+        for form in {plain, token.strip(_BARE_SIGNS)}:
+            if len(form) <= 40 and (_ODD_SIGN.search(form) or _REPEAT.search(form)) and _LETTER.search(form):
+                out.add(self.decode(form))
+        return tuple(out - {""} if self.only is None else out & self.only)
 
     def bag(self, text: str | None) -> set[str]:
+        """The restored words of a text, or those of ``only``."""
         low = (text or "").lower()
-        out = set()
-        for token in set(low.split()):
-            out.update(self.words(token))
-        for m in _SPACED.finditer(low):
-            out.update(self.words(m.group().replace(" ", "").replace("\t", "")))
+        known, words = self.known, self.words
+        if len(known) > _CACHE:
+            known.clear()
+        out: set[str] = set()
+        tokens = set(low.split())
+        tokens.update([m.group().replace(" ", "").replace("\t", "") for m in _SPACED.finditer(low)])
+        for token in tokens:
+            got = known.get(token)
+            if got is None:
+                got = known[token] = words(token)
+            if got:
+                out.update(got)
         return out
 
 
@@ -172,9 +177,9 @@ def score(docs: DataFrame, logp: np.ndarray, bias: float, weights: dict[str, flo
           text: str = "text") -> DataFrame:
     """(key, score): the logistic of bias and the weights of the restored words present; null texts are empty."""
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restore = Restorer(logp)
+        restore = Restorer(logp, weights.keys())
         for pdf in batches:
-            z = [bias + sum(weights[w] for w in sorted(restore.bag(t) & weights.keys())) for t in pdf["text"]]
+            z = [bias + sum(weights[w] for w in sorted(restore.bag(t))) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "score": [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in z]})
 
     kind = docs.schema[key].dataType.simpleString()
