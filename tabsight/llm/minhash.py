@@ -1,9 +1,10 @@
 """MinHash near-duplicates: universal hash minima, banding, signature check, exact check, star components.
 
 Copies with equal word sequences are collapsed to one representative first.
-Within a band bucket every member is compared with two centres (smallest and
-largest id), which joins a group of copies with work linear in its size; the
-buckets that then still hold several components are compared in full across
+Within a band bucket every member is compared with the smallest id. Members of
+buckets that still hold several components then meet two drawn centres of other
+components a turn, as long as that joins a good part of them: a group of copies
+costs work linear in its size. What remains is compared in full across
 components, so a bucket costs pairs only where its members are unlike.
 """
 
@@ -27,6 +28,8 @@ BANDS, BAND_ROWS = 32, 4
 HASHES = BANDS * BAND_ROWS
 #: Pairs whose signatures agree on fewer minima are dropped: 6 standard deviations below 0.75 of 128.
 MIN_AGREE = 66
+#: Turns of chosen centres end when fewer of their pairs are links; the pairs that remain are all compared.
+PROBE_YIELD = 0.1
 _BLOCK = 512
 
 
@@ -108,6 +111,33 @@ def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
             .filter(_linked("ta", "tb")).select("a", "b"))
 
 
+def _mixed_buckets(inside: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, h, id, lo, c) of the buckets with members of several components."""
+    owned = inside.join(found.withColumnsRenamed({"node": "id", "component": "c"}), "id")
+    mixed = owned.groupBy("band", "h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1")
+    return owned.join(mixed.select("band", "h"), ["band", "h"], "left_semi")
+
+
+def _probes(owned: DataFrame, turn: int) -> DataFrame:
+    """For every member two of its buckets' centres of another component; a bucket's centre changes with the turn."""
+    draw = F.xxhash64("id", "band", "h", F.lit(turn))
+    centre = owned.groupBy("band", "h").agg(F.min(F.struct(draw.alias("d"), "id", "c")).alias("m")).select(
+        "band", "h", F.col("m.id").alias("to"), F.col("m.c").alias("cto"))
+    order = F.struct(F.xxhash64("id", "to", F.lit(turn)).alias("d"), "to")
+    two = owned.join(centre, ["band", "h"]).filter("c <> cto").groupBy("id").agg(
+        F.min(order).alias("x"), F.max(order).alias("y"))
+    pairs = two.select("id", F.explode(F.array("x.to", "y.to")).alias("to"))
+    return pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` after links between members of its components: the components are joined, not the members."""
+    ends = links.join(found.toDF("a", "ca"), "a").join(found.toDF("b", "cb"), "b").select("ca", "cb")
+    up = components(ends, "ca", "cb").toDF("component", "low")
+    return stored(found.join(up, "component", "left").select(
+        "node", F.coalesce("low", "component").alias("component")), "found")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -124,22 +154,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     one = one.dropDuplicates(["id"]).select("id", "sig")
     entries = one.select("id", F.posexplode(_bands("sig")).alias("band", "h"))
     box = entries.groupBy("band", "h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    inside = stored(entries.join(box, ["band", "h"]), "buckets")
-    star = inside.select(F.col("lo").alias("a"), F.col("id").alias("b")).filter("a < b").unionByName(
-        inside.select(F.col("id").alias("a"), F.col("hi").alias("b")).filter("a < b")).distinct()
-    links = stored(_verified(star, one, src), "links")
-    found = components(links)
-    # Buckets that still hold several components: all pairs across them that no centre has tested.
-    owned = inside.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "h", "id", "lo", "hi", F.coalesce("component", "id").alias("c"))
-    mixed = owned.groupBy("band", "h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1")
-    left = owned.join(mixed.select("band", "h"), ["band", "h"], "left_semi").filter("id <> lo and id <> hi")
+    inside = stored(entries.join(box.drop("hi"), ["band", "h"]), "buckets")
+    star = inside.select(F.col("lo").alias("a"), F.col("id").alias("b")).filter("a < b").distinct()
+    first = components(_verified(star, one, src))
+    found = stored(inside.select(F.col("id").alias("node")).distinct().join(first, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component")), "found")
+    # Buckets that still hold several components: chosen centres first, as long as they join a good part ...
+    turn = 0
+    while True:
+        owned = _mixed_buckets(inside, found)
+        probes = stored(_probes(owned, turn), "probes")
+        links = stored(_verified(probes, one, src), "links")
+        tested, joined = probes.count(), links.count()
+        found = _merged(found, links) if joined else found
+        turn += 1
+        if joined < PROBE_YIELD * tested or not joined:
+            break
+    # ... then all pairs across components that the smallest member has not tested.
+    left = _mixed_buckets(inside, found).filter("id <> lo")
     x = left.select("band", "h", F.col("id").alias("a"), F.col("c").alias("ca"))
     y = left.select("band", "h", F.col("id").alias("b"), F.col("c").alias("cb"))
     rest = x.join(y, ["band", "h"]).filter("a < b and ca <> cb").select("a", "b").distinct()
     more = stored(_verified(rest, one, src), "links")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = _merged(found, more)
     named = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "id", F.coalesce("component", "rep").alias("component"))
     named = named.groupBy("id").agg(F.min("component").alias("component"))
