@@ -35,6 +35,18 @@ REFINE_BINS = 4096
 MAX_REFINE_PASSES = 12
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str] | tuple, how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right`` (one row per group); null keys match null keys."""
+    keys = list(keys)
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    side = right.withColumnsRenamed({k: f"__group{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__group{i}"))
+    return left.join(side, same, how).drop(*[f"__group{i}" for i in range(len(keys))])
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                     group_cols: list[str] | tuple = (), accuracy: int = DEFAULT_ACCURACY,
                     names: list[str] | None = None, max_bracket_rows: int = MAX_BRACKET_ROWS,
@@ -72,7 +84,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
 
     # Final pass: "below" counts (unless refinement already knows them) and the
     # histogram of distinct values inside each bracket.
-    joined = src.join(brackets, on=g, how="inner") if g else src.crossJoin(F.broadcast(brackets))
+    joined = join_groups(src, brackets, g)
     inside = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
     below_unknown = F.col("__below").isNull() & (F.col("__v") < F.col("__lo"))
     marked = (joined.where(below_unknown | inside)
@@ -106,7 +118,7 @@ def _refine(src: DataFrame, brackets: DataFrame, g: list[str], max_rows: int, bi
     done = brackets.where(~finite)          # whole-range brackets of small groups
     br = brackets.where(finite)
     for _ in range(MAX_REFINE_PASSES):
-        joined = src.join(br, on=g, how="inner") if g else src.crossJoin(F.broadcast(br))
+        joined = join_groups(src, br, g)
         width = F.col("__hi") - F.col("__lo")
         b = F.when(F.col("__v") < F.col("__lo"), F.lit(-1)).otherwise(
             F.when(width == 0, F.lit(0)).otherwise(

@@ -44,6 +44,11 @@ def ranked_within(df: DataFrame, keys: list[str], order: list, out: str = "rn",
     counts = local.groupBy(*keys, "__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(
         Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(offsets.select(*keys, "__pid", "__off"), [*keys, "__pid"])
+    # Null keys form a group of their own, as in a window.
+    side = offsets.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__pid").alias("__at"), "__off")
+    same = F.col("__pid") == F.col("__at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    return (local.join(side, same).drop("__at", *[f"__key{i}" for i in range(len(keys))])
             .withColumn(out, (F.col("__local") + F.col("__off")).cast("long"))
             .drop("__pid", "__local", "__off"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.functions.distinct import distinct_lower_bounds
-from tabsight.functions.quantiles import exact_quantiles
+from tabsight.functions.quantiles import exact_quantiles, join_groups
 from tabsight.operators.profile import wide_agg
 
 # Distinct-count guards and bin counts of the chart rules.
@@ -200,7 +200,7 @@ def box_stats(df: DataFrame, x: str | None, y: str, color: str | None = None, ro
     fences = qs.select(*keys, "q1", "median", "q3",
                        (F.col("q1") - WHISKER_IQR * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
                        (F.col("q3") + WHISKER_IQR * (F.col("q3") - F.col("q1"))).alias("hi_fence"))
-    joined = base.join(fences, keys, "inner") if keys else base.crossJoin(F.broadcast(fences))
+    joined = join_groups(base, fences, keys)
     agg = joined.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("long").alias("n"),
         F.avg("__y").alias("mean"),
@@ -222,7 +222,7 @@ def violin_outliers(df: DataFrame, x: str | None, y: str, color: str | None = No
     qs = exact_quantiles(base, y, [0.25, 0.75], keys, names=["q1", "q3"])
     fences = qs.select(*keys, (F.col("q1") - WHISKER_IQR * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
                        (F.col("q3") + WHISKER_IQR * (F.col("q3") - F.col("q1"))).alias("hi_fence"))
-    joined = base.join(fences, keys, "inner") if keys else base.crossJoin(F.broadcast(fences))
+    joined = join_groups(base, fences, keys)
     return joined.where((_q(y) < F.col("lo_fence")) | (_q(y) > F.col("hi_fence"))).select(*keys, y)
 
 
@@ -241,7 +241,7 @@ def violin_density(df: DataFrame, x: str, y: str, bins: int = HISTOGRAM_BINS) ->
     width = (F.col("__mx") - F.col("__mn")) / bins
     b = F.when(F.col("__mx") == F.col("__mn"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("__y") - F.col("__mn")) / width), F.lit(bins - 1))).cast("int")
-    counted = (base.join(rng, x).withColumn("bin", b)
+    counted = (join_groups(base, rng, [x]).withColumn("bin", b)
                .groupBy(_q(x), "bin", "__mn", "__mx", "__n").agg(F.count(F.lit(1)).cast("long").alias("count")))
     lo = F.col("__mn") + F.col("bin") * width
     density = F.when(F.col("__mx") == F.col("__mn"), F.lit(None).cast("double")).otherwise(

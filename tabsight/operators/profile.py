@@ -100,13 +100,15 @@ def normalise_name(name: str) -> str:
 
 def clean_names(df: DataFrame) -> DataFrame:
     """P3 with collision suffixes ``_2``, ``_3`` (the reference breaks on collisions)."""
-    seen: dict[str, int] = {}
-    names = []
+    names: list[str] = []
+    taken = {normalise_name(c) for c in df.columns}
     for c in df.columns:
-        base = normalise_name(c)
-        n = seen.get(base, 0) + 1
-        seen[base] = n
-        names.append(base if n == 1 else f"{base}_{n}")
+        base = name = normalise_name(c)
+        n = 1
+        while name in names or (n > 1 and name in taken):
+            n += 1
+            name = f"{base}_{n}"
+        names.append(name)
     return df.toDF(*names)
 
 

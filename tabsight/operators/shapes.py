@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.functions.quantiles import exact_quantiles
+from tabsight.functions.quantiles import exact_quantiles, join_groups
 
 # Names treated as row identifiers, never correlation features.
 ID_NAME_PATTERN = r"\b(id|index|key|code|num|no|number|seq|sequence|row)\b"
@@ -48,7 +48,7 @@ def grouped(df: DataFrame, dims: list[str], measures: list[tuple[str, str]],
                               col, [0.5], dims, names=[f"median_{col}"])
         if round_to is not None:
             med = med.withColumn(f"median_{col}", F.round(f"median_{col}", round_to))
-        out = out.join(med, dims, "left") if dims else out.crossJoin(med)
+        out = join_groups(out, med, dims, "left")
     names = [f"{f}_{c}" for f, c in measures] + ([count_alias] if count_alias else [])
     return out.select(*[_q(d) for d in dims], *[_q(n) for n in names])
 

@@ -31,10 +31,43 @@ class ScriptResult:
     error: str | None = None
 
 
+# Quoted text, names and comments are tokens of their own, so nothing inside them is read as SQL.
+_TOKEN = re.compile(r"""(?P<comment>--[^\n]*|/\*.*?(?:\*/|\Z))|(?P<text>'(?:[^']|'')*(?:'|\Z))|(?P<name>"(?:[^"]|"")*(?:"|\Z)|`[^`]*(?:`|\Z))
+                        |(?P<word>[^\W\d]\w*)|(?P<number>\d[\w.]*)|(?P<space>\s+)|(?P<sign>.)""", re.DOTALL | re.VERBOSE)
+
+
+def tokens(sql: str) -> list[tuple[str, str]]:
+    """(kind, text) of the pieces of a script; joined they give the script again."""
+    return [(m.lastgroup, m.group()) for m in _TOKEN.finditer(sql)]
+
+
+def rewrite_code(sql: str, change: Callable[[str], str]) -> str:
+    """``change`` applied to the runs of code between quoted text, quoted names and comments."""
+    out, code = [], []
+    for kind, text in tokens(sql):
+        if kind in ("text", "name", "comment"):
+            out += [change("".join(code)), text]
+            code = []
+        else:
+            code.append(text)
+    return "".join(out) + change("".join(code))
+
+
 def split_statements(sql: str, max_statements: int = MAX_STATEMENTS) -> list[str]:
-    """Split on ';', drop blanks, keep the first ``max_statements``."""
-    return [s.strip() for s in sql.split(";") if s.strip()][:max_statements]
+    """The first ``max_statements`` statements that hold more than blanks and comments."""
+    parts: list[list[tuple[str, str]]] = [[]]
+    for kind, text in tokens(sql):
+        if (kind, text) == ("sign", ";"):
+            parts.append([])
+        else:
+            parts[-1].append((kind, text))
+    told = ["".join(text for _, text in p).strip() for p in parts if any(kind not in ("space", "comment") for kind, _ in p)]
+    return told[:max_statements]
+
 
+FENCE = "`" * 3
+SQL_SELECT = re.compile(r"SELECT\s", re.IGNORECASE)
+SQL_START = re.compile(r"\A\s*WITH\s|SELECT\s", re.IGNORECASE)
 
 # Session settings under which script text is parsed: SQLite reads "x" as an
 # identifier, and Spark does so too with ANSI double-quoted identifiers.
@@ -43,7 +76,7 @@ SCRIPT_CONF = {"spark.sql.ansi.enabled": "true", "spark.sql.ansi.doubleQuotedIde
 
 def sqlite_like(stmt: str) -> str:
     """SQLite's LIKE ignores ASCII case; Spark's ILIKE is the same operator."""
-    return re.sub(r"(?i)(?<![\w])LIKE(?![\w])", "ILIKE", stmt)
+    return "".join("ILIKE" if kind == "word" and text.upper() == "LIKE" else text for kind, text in tokens(stmt))
 
 
 def run_script(spark: SparkSession, sql: str, max_statements: int = MAX_STATEMENTS,
@@ -76,13 +109,14 @@ def run_script(spark: SparkSession, sql: str, max_statements: int = MAX_STATEMEN
 
 def extract_sql_text(raw: str, keep_with: bool = True) -> str:
     """V15 for one reply string (the repair hook's output)."""
-    m = re.search(r"`{3}(?:sql)?\n?(.*?)`{3}", raw, re.DOTALL | re.IGNORECASE)
-    if m:
-        raw = m.group(1)
-    if keep_with and re.match(r"(?is)\s*WITH\s", raw):
-        return raw.strip()
-    m = re.search(r"(?i)(SELECT\s+.*)", raw, re.DOTALL)
-    return m.group(1).strip() if m else raw.strip()
+    opened, _, after = raw.partition(FENCE)
+    inner, closed, _ = after.partition(FENCE)
+    body = inner if closed else raw
+    if closed and body[:3].lower() == "sql":
+        body = body[3:]
+    starts = SQL_START if keep_with else SQL_SELECT
+    found = starts.search(body)
+    return body[found.start():].strip() if found else body.strip()
 
 
 def error_result(spark: SparkSession, message: str) -> dict[str, DataFrame]:
@@ -124,8 +158,7 @@ def dialect_repair(sql: str, error: str, ontology=None) -> str:
     ``date_format(x, pattern)`` and ``a / b`` becomes ``try_divide(a, b)``
     when the error was a division by zero.
     """
-    out = re.sub(r'"([^"\n]+)"', r"`\1`", sql)
-    out = re.sub(r"(?i)(?<![\w])LIKE(?![\w])", "ILIKE", out)
+    out = "".join(f"`{text[1:-1]}`" if kind == "name" and text[0] == '"' else text for kind, text in tokens(sqlite_like(sql)))
 
     def _strftime(m):
         fmt = m.group(1)
@@ -135,7 +168,7 @@ def dialect_repair(sql: str, error: str, ontology=None) -> str:
 
     out = re.sub(r"(?i)strftime\(\s*'([^']*)'\s*,\s*([^)]+)\)", _strftime, out)
     if "DIVIDE_BY_ZERO" in error.upper():
-        out = re.sub(r"([\w.`]+)\s*/\s*([\w.`]+)", r"try_divide(\1, \2)", out)
+        out = rewrite_code(out, lambda code: re.sub(r"([\w.]+)\s*/\s*([\w.]+)", r"try_divide(\1, \2)", code))
     return out
 
 

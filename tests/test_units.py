@@ -204,6 +204,29 @@ def test_fold_status_rules(spark):
     assert got["u"].execution_log == "Error: only"
 
 
+def test_null_groups_are_kept(spark):
+    from tabsight.functions.ranking import ranked_within
+    from tabsight.operators import chartdata as cd
+    from tabsight.operators import shapes as sh
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    assert sorted(r.rn for r in ranked_within(df, ["g"], ["v"]).collect()) == [1, 1, 2]
+    assert {r.g: r.median_v for r in sh.grouped(df, ["g"], [("median", "v")]).collect()} == {None: 2.0, "a": 5.0}
+    assert {r.g: r.median for r in cd.box_stats(df, "g", "v").collect()} == {None: 2.0, "a": 5.0}
+    assert {r.g for r in cd.violin_density(df, "g", "v").collect()} == {None, "a"}
+
+
+def test_clean_names_stay_distinct(spark):
+    from tabsight.operators.profile import clean_names
+    assert clean_names(spark.createDataFrame([(1, 2, 3)], ["a", "a ", "a_2"])).columns == ["a", "a_3", "a_2"]
+
+
+def test_script_text_is_left_alone():
+    assert sc.split_statements("SELECT 'a;b'; -- x;y\n ; SELECT \"c;d\"") == ["SELECT 'a;b'", 'SELECT "c;d"']
+    assert sc.sqlite_like("SELECT 'I like tea' like 'i%' -- like") == "SELECT 'I like tea' ILIKE 'i%' -- like"
+    assert sc.dialect_repair("SELECT 'a/b', x / y", "DIVIDE_BY_ZERO") == "SELECT 'a/b', try_divide(x, y)"
+    assert sc.extract_sql_text("WITH t (a) AS (SELECT 1) SELECT a FROM t") == "WITH t (a) AS (SELECT 1) SELECT a FROM t"
+
+
 def test_extract_sql_column_equals_python_rule(spark):
     samples = ["```sql\nSELECT a FROM t\n```", "prose then select x from y", "WITH q AS (SELECT 1) SELECT * FROM q",
                "no sql here  ", "```\nSELECT 1;\n``` tail"]
