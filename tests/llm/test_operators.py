@@ -131,6 +131,40 @@ def test_decontamination(spark, none):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_any_order(spark):
+    """Every window of an item's size against brute force: swapped parts, shuffled sentences, periods, cut ends."""
+    from collections import Counter
+    r = random.Random(11)
+    words = lambda n: [r.choice(VOCAB) for _ in range(n)]
+    item, small = words(37), words(9)
+    parts = [item[:12], item[12:25], item[25:]]
+    period = (["ab", "cd"] * 6)[:11]
+    rows = {1: words(40) + item[18:] + item[:18] + words(40), 2: words(9) + parts[1] + parts[0] + parts[2] + words(9),
+            3: item[8:] + words(60), 4: words(60) + item[:29], 5: words(20) + small[:8] + words(20), 6: words(200),
+            7: words(8) + item + words(5) + item + words(8), 8: item[20:] + item[:20], 9: words(30) + item[18:] + item[:5]}
+    listed = {1: item, 2: small, 3: period}
+    periods = {4 + k: ([f"x{k}", f"y{k}"] * 6)[:11] for k in range(12)}
+    listed |= periods
+    rows |= {100 + k: p[1:] + p[-2:-1] for k, p in periods.items()}
+    sh = lambda w: [tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))]
+    want = {}
+    for d, w in rows.items():
+        for i, v in listed.items():
+            own, al = Counter(sh(v)), sh(w)
+            n = sum(own.values())
+            sims = []
+            for b in range(-n + 1, len(al)):
+                got = Counter(al[max(b, 0):max(b + n, 0)])
+                sims.append(sum((own & got).values()) / sum((own | got).values()))
+            good = [s for s in sims if s >= 0.75]
+            if good:
+                want[d, i] = (len(good), max(good))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in listed.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.matches, x.similarity) for x in decontamination.contaminated(docs, items).collect()}
+    assert got == want and {(1, 1), (8, 1)} <= set(want) and all((100 + i, i) in want for i in periods)
+
+
 def test_toxicity(spark, none):
     rows = [(i, prose(30) + (" you idiot" if i % 4 == 0 else ""), 7, 8, "x", "y", 9) for i in range(200)]
     rows += [(900, "such an 1d10t here", 1, 1, "", "", 1), (901, None, 1, 1, "", "", 1), (902, "", 1, 1, "", "", 1)]
