@@ -181,6 +181,23 @@ def test_restorer():
     assert toxicity.Restorer(logp).decode("m.o.r.o.n") == "moron"
 
 
+def test_restorer_disguises(spark):
+    """Long, spaced, doubled and accented forms under a model of a small corpus, against the words they hide."""
+    plain = ("you are such a stupid idiot and this is the best small word list that we could find for a short test of the "
+             "letters in use by people all over the world today ") * 20
+    model = toxicity.character_model(spark.createDataFrame([(plain,), ("naïve ñandú ",)], "text string"))
+    assert {"ï", "ñ", "ú"} <= set(model[1])
+    restore = toxicity.Restorer(*model)
+    hidden = {"idiot": ["i.d.i.o.t", "i" + "d" * 60 + "iot", "i" + "." * 30 + "d" + "-" * 30 + "iot", "iddiot", "ídíót", "іdіоt",
+                        "a i d i o t", "i  d  i  o  t", "i\nd\ni\no\nt", "s t u p i d i d i o t", "y o u  i d i o t"],
+              "stupid": ["stuupid", "s t u p i d i d i o t", "s 7 u p 1 d", "st\u200bupid"], "you": ["y o u"]}
+    for word, forms in hidden.items():
+        for form in forms:
+            assert word in restore.bag("so " + form + " there"), form
+            assert restore.bag(form) & {word} == toxicity.Restorer(*model, only={word}).bag(form), form
+    assert restore.bag("ñandú") >= {"ñandú"}
+
+
 def test_cover_tree(spark):
     r = np.random.default_rng(3)
     v = [r.normal(0, 1, 8) for _ in range(150)]
