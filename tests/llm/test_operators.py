@@ -251,6 +251,25 @@ def test_license_scan(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_texts():
+    """Every shipped template whole and with a fifth of its words changed, short lines with gaps, lines in a row."""
+    r = random.Random(4)
+    texts_ = license_scan.read_templates()
+    assert {"MIT-text", "BSD-3-Clause-text", "ISC-text", "Unlicense-text", "Apache-2.0-text", "GPL-3.0-header", "LGPL-3.0-header",
+            "MPL-2.0-header"} <= set(texts_)
+    index = license_scan.TemplateIndex(texts_)
+    split = lambda text: [w for w, _, _ in license_scan.words_of(text)]
+    for name, words in index.words.items():
+        text = split(prose(30)) + words + split(prose(30))
+        assert (name, len(words), 30, 29 + len(words)) in [m for m in index.matches(text) if m[0] == name]
+        odd = set(r.sample(range(1, len(words) - 1), len(words) // 5))
+        text = split(prose(5)) + ["changed" if i in odd else w for i, w in enumerate(words)]
+        assert any(m[0] == name and m[1] >= len(words) - len(odd) for m in index.matches(text)), name
+    assert any(m[0] == "MIT" for m in index.matches(split("Released under MIT License.")))
+    line = license_scan.TEMPLATES["MIT"]
+    assert [m[2:] for m in index.matches(split(f"{line} {line} {line}")) if m[0] == "MIT"] == [(0, 4), (5, 9), (10, 14)]
+
+
 def test_url_filter(spark):
     from pyspark.sql import functions as F
     t = lambda n: F.timestamp_seconds(F.col(n) * 86_400)
