@@ -18,36 +18,58 @@ from tabsight.llm.queries import tokenizer_path
 ORACLE_SQL = None
 
 
+#: A number for every row, in the order of ``doc_id`` (null ones last) and text: ids may be null or occur again.
+ROW = "row_id"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with their number, written once, so that no later job numbers them anew."""
+    if ROW in docs.columns:
+        return docs
+    return stored(docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model does not call toxic."""
-    found = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return docs.join(found.filter("predicted = 1").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """Documents that the model does not call toxic, with their row number."""
+    docs = numbered(docs)
+    learned = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, *learned, key=ROW).filter("score >= 0.5").select(ROW)
+    return docs.join(found, ROW, "left_anti").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The first row of each group of near copies, and of the rows with one id and one text without words."""
+    docs = numbered(docs)
+    gone = minhash.near_duplicates(docs, ROW).filter("not kept").select(ROW)
+    blank = docs.filter(~F.coalesce("text", F.lit("")).rlike(r"(?U)\S"))
+    first = blank.groupBy("doc_id", "text").agg(F.min(ROW).alias(ROW)).select(ROW)
+    gone = gone.union(blank.select(ROW).join(first, ROW, "left_anti"))
+    return docs.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the byte strings that an earlier one has; documents without change stay as they are."""
-    cut = suffix_dedup.remove_repeats(docs).filter("n_removed > 0").select("doc_id", F.col("kept_text").alias("__left__"))
+    docs = numbered(docs)
+    cut = suffix_dedup.remove_repeats(docs, ROW).filter("n_removed > 0").select(ROW, F.col("kept_text").alias("__left__"))
     new = F.coalesce("__left__", "text")
-    out = docs.join(cut, "doc_id", "left").withColumn("text", new)
+    out = docs.join(cut, ROW, "left").withColumn("text", new)
     return out.withColumn("n_chars", F.when(F.col("__left__").isNull(), F.col("n_chars")).otherwise(
         F.length("text")).cast("long")).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    leaks = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    docs = numbered(docs)
+    leaks = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), ROW).select(ROW).distinct()
+    return docs.join(leaks, ROW, "left_anti").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
-    return packing.pack(docs, tokenizer_path())
+    """The pieces of the training sequences; pieces of one document share id and row number."""
+    docs = numbered(docs)
+    pieces = packing.pack(docs, tokenizer_path(), ROW)
+    rest = [c for c in pieces.columns if c != ROW]
+    return pieces.join(docs.select(ROW, "doc_id"), ROW).select("doc_id", *rest, ROW)
 
 
 STAGES = [("toxicity", drop_toxic), ("minhash", drop_near_copies), ("suffix_dedup", cut_repeats),

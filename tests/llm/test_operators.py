@@ -234,6 +234,55 @@ def test_zip_members():
     assert json.loads(bytes(data[at:at + n]).decode().splitlines()[1])["offset"] == 3
 
 
+def test_pipeline_rows(spark, tmp_path):
+    """Repeated and null ids pass every stage as rows of their own, against brute force."""
+    from collections import Counter
+
+    import corpus_pipeline
+    r = random.Random(21)
+    words = lambda n: " ".join("".join(r.choice("abcdefghi") for _ in range(r.randint(3, 8))) for _ in range(n))
+    rows = [(i, words(30) + (" you idiot" if i % 4 == 0 else "")) for i in range(160)]
+    item, shared = words(37), words(12)
+    rows += [(None, rows[5][1]), (None, words(20) + " you idiot"), (None, words(20) + " " + item + " " + words(20)), (None, words(30)),
+             (None, words(25)), (7, rows[7][1]), (9, words(30)), (9, rows[10][1]), (300, "", ), (300, ""), (301, None), (301, None),
+             (400, shared + " " + words(20)), (401, shared + " " + words(20)), (401, words(20)), (401, words(15) + " " + shared),
+             (402, item)]
+    spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, "
+                          "n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = corpus_pipeline.stored(stage(spark, got, str(tmp_path)), f"test-{name}")
+    left, seen, blank = [], set(), set()
+    sets: list = []
+    for i, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1] is not None, x[1] or "")):
+        w = (t or "").split()
+        if "idiot" in w or (not w and (i, t) in blank):
+            continue
+        blank.add((i, t))
+        sh = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        if w and any(len(sh & o) >= 0.75 * len(sh | o) for o in sets):
+            continue
+        sets.append(sh)
+        b = (t or "").encode()
+        gone, mine = bytearray(len(b)), {b[p:p + 50] for p in range(len(b) - 49)}
+        for p in range(len(b) - 49):
+            if b[p:p + 50] in seen or b[p:p + 50] in {b[q:q + 50] for q in range(p)}:
+                gone[p:p + 50] = b"\1" * 50
+        seen |= mine
+        t = t and bytes(x for x, g in zip(b, gone, strict=True) if not g).decode()
+        if item not in (t or ""):
+            left.append((i, t))
+    assert Counter((x.doc_id, x.text) for x in got.collect()) == Counter(left)
+    pieces = corpus_pipeline.STAGES[4][1](spark, got, str(tmp_path)).collect()
+    n = Counter()
+    for x in pieces:
+        n[x.doc_id, x.row_id] += x.length
+    assert Counter(i for i, _ in n) == Counter(i for i, _ in left)
+
+
 def test_sharding(docs, none, corpus):
     rows = sharding.shard_documents(docs).collect()
     assert len(rows) == len(corpus) and all(0 <= r.shard < 40 and r.grown_shard in (r.shard, 40) for r in rows)
