@@ -269,9 +269,9 @@ def histogram(df: DataFrame, x: str, bins: int = HISTOGRAM_BINS, color: str | No
     return counted.select("bin", *([color] if color else []), lo.alias("bin_start"), hi.alias("bin_end"), "count")
 
 
-def scatter_points(df: DataFrame, x: str, y: str, order_by: list[str], n: int | None = CHART_ROW_CAP,
+def scatter_points(df: DataFrame, x: str, y: str, order_by: list[str], n: int | None = None,
                    extra: list[str] | None = None) -> DataFrame:
-    """H4 (+H8): x and y coerced to numbers, null rows dropped, ordered cap."""
+    """H4 (+H8): x and y coerced to numbers, null rows dropped, ordered; the first ``n`` rows only if asked for."""
     extra = extra or []
     out = (df.select(*[_q(c) for c in order_by if c not in (x, y) + tuple(extra)], *[_q(c) for c in extra],
                      _q(x).try_cast("double").alias(x), _q(y).try_cast("double").alias(y))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.functions.quantiles import column_quantiles
-from tabsight.operators.chartdata import (AUTO_PIVOT_MAX_DISTINCT, CHART_ROW_CAP, TIER_QUANTILES, colour_kinds,
+from tabsight.operators.chartdata import (AUTO_PIVOT_MAX_DISTINCT, TIER_QUANTILES, colour_kinds,
                                           distinct_at_most)
 from tabsight.operators.profile import wide_agg
 
@@ -78,12 +78,11 @@ def result_facts(results: dict[str, DataFrame], points: DataFrame | None = None)
             f.abs_total[name + SEP + c] = float(v[f"ab{i}"] or 0.0)
         for (i, a), (j, b) in product(enumerate(cols), enumerate(cols)):
             f.n_xy[name + SEP + a + SEP + b] = v[f"xy{i}_{j}"]
-        # H9: a 3-column result whose two axes have <= 8 values in its first 300 rows.
+        # H9: a 3-column result whose two axes have <= 8 values over all its rows.
         ok = False
         if len(cols) == 3 and v["__n"] > 0:
-            head = df.limit(CHART_ROW_CAP)
-            ok = (distinct_at_most(head, cols[0], AUTO_PIVOT_MAX_DISTINCT) is not None
-                  and distinct_at_most(head, cols[1], AUTO_PIVOT_MAX_DISTINCT) is not None)
+            ok = (distinct_at_most(df, cols[0], AUTO_PIVOT_MAX_DISTINCT) is not None
+                  and distinct_at_most(df, cols[1], AUTO_PIVOT_MAX_DISTINCT) is not None)
         f.pivot_ok[name] = ok
         if v["__n"] > 0:
             many = []

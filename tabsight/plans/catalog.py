@@ -448,7 +448,7 @@ SELECT CAST(p_size AS DOUBLE) AS p_size, p_retailprice, p_partkey FROM part
 WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL ORDER BY p_partkey LIMIT 300""")
 def q_scatter_sample(spark, sf_dir):
     """H4/H8: coerced x/y, null rows dropped, ordered 300-row cap."""
-    return cd.scatter_points(load(spark, sf_dir, "part"), "p_size", "p_retailprice", ["p_partkey"])
+    return cd.scatter_points(load(spark, sf_dir, "part"), "p_size", "p_retailprice", ["p_partkey"], cd.CHART_ROW_CAP)
 
 
 @register("line_series", """

@@ -543,3 +543,13 @@ def test_kernels_on_empty_and_single_row_tables(spark, rows):
     assert cd.corr_matrix(df, ["x"]).first().corr is None
     assert (cd.pie_share(df, "s", "x") is None) == (not rows)
     assert len(cd.pivot_grid(df, "s", "d", "x").collect()) == len(rows)
+
+
+def test_pivot_and_scatter_read_all_rows(spark):
+    from tabsight.operators import chartdata, routing
+    rows = spark.range(0, 2000, 1, 1).selectExpr("if(id < 400, id % 4, id) AS a", "id % 3 AS b", "double(id) AS v")
+    few = rows.selectExpr("a % 4 AS a", "b", "v")
+    facts = routing.result_facts({"Many": rows, "Few": few})
+    assert (facts.pivot_ok["Many"], facts.pivot_ok["Few"]) == (False, True)
+    assert chartdata.scatter_points(rows, "a", "v", ["v"]).count() == 2000
+    assert chartdata.scatter_points(rows, "a", "v", ["v"], 5).count() == 5
