@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_SECONDS = 7 * 86_400
-#: Labels of a host that are tried as a pattern, from the right.
-MAX_LABELS = 8
 
 
 def intervals(entries: DataFrame, until: Column) -> DataFrame:
@@ -48,11 +46,11 @@ def evaluate(captures: DataFrame, valid: DataFrame, key: str = "page_id", url: s
     src = captures.select(F.col(key).alias("id"), host_of(F.col(url)).alias("host"), F.col(fetched).alias("at"))
     bucket = lambda c: F.floor(F.unix_timestamp(c) / BUCKET_SECONDS)
     labels = F.split("host", r"\.")
-    names = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_LABELS))), lambda i: F.array_join(
+    names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
         F.slice(labels, -i, i), "."))
     tried = src.filter("host <> '' and at is not null").select(
         "id", "host", "at", bucket(F.col("at")).alias("bucket"),
-        F.explode(F.array_distinct(F.array_append(names, F.col("host")))).alias("pattern"))
+        F.explode(names).alias("pattern"))
     spans = valid.withColumn("bucket", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(F.col("valid_to")))))
     hit = tried.join(spans, ["pattern", "bucket"]).filter("at >= valid_from and at < valid_to").groupBy("id", "host", "at").agg(
         F.count_distinct("list").alias("n_lists"), F.max(F.struct(F.length("pattern"), "pattern")).alias("best"))

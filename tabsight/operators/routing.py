@@ -46,7 +46,7 @@ class ResultFacts:
 
 
 def result_facts(results: dict[str, DataFrame], points: DataFrame | None = None) -> ResultFacts:
-    """One wide aggregate, one distinct-count job and one 300-row probe per result.
+    """One wide aggregate, one distinct-count job and one pivot probe per result.
 
     Tier thresholds (H10) are computed only for colour columns that violin or
     box points ask for (all many-valued numeric columns when ``points`` is not

@@ -328,3 +328,14 @@ def test_url_filter(spark):
                                    (4, "http://bad.org/", 20), (5, None, 10), (6, "odd", None)], "page_id long, url string, d long")
     got = by_id(url_filter.evaluate(pages.withColumn("fetched_at", t("d")), url_filter.intervals(entries, F.timestamp_seconds(F.lit(9_000_000)))), "page_id")
     assert {i: r.pattern for i, r in got.items()} == {1: None, 2: "bad.org", 3: "a.bad.org", 4: None, 5: None, 6: None}
+
+
+def test_url_filter_deep_hosts(spark):
+    from pyspark.sql import functions as F
+    deep = ".".join(f"l{i}" for i in range(12)) + ".org"
+    parent = deep.split(".", 2)[2]
+    at = F.timestamp_seconds(F.lit(86_400))
+    entries = spark.createDataFrame([("l", parent, True)], "list string, pattern string, listed boolean").withColumn("at", at)
+    pages = spark.createDataFrame([(1, f"http://{deep}/x"), (2, f"http://{parent}/"), (3, f"http://x{parent}/")], "page_id long, url string")
+    got = by_id(url_filter.evaluate(pages.withColumn("fetched_at", at), url_filter.intervals(entries, F.timestamp_seconds(F.lit(9_000_000)))), "page_id")
+    assert {i: r.pattern for i, r in got.items()} == {1: parent, 2: parent, 3: None}
