@@ -115,32 +115,8 @@ def _joined(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int,
         ra, rb = na, nb
 
 
-def embedding_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
-                    threshold: float = THRESHOLD) -> DataFrame:
-    """(key, n_links, component_id, kept) for every row of ``vectors``.
-
-    Null or zero vectors, those with null or non-finite components and those
-    of another length than the table's largest length group link with nothing;
-    equal vectors are compared once and counted as often as they occur. Rows
-    with a null key are left out; an empty table gives no rows; other columns
-    are ignored.
-    """
-    chord = math.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
-    src = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null")
-    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = src.filter("v is not null and size(v) > 0").filter(~odd).filter(F.exists("v", lambda x: x != 0))
-    unit = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))
-    same = F.struct(F.size("v").alias("d"), F.xxhash64("v").alias("h"), F.xxhash64(F.reverse("v")).alias("g"))
-    marked = stored(good.select("id", unit.alias("v"), same.alias("same")), "vectors")
-    one = marked.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k"))
-    copies = stored(marked.select("id", "same").join(one, "same").select("id", "rep", "k"), "copies")
-    out_key = F.col("id").alias(key)
-    alone = src.select(out_key, F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = marked.groupBy("same.d").count().orderBy(F.desc("count"), F.desc("d")).first()
-    if dims is None:
-        return alone
-    dim = dims["d"]
-    reps = marked.filter(F.col("same.d") == dim).join(copies.filter("id = rep").select("id", "k").distinct(), "id").dropDuplicates(["id"]).select("id", "k", "v")
+def _links(reps: DataFrame, threshold: float, chord: float) -> DataFrame:
+    """(a, b, n) among distinct vectors of one length: n links of ``a`` where a = b, else a link that joins components."""
     norm = lambda a: a / np.linalg.norm(a, axis=1)[:, None]
     picked = reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
     tree = CoverTree(norm(np.array([r["v"] for r in picked], np.float64)))
@@ -166,7 +142,7 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         blocked, "leaf int, reach double, ids array<long>, times array<long>, data binary").withColumn(
         "block", F.element_at("ids", 1)), "blocks")
     radius = {r["leaf"]: r["m"] for r in blocks.groupBy("leaf").agg(F.max("reach").alias("m")).collect()}
-    spark = vectors.sparkSession
+    spark = reps.sparkSession
     pairs = spark.createDataFrame(tree.surviving(radius, chord) or [(-1, -1)], "la int, lb int")
     names = blocks.select("leaf", "block", "reach")
     work = (pairs.join(names.toDF("la", "ba", "fa"), "la").join(names.toDF("lb", "bb", "fb"), "lb")
@@ -194,8 +170,35 @@ def embedding_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 yield pd.DataFrame(rows, columns=["a", "b", "n"])
 
     both = both.repartition(max(few, min(4096, work.count() // 32 + 8)), "ba", "bb")
-    found = stored(both.select("ba", "bb", "la", "lb", "fa", "fb", "ia", "ib", "ta", "tb", "da", "db").mapInPandas(
+    return stored(both.select("ba", "bb", "la", "lb", "fa", "fb", "ia", "ib", "ta", "tb", "da", "db").mapInPandas(
         compared, "a long, b long, n long"), "links")
+
+
+def embedding_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
+                    threshold: float = THRESHOLD) -> DataFrame:
+    """(key, n_links, component_id, kept) for every row of ``vectors``.
+
+    Null or zero vectors and those with null or non-finite components link
+    with nothing; vectors are compared with those of their own length, a tree
+    for each length; equal vectors are compared once and counted as often as they occur. Rows
+    with a null key are left out; an empty table gives no rows; other columns
+    are ignored.
+    """
+    chord = math.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
+    src = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null")
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    good = src.filter("v is not null and size(v) > 0").filter(~odd).filter(F.exists("v", lambda x: x != 0))
+    unit = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))
+    same = F.struct(F.size("v").alias("d"), F.xxhash64("v").alias("h"), F.xxhash64(F.reverse("v")).alias("g"))
+    marked = stored(good.select("id", unit.alias("v"), same.alias("same")), "vectors")
+    one = marked.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k"))
+    copies = stored(marked.select("id", "same").join(one, "same").select("id", "rep", "k"), "copies")
+    out_key = F.col("id").alias(key)
+    dims = [r["d"] for r in one.groupBy("same.d").count().filter("count > 1").orderBy("d").collect()]
+    found = vectors.sparkSession.createDataFrame([], "a long, b long, n long")
+    for dim in dims:
+        reps = marked.filter(F.col("same.d") == dim).join(copies.filter("id = rep").select("id", "k").distinct(), "id")
+        found = found.union(_links(reps.dropDuplicates(["id"]).select("id", "k", "v"), threshold, chord))
     degree = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = components(found.filter("a <> b")).withColumnRenamed("node", "rep")
     each = copies.join(degree, "rep", "left").join(parts, "rep", "left").groupBy("id").agg(

@@ -339,3 +339,20 @@ def test_url_filter_deep_hosts(spark):
     pages = spark.createDataFrame([(1, f"http://{deep}/x"), (2, f"http://{parent}/"), (3, f"http://x{parent}/")], "page_id long, url string")
     got = by_id(url_filter.evaluate(pages.withColumn("fetched_at", at), url_filter.intervals(entries, F.timestamp_seconds(F.lit(9_000_000)))), "page_id")
     assert {i: r.pattern for i, r in got.items()} == {1: parent, 2: parent, 3: None}
+
+
+def test_cover_tree_lengths(spark):
+    r = np.random.default_rng(9)
+    v = [r.normal(0, 1, 8) for _ in range(40)] + [r.normal(0, 1, 5) for _ in range(20)] + [r.normal(0, 1, 3)]
+    v += [x + r.normal(0, 0.05, len(x)) for x in v[30:55]] + [v[3], v[45]]
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)]
+    got = by_id(cover_tree.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vec_id")
+    unit = [x / np.linalg.norm(x) for x in v]
+    near = [[j for j in range(len(v)) if j != i and len(v[i]) == len(v[j]) and unit[i] @ unit[j] >= 0.9] for i in range(len(v))]
+    low = list(range(len(v)))
+    for _ in v:
+        low = [min([low[i], *(low[j] for j in near[i])]) for i in range(len(v))]
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(v))] == [(len(n), c) for n, c in zip(near, low, strict=True)]
+    assert any(near[i] for i in range(40, 60))
+    none = cover_tree.embedding_links(spark.createDataFrame([(1, None), (2, [])], "vec_id long, embedding array<double>")).collect()
+    assert {(x.vec_id, x.n_links, x.component_id, x.kept) for x in none} == {(1, 0, 1, True), (2, 0, 2, True)}
