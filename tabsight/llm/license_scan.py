@@ -1,10 +1,13 @@
 """License scans: template fingerprints in an inverted index, then banded alignment of candidates.
 
-The index is chosen per template so that no alignment at ``MIN_COVERAGE`` is
-missed. Of a short template (up to ``SHORT`` words), one word more than the
+The index is chosen per template so that any match at ``MIN_COVERAGE`` shares
+an entry with it. Of a short template (up to ``SHORT`` words), one word more than the
 coverage lets drop is listed, the rarest first: any such alignment holds one
 of them. Of a long template every pair of words is listed: an alignment that
-keeps within the band holds at least as many of them as ``need`` says. A text
+keeps within the band holds at least as many of them as ``need`` says. Bands
+lie around diagonals with a hit; of a long template's, the fullest goes first
+and stands for those within its band, so a match that drifts over more than
+one band's half can fall short. A text
 is aligned only if its words could cover the template at all; the alignment
 reports the covered part of the template and the span in the text. Documents
 are scanned where they lie: no shuffle.
