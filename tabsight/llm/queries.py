@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from tabsight.llm.common import table
 from tabsight.llm.cover_tree import embedding_links
 from tabsight.llm.decontamination import contaminated
+from tabsight.llm.hard_negatives import hard_negatives, whole_vector
+from tabsight.llm.language_id import held_out, identify, learn
 from tabsight.llm.license_scan import scan
 from tabsight.llm.minhash import near_duplicates
 from tabsight.llm.packing import pack
+from tabsight.llm.periodic_runs import periodic_runs
 from tabsight.llm.sharding import shard_documents
 from tabsight.llm.suffix_dedup import remove_repeats
 from tabsight.llm.toxicity import toxicity
@@ -81,6 +84,42 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select(vec_id, label.alias("label"), whole_vector(F.col("embedding")).alias("vec"))
+    return hard_negatives(vectors, vec_id % 100 == 0)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = held_out(F.col("doc_id"))
+    model = learn(docs.filter(~apart).select("text", "lang"))
+    return identify(docs.select("doc_id", "text"), model, reject=False).select(
+        "doc_id", apart.alias("held_out"), "lang_pred", "score", "distance", "foreign")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, by crc32 of the id, gets a periodic rest before its runs are sought."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    planted = F.expr("""array_join(transform(sequence(0, size(words) - 1),
+        i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')""")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    docs = docs.withColumn("a", F.expr("g % nullif(size(words), 0)")).withColumn(
+        "p", F.expr("1 + (size(words) - a) div (3 + g % 8)"))
+    text = F.when(F.size("words") > 0, planted).otherwise(F.col("text"))
+    runs = periodic_runs(docs.select("doc_id", text.alias("text")))
+    best = F.col("strongest")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    return runs.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.start.alias("start"), best.length.alias("length"),
+        best.period.alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_license_scan": op2_license_scan,
@@ -92,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cover_tree": op8_cover_tree,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_language_id": op12_language_id,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
@@ -103,4 +145,24 @@ ORACLE: dict[str, str] = {
                CASE WHEN rep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN rep <> page_id THEN rep END AS refers_to
         FROM m""",
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                   list_dot_product(a.e, b.e)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+        p AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5""",
 }
