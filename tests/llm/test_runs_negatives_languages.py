@@ -153,11 +153,11 @@ def test_languages_held_out_and_odd_rows(spark):
                                  (5, "the and of " * 50_000), (5, "the and of " * 50_000)], "doc_id long, text string")
     got = language_id.identify(odd, model).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == 7 and by[None].lang_pred in LANGS
+    assert len(got) == 7 and by[None].score > 0.5
     assert [(by[i].lang_pred, by[i].score, by[i].distance) for i in (1, 2, 3)] == [("und", 0.0, None)] * 3
     assert by[4].foreign and by[4].lang_pred == "und" and by[5].score == max(r.score for r in got if r.doc_id == 5)
     near = {r.doc_id: r.lang_pred for r in language_id.identify(odd, model, reject=False).collect()}
-    assert near[4] in LANGS
+    assert near[4] in LANGS and near[None] == "bb" and near[5] == "aa"
 
 
 def test_languages_without_anything_to_learn(spark):
