@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.functions.text import strip_ws
+from tabsight.sources.quoted_csv import read_quoted_csv
 
 # The missing-value tokens of pandas' default CSV reader.
 MISSING_TOKENS = (
@@ -27,8 +28,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
     so that "the first n rows" is a total order and not scan order.
     """
     if fmt == "csv":
-        df = (spark.read.option("header", True).option("inferSchema", False)
-              .option("multiLine", False).csv(path))
+        df = read_quoted_csv(spark, path)
     else:
         df = spark.read.format(fmt).load(path)
     if normalise:
