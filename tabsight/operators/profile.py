@@ -2,8 +2,8 @@
 
 Work is a fixed number of passes however wide the table is:
 
-* one wide aggregate gives row and non-null counts, numeric min/max and the
-  parse counts used for type inference (chunked at ``chunk`` columns);
+* one scan gives row and non-null counts, numeric min/max and the types that
+  every value of a column fits (``operators.lattice``: one row per column);
 * one exact-quantile job gives every numeric median (``functions.quantiles``);
 * one unpivot + ``groupBy(column, value)`` gives the distinct counts of all
   text columns (never many ``count_distinct`` in one aggregate).
@@ -17,50 +17,18 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.functions import distinct
 from tabsight.functions.quantiles import column_quantiles
 from tabsight.functions.text import strip_ws
+from tabsight.operators import lattice
+from tabsight.operators.lattice import DEFAULT_DATE_FORMATS, NUMERIC_TYPES, UNKNOWN, TableFacts, table_facts
 
-# Distinct-count threshold for categorical columns and the fill
-# label for missing text.
+# Fixed value: distinct-count threshold for categorical columns.
 CATEGORICAL_MAX_DISTINCT = 20
-UNKNOWN = "Unknown"
-BITMAP_WORDS = distinct.BITMAP_WORDS
-
-# Datetime formats tried in order; a column is promoted only if every value
-# parses with one of them (all-or-nothing).
-DEFAULT_DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "dd-MMM-yyyy",
-)
-# Cheap shape checks run before a parse, so that values which cannot match a
-# format never reach the (exception-driven) parser.
-DATE_SHAPES = {
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$",
-    "yyyy-MM-dd HH:mm": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}$",
-    "yyyy-MM-dd": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
-    "yyyy/MM/dd": r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$",
-    "MM/dd/yyyy HH:mm:ss": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$",
-    "MM/dd/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
-    "dd-MMM-yyyy": r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$",
-}
-BOOL_TOKENS = ("true", "false")
-INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
-NUMBER_PATTERN = r"^\s*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
-
-NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
-                 T.DoubleType, T.DecimalType)
+
 INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 DATETIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
@@ -112,114 +80,57 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN is a missing value: NULL in every float column."""
+    return df.select(*[(F.when(~F.isnan(_q(f.name)), _q(f.name)).alias(f.name)
+                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else _q(f.name)) for f in df.schema.fields])
+
+
 def drop_empty(df: DataFrame) -> DataFrame:
     """P1 + P2: drop all-null columns, then all-null rows."""
-    counts = wide_agg(df, [F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(df.columns)])
-    keep = [c for i, c in enumerate(df.columns) if counts[f"n{i}"] > 0]
-    return df.select(*[_q(c) for c in keep]).dropna(how="all")
+    facts = table_facts(df)
+    return df.select(*[_q(c) for c in df.columns if facts.columns[c].count > 0]).dropna(how="all")
 
 
 def _is_string(dt):
     return isinstance(dt, T.StringType)
 
 
-def infer_types(df: DataFrame, date_formats=DEFAULT_DATE_FORMATS, stats: dict | None = None) -> DataFrame:
+def infer_types(df: DataFrame, date_formats=DEFAULT_DATE_FORMATS, facts: TableFacts | None = None) -> DataFrame:
     """Cast text columns that fully parse as integer, double, boolean or datetime.
 
-    Integers with gaps become double (as pandas does); a datetime column needs
-    every value to parse with one format, else it stays text.
+    Integers beyond a long become ``decimal(38, 0)``; integers with gaps become
+    double (as pandas does), booleans with gaps ``True`` / ``False`` text; a
+    datetime column needs every value to parse with one format, else it stays
+    text.
     """
-    str_cols = [f.name for f in df.schema.fields if _is_string(f.dataType)]
-    if not str_cols:
+    if not any(_is_string(f.dataType) for f in df.schema.fields):
         return df
-    if stats is None:
-        src = df.select("*", *_inference_columns(str_cols, date_formats))
-        stats = wide_agg(src, _inference_exprs(src, str_cols, date_formats))
-    casts, _ = _casts(str_cols, stats, date_formats)
+    casts = _casts(df, facts or table_facts(df, date_formats), date_formats)
     return df.select(*[(casts[c].alias(c) if c in casts else _q(c)) for c in df.columns])
 
 
-def distinct_bitmap(value, prefix: str) -> list:
-    """Distinct-count lower bound aggregates (see ``functions.distinct``)."""
-    return distinct.bitmap_exprs(value, prefix)
-
-
-def bitmap_popcount(stats: dict, prefix: str) -> int:
-    return distinct.popcount(stats, prefix)
-
-
-def _starts_with_digit(col):
-    first = F.substring(col, 1, 1)
-    return (first >= F.lit("0")) & (first <= F.lit("9"))
-
-
-def _number(col):
-    return F.when(col.rlike(NUMBER_PATTERN), col.try_cast("double"))
-
-
-def _timestamp(col, fmt):
-    """Parse only values whose first character is a digit and whose shape fits the format."""
-    shape = DATE_SHAPES.get(fmt)
-    parsed = F.try_to_timestamp(col, F.lit(fmt))
-    return F.when(_starts_with_digit(col) & col.rlike(shape), parsed) if shape else parsed
-
-
-def _inference_columns(str_cols, date_formats, bitmap: bool = False) -> list:
-    """Per-row derived values, computed once in a projection before the aggregate."""
-    out = []
-    for i, c in enumerate(str_cols):
-        col = _q(c)
-        out += [_number(col).alias(f"__num{i}"), col.rlike(INTEGER_PATTERN).alias(f"__int{i}"),
-                F.lower(col).alias(f"__low{i}"), _starts_with_digit(col).alias(f"__dig{i}")]
-        if bitmap:
-            word, bit = distinct.bitmap_parts(strip_ws(F.coalesce(col, F.lit(UNKNOWN))))
-            out += [word.alias(f"__hw{i}"), bit.alias(f"__hb{i}")]
-    return out
-
-
-def _inference_exprs(df, str_cols, date_formats, rows_expr=None, bitmap: bool = False) -> list:
-    """Aggregates over the projection of ``_inference_columns``."""
-    exprs = [(rows_expr if rows_expr is not None else F.count(F.lit(1))).alias("__rows")]
-    for i, c in enumerate(str_cols):
-        col, num, low = _q(c), F.col(f"__num{i}"), F.col(f"__low{i}")
-        exprs += [
-            F.count(col).alias(f"nn{i}"),
-            F.count_if(F.col(f"__int{i}")).alias(f"nl{i}"),
-            F.count(num).alias(f"nd{i}"),
-            F.count_if(low.isin(*BOOL_TOKENS)).alias(f"nb{i}"),
-            F.min(num).alias(f"smn{i}"), F.max(num).alias(f"smx{i}"),
-            F.count_if(low == "true").alias(f"nbt{i}"),
-        ]
-        dig = F.col(f"__dig{i}")
-        for j, fmt in enumerate(date_formats):
-            shape = DATE_SHAPES.get(fmt)
-            ok = F.try_to_timestamp(col, F.lit(fmt)).isNotNull()
-            exprs.append(F.count_if((dig & col.rlike(shape) & ok) if shape else ok).alias(f"nt{i}_{j}"))
-        if bitmap:
-            exprs += distinct.bitmap_aggs(F.col(f"__hw{i}"), F.col(f"__hb{i}"), f"bm{i}_")
-    return exprs
-
-
-def _casts(str_cols, stats, date_formats):
-    """Decide each text column's type from the inference counts."""
-    n_rows = stats["__rows"]
-    casts, kinds = {}, {}
-    for i, c in enumerate(str_cols):
-        nn = stats[f"nn{i}"]
-        if nn == 0:
+def _casts(df: DataFrame, facts: TableFacts, date_formats) -> dict:
+    """What each column becomes (P4, P5); columns that stay as they are do not occur."""
+    out = {}
+    for f in df.schema.fields:
+        c, x = _q(f.name), facts.columns[f.name]
+        gaps = x.count < facts.rows
+        if isinstance(f.dataType, T.BooleanType) and gaps and x.count:
+            out[f.name] = F.initcap(c.cast("string"))
+        if not _is_string(f.dataType):
             continue
-        if stats[f"nl{i}"] == nn and nn == n_rows:
-            casts[c], kinds[c] = _q(c).try_cast("bigint"), "bigint"
-        elif stats[f"nd{i}"] == nn:
-            casts[c], kinds[c] = _number(_q(c)), "double"
-        elif stats[f"nb{i}"] == nn and nn == n_rows:
-            casts[c], kinds[c] = F.lower(_q(c)) == F.lit("true"), "boolean"
-        else:
-            for j, fmt in enumerate(date_formats):
-                if stats[f"nt{i}_{j}"] == nn:
-                    casts[c], kinds[c] = _timestamp(_q(c), fmt), "timestamp"
-                    break
-    return casts, kinds
+        if x.fits(lattice.LONG) and not gaps:
+            out[f.name] = c.try_cast("bigint")
+        elif x.fits(lattice.INTEGER) and not gaps:
+            out[f.name] = c.try_cast("decimal(38,0)")
+        elif x.fits(lattice.DOUBLE):
+            out[f.name] = lattice.number(c)
+        elif x.fits(lattice.BOOLEAN):
+            out[f.name] = F.initcap(F.lower(c)) if gaps else F.lower(c) == "true"
+        elif fmt := x.date_format(date_formats):
+            out[f.name] = lattice.timestamp(c, fmt)
+    return out
 
 
 def column_kind(dt) -> str:
@@ -240,46 +151,22 @@ class Profile:
 
 def profile(df: DataFrame, exact_median: bool = True, date_formats=DEFAULT_DATE_FORMATS,
             categorical_max: int = CATEGORICAL_MAX_DISTINCT) -> Profile:
-    """P1-P13 in at most four passes over the data.
+    """P1-P13 in at most three passes over the data.
 
-    1. one wide aggregate: row counts, non-null counts, numeric min/max and
-       the type-inference counts of every text column;
+    1. the facts of every column and the types all its values fit;
     2. (only if some numeric column has gaps) the exact-median job;
     3. one unpivot + ``groupBy(column, value)`` for text distinct counts.
+
+    NaN counts as missing throughout.
     """
     spark = df.sparkSession
+    df = without_nan(df)
     cols = df.columns
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    str_cols = [c for c in cols if _is_string(fields[c])]
-    num_raw = [c for c in cols if column_kind(fields[c]) == "numeric"]
-    any_value = F.lit(False)
-    for c in cols:
-        any_value = any_value | _q(c).isNotNull()
-
-    exprs = [F.count(F.lit(1)).alias("__rows_in")]
-    exprs += [F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(cols)]
-    for i, c in enumerate(num_raw):
-        v = _q(c).cast("double")
-        exprs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
-    # Type-inference counts and, per text column, a distinct-value bitmap after
-    # fill and strip (only columns that could be categorical get an exact
-    # distinct job). Derived values are projected once, then aggregated.
-    exprs += _inference_exprs(df, str_cols, date_formats, rows_expr=F.count_if("__any"), bitmap=True)
-    src = df.select("*", any_value.alias("__any"), *_inference_columns(str_cols, date_formats, bitmap=True))
-    stats = wide_agg(src, exprs)
-    rows = stats["__rows"]
-    nonnull = {c: stats[f"c{i}"] for i, c in enumerate(cols)}
-
-    keep = [c for c in cols if nonnull[c] > 0]                              # P1
-    casts, kinds = _casts(str_cols, stats, date_formats)                    # P4, P5
-    minmax = {c: (stats[f"mn{i}"], stats[f"mx{i}"]) for i, c in enumerate(num_raw)}
-    for i, c in enumerate(str_cols):
-        if kinds.get(c) in ("bigint", "double"):
-            minmax[c] = (stats[f"smn{i}"], stats[f"smx{i}"])
-        elif kinds.get(c) == "boolean":
-            t = stats[f"nbt{i}"]
-            minmax[c] = (0.0 if t < nonnull[c] else 1.0, 1.0 if t > 0 else 0.0)
+    facts = table_facts(df, date_formats)
+    rows = facts.rows
 
+    keep = [c for c in cols if facts.columns[c].count > 0]                  # P1
+    casts = _casts(df, facts, date_formats)                                 # P4, P5
     typed = df.select(*[(casts[c].alias(c) if c in casts else _q(c)) for c in keep]).dropna(how="all")   # P2
     names = clean_names(typed).columns                                      # P3
     rename = dict(zip(keep, names))
@@ -290,7 +177,7 @@ def profile(df: DataFrame, exact_median: bool = True, date_formats=DEFAULT_DATE_
     txt_cols = [c for c in keep if kind[c] == "other"]
 
     # Pass 2: medians of numeric columns with gaps (exact, bounded memory).
-    need = [c for c in num_cols if nonnull[c] < rows and not isinstance(tfields[rename[c]], T.BooleanType)]
+    need = [c for c in num_cols if facts.columns[c].count < rows]
     medians = {}
     if need:
         nn = [rename[c] for c in need]
@@ -313,27 +200,25 @@ def profile(df: DataFrame, exact_median: bool = True, date_formats=DEFAULT_DATE_
             out.append(_q(n))
     clean = typed.select(*out)
 
+    # Filling a column with its median leaves min and max unchanged, so P7's stats come from the first pass.
     onto_rows = []
     for pos, c in enumerate(keep):
         if kind[c] == "numeric":
-            mn, mx = minmax.get(c, (None, None))
-            onto_rows.append((rename[c], pos, "numeric", None if mn is None else float(mn),
-                              None if mx is None else float(mx), None, None))
+            x = facts.columns[c]
+            onto_rows.append((rename[c], pos, "numeric", x.least, x.greatest, None, None))
         elif kind[c] == "datetime":
             onto_rows.append((rename[c], pos, "datetime", None, None, None, None))
     onto = spark.createDataFrame(onto_rows, ONTOLOGY_SCHEMA)
     onto = onto.select("column", "position", "type", F.round("min", 2).alias("min"),
                        F.round("max", 2).alias("max"), "allowed_values", "distinct_count")   # P7
     if txt_cols:
-        lower = {rename[c]: bitmap_popcount(stats, f"bm{str_cols.index(c)}_") for c in txt_cols if c in str_cols}
-        exact = [rename[c] for c in txt_cols if lower.get(rename[c], 0) <= categorical_max]
-        wide = [c for c in lower if c not in exact]  # proven > categorical_max
-        onto = onto.unionByName(text_ontology(clean, exact, names, categorical_max, wide))
+        wide = [rename[c] for c in txt_cols if c not in casts and facts.columns[c].distinct_bound > categorical_max]
+        onto = onto.unionByName(text_ontology(clean, [rename[c] for c in txt_cols], names, categorical_max, wide))
 
-    filled_num = sum(rows - nonnull[c] for c in need)
-    filled_txt = sum(rows - nonnull[c] for c in txt_cols)
+    filled_num = sum(rows - facts.columns[c].count for c in need)
+    filled_txt = sum(rows - facts.columns[c].count for c in txt_cols)
     summary = spark.createDataFrame(
-        [(len(cols), len(keep), int(stats["__rows_in"]), int(rows), int(filled_num), int(filled_txt),
+        [(len(cols), len(keep), int(facts.rows_in), int(rows), int(filled_num), int(filled_txt),
           f"Ontology Map Generated. Sanitized {len(keep)} columns.")],
         "columns_in int, columns_out int, rows_in long, rows_out long, "
         "numeric_filled long, text_filled long, message string")
@@ -345,36 +230,35 @@ def text_ontology(clean: DataFrame, txt_cols: list[str], all_cols: list[str],
     """Distinct count per text column; allowed values when <= ``categorical_max``.
 
     One unpivot + ``groupBy(column, value)`` (map-side combine collapses hot
-    values), then per column a count; value lists are gathered only for
-    columns already known to be small, so no list exceeds ``categorical_max``.
-    Columns in ``wide`` (proven to hold more than ``categorical_max`` values by
-    their bitmap) are typed ``text`` without a count and never shuffled value
-    by value.
+    values), then a count per column. Columns in ``wide`` (proven to hold more
+    than ``categorical_max`` values) need no values, so two 64-bit hashes stand
+    for each of theirs and long texts are not shuffled. The values of the other
+    columns are cut to ``categorical_max + 1`` before they are gathered.
     """
-    spark = clean.sparkSession
-    wide_rows = spark.createDataFrame(
-        [(c, all_cols.index(c), "text", None, None, None, None) for c in (wide or [])], ONTOLOGY_SCHEMA)
-    if not txt_cols:
-        return wide_rows
-    pos = spark.createDataFrame([(c, all_cols.index(c)) for c in txt_cols], "column string, position int")
-    pairs = (clean.select(*[_q(c) for c in txt_cols])
-             .unpivot([], txt_cols, "column", "value")
-             .groupBy("column", "value").agg(F.lit(1).alias("__one")))
-    counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
-    small = counts.where(F.col("distinct_count") <= categorical_max)
-    # ``small`` has at most one row per column of the table: a schema-sized side.
-    values = (pairs.join(F.broadcast(small.select("column")), "column")
-              .groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("allowed_values")))
-    return (counts.join(F.broadcast(pos), "column").join(values, "column", "left")
-            .select("column", "position",
-                    F.when(F.col("distinct_count") <= categorical_max, "categorical").otherwise("text").alias("type"),
-                    F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"),
-                    "allowed_values", F.col("distinct_count").cast("long").alias("distinct_count"))
-            .unionByName(wide_rows))
+    wide = set(wide or ())
+    cells = F.array(*[F.struct(F.lit(all_cols.index(c)).alias("position"), F.lit(c).alias("column"), F.lit(c in wide).alias("wide"),
+                               _q(c).alias("value")) for c in txt_cols])
+    value = F.col("value")
+    pairs = (clean.select(F.explode(cells).alias("cell")).select("cell.*")
+             .select("position", "column", F.when(F.col("wide"), F.xxhash64(value)).alias("h1"),
+                     F.when(F.col("wide"), F.xxhash64(F.lit("distinct"), value)).alias("h2"),
+                     F.when(~F.col("wide"), value).alias("value"))
+             .groupBy("position", "column", "h1", "h2", "value").agg(F.lit(1).alias("one")))
+    counts = pairs.groupBy("position", "column").agg(F.count(F.lit(1)).alias("distinct_count"))
+    place = F.row_number().over(Window.partitionBy("position").orderBy("value"))
+    values = (pairs.filter(F.col("h1").isNull()).withColumn("place", place).filter(F.col("place") <= categorical_max + 1)
+              .groupBy("position").agg(F.array_sort(F.collect_list("value")).alias("found")))
+    categorical = F.col("distinct_count") <= categorical_max
+    # both sides have a row per column of the table
+    return counts.join(F.broadcast(values), "position", "left").select(
+        "column", "position", F.when(categorical, "categorical").otherwise("text").alias("type"),
+        F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"),
+        F.when(categorical, F.col("found")).alias("allowed_values"), F.col("distinct_count").cast("long").alias("distinct_count"))
 
 
 def impute_median(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """P6 on its own: numeric nulls -> exact column median (integers become double)."""
+    """P6 on its own: numeric nulls and NaN -> exact column median (integers become double)."""
+    df = without_nan(df)
     cols = cols or [f.name for f in df.schema.fields
                     if isinstance(f.dataType, NUMERIC_TYPES)]
     if exact:

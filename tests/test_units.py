@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsight.functions import text as tx
+from tabsight.functions import distinct
 from tabsight.functions.quantiles import exact_quantiles
 from tabsight.operators import chartdata as cd
 from tabsight.operators import conversation as cv
@@ -278,16 +279,16 @@ def test_chunk_text_whole_text(spark):
 def test_distinct_bitmap_is_a_lower_bound(spark):
     for d in (1, 5, 20, 21, 40, 300):
         df = spark.createDataFrame([(f"v{i % d}",) for i in range(600)], "s string")
-        stats = df.agg(*pf.distinct_bitmap(F.col("s"), "b")).first().asDict()
-        pc = pf.bitmap_popcount(stats, "b")
+        stats = df.agg(*distinct.bitmap_exprs(F.col("s"), "b")).first().asDict()
+        pc = distinct.popcount(stats, "b")
         assert pc <= d and (d > 20 or pc <= 20)
 
 
-def test_profile_wide_text_column_skips_exact_distinct(spark):
+def test_profile_counts_wide_text_columns_too(spark):
     rows = [(f"name {i}", ["a", "b"][i % 2]) for i in range(500)]
     p = pf.profile(spark.createDataFrame(rows, "name string, kind string"))
     onto = {r.column: r for r in p.ontology.collect()}
-    assert onto["name"].type == "text" and onto["name"].distinct_count is None
+    assert onto["name"].type == "text" and onto["name"].distinct_count == 500 and onto["name"].allowed_values is None
     assert onto["kind"].type == "categorical" and onto["kind"].allowed_values == ["a", "b"]
 
 
