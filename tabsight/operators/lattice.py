@@ -88,23 +88,30 @@ def timestamp(col: Column, fmt: str) -> Column:
     return F.when(col.rlike(DATE_START) & col.rlike(date_shape(fmt)), F.try_to_timestamp(col, F.lit(fmt)))
 
 
-def type_mask(text: Column, date_formats=DEFAULT_DATE_FORMATS) -> Column:
-    """Bits of all types that a text value fits."""
+def type_mask(text: Column, value: Column, date_formats=DEFAULT_DATE_FORMATS) -> Column:
+    """Bits of all types that a text value fits; ``value`` is its :func:`number`.
+
+    The formats sit in a lambda: generated code for all of them would make the
+    methods that every cell passes too long to be compiled.
+    """
     bit = lambda k, on: F.when(on, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
-    whole = text.rlike(INTEGER_PATTERN)
-    numeric = F.when(whole, bit(LONG, text.try_cast("bigint").isNotNull()) + bit(INTEGER, text.try_cast("decimal(38,0)").isNotNull())
-                     ).otherwise(F.lit(0).cast("long")) + F.lit(1 << DOUBLE).cast("long")
-    dates = F.lit(0).cast("long")
-    for j, fmt in enumerate(date_formats):
-        dates = dates + bit(FIRST_DATE + j, timestamp(text, fmt).isNotNull())
-    rest = bit(BOOLEAN, F.lower(text).isin(*BOOL_TOKENS))
-    return F.when(number(text).isNotNull(), numeric).when(text.rlike(DATE_START), dates).otherwise(rest)
+    whole = F.when(text.rlike(INTEGER_PATTERN), bit(LONG, text.try_cast("bigint").isNotNull())
+                   + bit(INTEGER, text.try_cast("decimal(38,0)").isNotNull())).otherwise(F.lit(0).cast("long"))
+
+    def dates(found: Column, t: Column) -> Column:
+        for j, fmt in enumerate(date_formats):
+            found = found + bit(FIRST_DATE + j, timestamp(t, fmt).isNotNull())
+        return found
+
+    return (F.when(value.isNotNull(), whole + F.lit(1 << DOUBLE).cast("long"))
+            .when(text.rlike(DATE_START), F.aggregate(F.array(text), F.lit(0).cast("long"), dates))
+            .otherwise(bit(BOOLEAN, F.lower(text).isin(*BOOL_TOKENS))))
 
 
 @dataclass
 class Facts:
     """Of one column: values that are not null, bits of the types they all fit, least and greatest number,
-    number of ``true``, lower bound of the distinct texts after fill and strip."""
+    number of ``true``, lower bound of the distinct texts after strip."""
 
     count: int
     mask: int
@@ -142,11 +149,13 @@ def facts_frame(df: DataFrame, date_formats=DEFAULT_DATE_FORMATS) -> DataFrame:
         cells.append(F.struct(F.lit(i).alias("at"), c.isNotNull().alias("present"), text.alias("text"), value.alias("number")))
     cells.append(F.struct(F.lit(-1).alias("at"), some.alias("present"), none_text.alias("text"), none_number.alias("number")))
     cell = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
-    text = F.col("text")
-    word, bit = distinct.bitmap_parts(strip_ws(F.coalesce(text, F.lit(UNKNOWN))))
-    known = cell.select("at", "present", F.when(text.isNotNull(), type_mask(text, date_formats)).alias("mask"),
-                        F.coalesce("number", F.when(text.isNotNull(), number(text))).alias("number"),
-                        (F.lower("text") == "true").alias("true"), word.alias("word"), bit.alias("bit"))
+    text, value = F.col("text"), F.col("value")
+    cell = cell.select("at", "present", "text", "number", F.when(text.isNotNull(), number(text)).alias("value"),
+                       F.when(text.isNotNull(), strip_ws(text)).alias("bare"))
+    word, bit = distinct.bitmap_parts(F.col("bare"))
+    known = cell.select("at", "present", F.when(text.isNotNull(), type_mask(text, value, date_formats)).alias("mask"),
+                        F.coalesce("number", "value").alias("number"), (F.lower("text") == "true").alias("true"),
+                        F.when(text.isNotNull(), word).alias("word"), F.when(text.isNotNull(), bit).alias("bit"))
     return known.groupBy("at").agg(
         F.count(F.lit(1)).alias("cells"), F.count_if("present").alias("count"), F.bit_and("mask").alias("mask"),
         F.min("number").alias("least"), F.max("number").alias("greatest"), F.count_if("true").alias("true"),

@@ -209,9 +209,11 @@ def read_quoted_csv(spark: SparkSession, path: str, sep: str = ",", quote: str =
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     broken = not states.filter("broken").isEmpty()
     leading = states.agg(F.min("path")).first()[0]
-    records = _records(lines, states, state)
-    headers = _records(lines.filter(F.col("path") == F.lit(leading)), states, state).filter("first and text <> ''")
-    header = headers.select("text").first() if leading else None
+    if broken:
+        header = _records(lines.filter(F.col("path") == F.lit(leading)), states, state).filter("first and text <> ''").first()
+    else:
+        begin = lines.filter((F.col("path") == F.lit(leading)) & (F.col("start") == 0))
+        header = begin.select(F.regexp_replace("value", r"\r$", "").alias("text")).filter("text <> ''").first()
     if header is None:
         raise ValueError("no record names the columns")
     names = _names(header["text"].removeprefix("\ufeff"), sep, quote)
@@ -219,6 +221,7 @@ def read_quoted_csv(spark: SparkSession, path: str, sep: str = ",", quote: str =
     if not broken:
         return spark.read.options(**options).option("header", True).schema(schema).csv(path).toDF(*names)
     parsed = F.from_csv("text", schema, {**options, "multiLine": "true"}).alias("r")
+    records = _records(lines, states, state)
     return records.filter(~F.col("first") & (F.col("text") != "")).select(parsed).select("r.*").toDF(*names)
 
 
