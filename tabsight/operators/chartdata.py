@@ -7,15 +7,13 @@ Spark aggregate over the full data and the output is a small table.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.functions.distinct import distinct_lower_bounds
 from tabsight.functions.quantiles import exact_quantiles, join_groups
-from tabsight.operators.profile import wide_agg
+from tabsight.operators.correlation import corr_matrix
 
 # Distinct-count guards and bin counts of the chart rules.
 PIVOT_MAX_DISTINCT = 30
@@ -88,75 +86,6 @@ def pivot_grid(df: DataFrame, col_a: str, col_b: str, metric: str, max_distinct:
     return grid.toDF(*names).fillna(0, subset=names[1:])
 
 
-# Aggregates per job: each centred sum is one buffer field, which keeps the
-# aggregate under Spark's whole-stage-codegen field limit.
-CORR_SUMS_PER_JOB = 90
-
-
-def corr_matrix(df: DataFrame, cols: list[str], round_to: int = 2, fill: float | None = None) -> DataFrame:
-    """Pearson correlation of every pair, pairwise-complete, long form.
-
-    Two-pass centred algorithm, all partial aggregates (no row leaves its
-    partition): pass 1 gives each column's count and mean; pass 2 sums the
-    centred cross products of every pair (one ``sum`` per pair, codegen
-    friendly, no cancellation). Columns with gaps use per-pair masked sums.
-    A constant column gives NULL where Spark 4's ``corr`` would raise under
-    ANSI; ``fill`` (A7: 0) replaces it.
-    """
-    spark = df.sparkSession
-    k = len(cols)
-    x = [_q(c).cast("double") for c in cols]
-    first = wide_agg(df, [F.count(F.lit(1)).alias("__n")] + [F.count(x[i]).alias(f"n{i}") for i in range(k)]
-                     + [F.avg(x[i]).alias(f"m{i}") for i in range(k)])
-    n = first["__n"]
-    complete = all(first[f"n{i}"] == n for i in range(k))
-    d = [x[i] - F.lit(first[f"m{i}"] if first[f"m{i}"] is not None else 0.0) for i in range(k)]
-    exprs = []
-    if complete:
-        for i in range(k):
-            for j in range(i, k):
-                exprs.append(F.sum(d[i] * d[j]).alias(f"s{i}_{j}"))
-    else:
-        for i, j in combinations(range(k), 2):
-            both = x[i].isNotNull() & x[j].isNotNull()
-            di, dj = F.when(both, d[i]), F.when(both, d[j])
-            exprs += [F.count_if(both).alias(f"c{i}_{j}"), F.sum(di).alias(f"a{i}_{j}"), F.sum(dj).alias(f"b{i}_{j}"),
-                      F.sum(di * dj).alias(f"s{i}_{j}"), F.sum(di * di).alias(f"u{i}_{j}"), F.sum(dj * dj).alias(f"v{i}_{j}")]
-        for i in range(k):
-            exprs.append(F.sum(d[i] * d[i]).alias(f"s{i}_{i}"))
-    v = wide_agg(df, exprs, chunk=CORR_SUMS_PER_JOB)
-
-    def pair(i, j):
-        if complete:
-            sxy, sxx, syy = v[f"s{i}_{j}"], v[f"s{i}_{i}"], v[f"s{j}_{j}"]
-        else:
-            c = v[f"c{i}_{j}"]
-            if not c:
-                return None
-            a, b = v[f"a{i}_{j}"] or 0.0, v[f"b{i}_{j}"] or 0.0
-            sxy = v[f"s{i}_{j}"] - a * b / c
-            sxx = v[f"u{i}_{j}"] - a * a / c
-            syy = v[f"v{i}_{j}"] - b * b / c
-        if sxy is None or not sxx or not syy or sxx <= 0 or syy <= 0:
-            return None
-        return sxy / (sxx * syy) ** 0.5
-
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                s_ii = v.get(f"s{i}_{i}")
-                val = 1.0 if (s_ii is not None and s_ii > 0) else None
-            else:
-                val = pair(min(i, j), max(i, j))
-            rows.append((a, b, val))
-    out = spark.createDataFrame(rows, "col_a string, col_b string, corr double")
-    val = F.round("corr", round_to)
-    if fill is not None:
-        val = F.coalesce(val, F.lit(float(fill)))
-    return out.select("col_a", "col_b", val.alias("corr"))
-
-
 def quantile_thresholds(df: DataFrame, col: str, probs=TIER_QUANTILES, digits: int = 1) -> tuple[float, float]:
     """Exact quantiles (linear interpolation), rounded half-up in Spark SQL."""
     r = exact_quantiles(df, col, list(probs)).select(

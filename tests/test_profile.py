@@ -4,7 +4,6 @@ import datetime as dt
 from decimal import Decimal
 
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from tabsight.operators import lattice
@@ -19,7 +18,7 @@ def one(spark, values, kind="string"):
     return spark.createDataFrame([(v, "x") for v in values], f"v {kind}, keep string")
 
 
-@pytest.mark.parametrize("values, kind", [
+CASES = [
     (["1", " 2 ", "-3"], "bigint"), (["1", "2", None], "double"), (["9223372036854775807", "-9223372036854775808"], "bigint"),
     (["99999999999999999999", "1"], "decimal(38,0)"), (["99999999999999999999", None], "double"), (["9" * 39, "1"], "double"),
     (["99999999999999999999", "0.5"], "double"), (["1e3", "inf", "2"], "double"), (["true", "FALSE"], "boolean"),
@@ -27,9 +26,17 @@ def one(spark, values, kind="string"):
     (["2024-01-05T10:20:30Z", "2024-01-05T10:20:30.5+02:00"], "timestamp"), (["Jan 5, 2024", "Dec 31, 2023"], "timestamp"),
     (["January 5, 2024", "May 1, 2023"], "timestamp"), (["25/12/2023", "01/02/2023"], "timestamp"),
     (["2024-01-05", "2024-01-05T10:20:30Z"], "string"), (["12:30", "13:40"], "string"), (["2024-02-30"], "string"),
-    (["25/12/2023", "12/25/2023"], "string"), (["2024-01-05", None], "timestamp")])
-def test_inferred_type(spark, values, kind):
-    assert pf.infer_types(one(spark, values)).schema["v"].dataType.simpleString() == kind
+    (["25/12/2023", "12/25/2023"], "string"), (["2024-01-05", None], "timestamp")]
+
+
+def test_inferred_types(spark):
+    for size in (1, 2, 3):
+        some = [(v, k) for v, k in CASES if len(v) == size]
+        rows = [("x", *[v[i] for v, _ in some]) for i in range(size)]
+        df = spark.createDataFrame(rows, "keep string, " + ", ".join(f"v{i} string" for i in range(len(some))))
+        got = pf.infer_types(df)
+        for i, (v, kind) in enumerate(some):
+            assert got.schema[f"v{i}"].dataType.simpleString() == kind, v
 
 
 def test_day_and_month_places(spark):
