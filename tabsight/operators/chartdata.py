@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.functions.distinct import distinct_lower_bounds
+from tabsight.functions.numbers import as_number
 from tabsight.functions.quantiles import exact_quantiles, join_groups
+from tabsight.functions.ranking import ranked_within
 from tabsight.operators.correlation import corr_matrix
 
 # Distinct-count guards and bin counts of the chart rules.
@@ -77,20 +79,21 @@ def pivot_grid(df: DataFrame, col_a: str, col_b: str, metric: str, max_distinct:
     a_vals, b_vals = guard[col_a], guard[col_b]
     if a_vals is None or b_vals is None:
         return None
-    m = _q(metric).try_cast("double")
+    m = as_number(df, metric)
     # Pivot on the text form of the column axis: its values name the columns.
-    grid = (df.withColumn(col_a, _q(col_a).cast("string")).groupBy(_q(col_b)).pivot(col_a, a_vals)
+    # A null on either axis names no row and no column.
+    grid = (df.where(_q(col_a).isNotNull() & _q(col_b).isNotNull()).withColumn(col_a, _q(col_a).cast("string")).groupBy(_q(col_b)).pivot(col_a, a_vals)
             .agg(F.round(F.avg(m), round_to)))
     # A value equal to the row column's name would duplicate that name: suffix it.
     names = [col_b] + [f"{v}_" if v == col_b else str(v) for v in a_vals]
     return grid.toDF(*names).fillna(0, subset=names[1:])
 
 
-def quantile_thresholds(df: DataFrame, col: str, probs=TIER_QUANTILES, digits: int = 1) -> tuple[float, float]:
-    """Exact quantiles (linear interpolation), rounded half-up in Spark SQL."""
+def quantile_thresholds(df: DataFrame, col: str, probs=TIER_QUANTILES, digits: int = 1) -> tuple[float, float] | None:
+    """Exact quantiles (linear interpolation), rounded half-up in Spark SQL; None for a column without values."""
     r = exact_quantiles(df, col, list(probs)).select(
         F.round("q0", digits).alias("lo"), F.round("q1", digits).alias("hi")).first()
-    return float(r["lo"]), float(r["hi"])
+    return None if r is None or r["lo"] is None else (float(r["lo"]), float(r["hi"]))
 
 
 def tier_labels(lo: float, hi: float) -> tuple[str, str, str]:
@@ -101,11 +104,12 @@ def quantile_tier(df: DataFrame, col: str, out: str | None = None) -> tuple[Data
     """Right-closed 3-tier colour column ``{col}_tier`` from the 0.33/0.67 quantiles.
 
     Returns (frame, tier column) or (frame, None) when the thresholds are
-    equal, in which case the colour is dropped.
+    equal or the column has no values, in which case the colour is dropped.
     """
-    lo, hi = quantile_thresholds(df, col)
-    if not lo < hi:
+    found = quantile_thresholds(df, col)
+    if found is None or not found[0] < found[1]:
         return df, None
+    lo, hi = found
     name = out or f"{col}_tier"
     return df.withColumn(name, tier_case(_q(col), lo, hi)), name
 
@@ -123,7 +127,7 @@ def box_stats(df: DataFrame, x: str | None, y: str, color: str | None = None, ro
     pass that joins the (small, one row per group) fences back to the rows.
     """
     keys = [k for k in (x, color) if k]
-    v = _q(y).try_cast("double")
+    v = as_number(df, y)
     base = df.select(*[_q(k) for k in keys], v.alias("__y")).where(F.col("__y").isNotNull())
     qs = exact_quantiles(base, "__y", [0.25, 0.5, 0.75], keys, names=["q1", "median", "q3"])
     fences = qs.select(*keys, "q1", "median", "q3",
@@ -146,7 +150,7 @@ def box_stats(df: DataFrame, x: str | None, y: str, color: str | None = None, ro
 def violin_outliers(df: DataFrame, x: str | None, y: str, color: str | None = None) -> DataFrame:
     """H2: the rows drawn as points on a violin: outside the 1.5 IQR fences of their group."""
     keys = [k for k in (x, color) if k]
-    v = _q(y).try_cast("double")
+    v = as_number(df, y)
     base = df.select(*[_q(k) for k in keys], v.alias(y)).where(_q(y).isNotNull())
     qs = exact_quantiles(base, y, [0.25, 0.75], keys, names=["q1", "q3"])
     fences = qs.select(*keys, (F.col("q1") - WHISKER_IQR * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
@@ -155,34 +159,36 @@ def violin_outliers(df: DataFrame, x: str | None, y: str, color: str | None = No
     return joined.where((_q(y) < F.col("lo_fence")) | (_q(y) > F.col("hi_fence"))).select(*keys, y)
 
 
-def violin_density(df: DataFrame, x: str, y: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """H2 (body): per group, equal-width bins between the group's own min and max
-    and the density ``count / (n * width)``; a constant group is one bin with
+def violin_density(df: DataFrame, x: str | None, y: str, bins: int = HISTOGRAM_BINS, color: str | None = None) -> DataFrame:
+    """H2 (body): per group (x and colour), equal-width bins between the group's own min
+    and max and the density ``count / (n * width)``; a constant group is one bin with
     NULL density (zero width).
 
     Group ranges are one row per group, joined back (AQE broadcasts them when
     small); counting is a partial aggregate, so no group is gathered whole.
     """
-    v = _q(y).try_cast("double")
-    base = df.select(_q(x), v.alias("__y")).where(F.col("__y").isNotNull())
-    rng = base.groupBy(_q(x)).agg(F.min("__y").alias("__mn"), F.max("__y").alias("__mx"),
-                                  F.count(F.lit(1)).alias("__n"))
+    keys = [k for k in (x, color) if k]
+    base = df.select(*[_q(k) for k in keys], as_number(df, y).alias("__y")).where(F.col("__y").isNotNull())
+    rng = base.groupBy(*[_q(k) for k in keys]).agg(F.min("__y").alias("__mn"), F.max("__y").alias("__mx"),
+                                                   F.count(F.lit(1)).alias("__n"))
     width = (F.col("__mx") - F.col("__mn")) / bins
     b = F.when(F.col("__mx") == F.col("__mn"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("__y") - F.col("__mn")) / width), F.lit(bins - 1))).cast("int")
-    counted = (join_groups(base, rng, [x]).withColumn("bin", b)
-               .groupBy(_q(x), "bin", "__mn", "__mx", "__n").agg(F.count(F.lit(1)).cast("long").alias("count")))
+    counted = (join_groups(base, rng, keys).withColumn("bin", b)
+               .groupBy(*[_q(k) for k in keys], "bin", "__mn", "__mx", "__n").agg(F.count(F.lit(1)).cast("long").alias("count")))
     lo = F.col("__mn") + F.col("bin") * width
     density = F.when(F.col("__mx") == F.col("__mn"), F.lit(None).cast("double")).otherwise(
         F.col("count") / (F.col("__n") * width))
-    return counted.select(_q(x), "bin", lo.alias("bin_start"), "count", F.round(density, 8).alias("density"))
+    return counted.select(*[_q(k) for k in keys], "bin", lo.alias("bin_start"), "count", F.round(density, 8).alias("density"))
 
 
 def histogram(df: DataFrame, x: str, bins: int = HISTOGRAM_BINS, color: str | None = None,
               round_to: int | None = None) -> DataFrame:
-    """H3: equal-width bins between min and max; the maximum falls in the last bin."""
-    v = _q(x).try_cast("double")
-    base = df.select(v.alias("__x"), *([_q(color).cast("string").alias(color)] if color else [])) \
+    """H3: equal-width bins between min and max; the maximum falls in the last bin. A column of text has a bar per value
+    (``histogram_text``)."""
+    if isinstance(df.schema[x].dataType, T.StringType):
+        return histogram_text(df, x, color)
+    base = df.select(as_number(df, x).alias("__x"), *([_q(color).cast("string").alias(color)] if color else [])) \
              .where(F.col("__x").isNotNull())
     rng = base.agg(F.min("__x").alias("__mn"), F.max("__x").alias("__mx"))
     width = (F.col("__mx") - F.col("__mn")) / bins
@@ -198,26 +204,42 @@ def histogram(df: DataFrame, x: str, bins: int = HISTOGRAM_BINS, color: str | No
     return counted.select("bin", *([color] if color else []), lo.alias("bin_start"), hi.alias("bin_end"), "count")
 
 
+def histogram_text(df: DataFrame, x: str, color: str | None = None) -> DataFrame:
+    """H3 for text: rows per value (and colour), ``bin`` numbering the values by falling count, then by value.
+
+    Counting is a partial aggregate, so a value that a third of all rows share
+    is summed before the shuffle; the numbering sorts distinct values only.
+    """
+    keys = ["value", *([color] if color else [])]
+    cells = df.select(_q(x).alias("value"), *([_q(color).cast("string").alias(color)] if color else [])).where(F.col("value").isNotNull())
+    counted = cells.groupBy(*[_q(k) for k in keys]).agg(F.count(F.lit(1)).cast("long").alias("count"))
+    totals = counted.groupBy("value").agg(F.sum("count").alias("total"))
+    placed = ranked_within(totals.withColumn("all", F.lit(0)), ["all"], [F.col("total").desc(), F.col("value")], "bin")
+    return counted.join(placed.select("value", (F.col("bin") - 1).cast("int").alias("bin")), "value").select(
+        "bin", "value", *([_q(color)] if color else []), "count")
+
+
 def scatter_points(df: DataFrame, x: str, y: str, order_by: list[str], n: int | None = None,
                    extra: list[str] | None = None) -> DataFrame:
     """H4 (+H8): x and y coerced to numbers, null rows dropped, ordered; the first ``n`` rows only if asked for."""
     extra = extra or []
     out = (df.select(*[_q(c) for c in order_by if c not in (x, y) + tuple(extra)], *[_q(c) for c in extra],
-                     _q(x).try_cast("double").alias(x), _q(y).try_cast("double").alias(y))
+                     as_number(df, x).alias(x), as_number(df, y).alias(y))
            .dropna(subset=[x, y]).orderBy(*[_q(c) for c in order_by]))
     out = out.select(*extra, x, y, *[c for c in order_by if c not in (x, y) + tuple(extra)])
     return out.limit(n) if n else out
 
 
-def line_series(df: DataFrame, x: str, y: str) -> DataFrame:
-    """H5: x, y ordered by x."""
-    return df.select(_q(x), _q(y)).orderBy(_q(x))
+def line_series(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
+    """H5: x, y (and colour, one line per value) ordered by colour and x."""
+    keys = [_q(color)] if color else []
+    return df.select(*keys, _q(x), _q(y)).orderBy(*keys, _q(x))
 
 
 def bar_stack(df: DataFrame, x: str, y: str, color: str | None = None, round_to: int = 4) -> DataFrame:
     """H6: repeated x values stack: one summed bar per (x, colour)."""
     keys = [x] + ([color] if color else [])
-    return df.groupBy(*[_q(k) for k in keys]).agg(F.round(F.sum(_q(y).try_cast("double")), round_to).alias(y))
+    return df.groupBy(*[_q(k) for k in keys]).agg(F.round(F.sum(as_number(df, y)), round_to).alias(y))
 
 
 def pie_share(df: DataFrame, names: str, values: str, round_to: int = 4) -> DataFrame | None:
@@ -226,7 +248,7 @@ def pie_share(df: DataFrame, names: str, values: str, round_to: int = 4) -> Data
     The total is a one-row aggregate joined by broadcast (bounded), never a
     window over all rows. Returns None when the total is 0 (refused).
     """
-    v = F.abs(F.coalesce(_q(values).try_cast("double"), F.lit(0.0)))
+    v = F.abs(F.coalesce(as_number(df, values), F.lit(0.0)))
     per = df.groupBy(_q(names)).agg(F.sum(v).alias("__val"))
     total = per.agg(F.sum("__val").alias("__total"))
     if (total.first()["__total"] or 0) == 0:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.functions import text as tx
+from tabsight.functions.quantiles import join_groups
 from tabsight.functions.ranking import ranked_within
 
 # Status names, defaults and limits of the ledger rules.
@@ -143,46 +144,33 @@ def tier_of(email: Column, is_admin: Column) -> Column:
     return F.when(is_admin, "admin").when(email.isNotNull(), "signed_in").otherwise("anonymous")
 
 
-# Limits up to this size are ranked as a top-k (Spark plans ``row_number() <= k``
-# as a WindowGroupLimit only up to its windowGroupLimitThreshold, 1000).
-TOP_K_MAX = 1000
+# A day is numbered in slots of this many per day, so a user with a third of all requests is spread over them.
+SLOTS_PER_DAY = 96
 
 
-def daily_quota(events: DataFrame, ts_col: str = "ts", tier_col: str = "tier") -> DataFrame:
-    """T4: the n-th request of a user on a UTC day is allowed while n <= the tier's limit.
+def daily_quota(events: DataFrame, ts_col: str = "ts", tier_col: str = "tier", slots: int = SLOTS_PER_DAY) -> DataFrame:
+    """T4: the n-th request of a user on a UTC day is allowed while n <= the limit of the request's own tier.
 
-    A partial aggregate counts requests per (user, day); a day within its
-    limit is allowed whole without any ranking. Over-limit days of tiers with
-    a small limit keep their first ``limit`` requests with ``row_number() <=
-    k``, planned as a WindowGroupLimit (top k per day before the shuffle).
-    Over-limit days of larger limits are ranked with the skew-safe
-    ``ranked_within``. ``nth_today`` is filled for allowed requests of
-    over-limit days only.
+    ``nth_today`` numbers every request of a (user, day) by time, then id,
+    whatever its tier; a day may mix tiers. Two levels, two scans: counts per
+    (user, day, slot of the day) are a partial aggregate whose running sum says
+    how many requests precede a slot; rows are numbered within their slot only.
+    Requests without a user form one group, an unknown or missing tier has the
+    limit of ``anonymous``.
     """
     limits = F.create_map(*[x for k, v in TIER_LIMITS.items() for x in (F.lit(k), F.lit(v))])
-    limit = F.element_at(limits, F.col(tier_col))
-    base = events.select("req_id", "user_id", F.to_date(F.col(ts_col)).alias("day"), tier_col, ts_col)
-    days = (base.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("__n"), F.max(tier_col).alias("__tier"))
-            .withColumn("__lim", F.element_at(limits, F.col("__tier")))
-            .where(F.col("__n") > F.col("__lim")).select("user_id", "day", "__lim"))
-    marked = base.join(days, ["user_id", "day"], "left")
-    out = ["req_id", "user_id", "day", tier_col]
-    within = marked.where(F.col("__lim").isNull()).select(
-        *out, F.lit(None).cast("long").alias("nth_today"), F.lit(True).alias("allowed"))
-    over = marked.where(F.col("__lim").isNotNull())
-    small_k = max([v for v in TIER_LIMITS.values() if v <= TOP_K_MAX], default=0)
-    w = Window.partitionBy("user_id", "day").orderBy(F.col(ts_col), F.col("req_id"))
-    top = (over.where(F.col("__lim") <= small_k).withColumn("__rn", F.row_number().over(w))
-           .where(F.col("__rn") <= small_k).where(F.col("__rn") <= F.col("__lim"))
-           .select("req_id", F.col("__rn").cast("long").alias("nth_today")))
-    big = over.where(F.col("__lim") > small_k)
-    if not big.isEmpty():
-        ranked = ranked_within(big, ["user_id", "day"], [ts_col, "req_id"], "__rn")
-        top = top.unionByName(ranked.where(F.col("__rn") <= F.col("__lim"))
-                              .select("req_id", F.col("__rn").cast("long").alias("nth_today")))
-    over_out = over.select(*out).join(top, "req_id", "left").select(
-        *out, "nth_today", F.col("nth_today").isNotNull().alias("allowed"))
-    return within.unionByName(over_out)
+    limit = F.coalesce(F.try_element_at(limits, F.col(tier_col)), F.lit(TIER_LIMITS["anonymous"]))
+    ts = F.col(ts_col).cast("timestamp")
+    keys = ["user_id", "day", "__slot"]
+    base = events.select("req_id", "user_id", F.to_date(ts).alias("day"), tier_col, ts.alias("__ts"),
+                         F.floor(F.unix_seconds(ts) / F.lit(86400 // slots)).alias("__slot"))
+    before = Window.partitionBy("user_id", "day").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(
+        *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    local = base.withColumn("__local", F.row_number().over(Window.partitionBy(*keys).orderBy("__ts", "req_id")))
+    nth = (F.col("__local") + F.col("__before")).cast("long")
+    return join_groups(local, firsts, keys).withColumn("nth_today", nth).select(
+        "req_id", "user_id", "day", tier_col, "nth_today", (F.col("nth_today") <= limit).alias("allowed"))
 
 
 # ---------------------------------------------------------------- delete
@@ -259,8 +247,9 @@ def number_titles(df: DataFrame, title: str = "title", ts: str = "timestamp", ke
 
 
 def safe_timestamp(s: Column, as_of: Column) -> Column:
-    """An unparseable or missing timestamp becomes ``as_of``."""
-    return F.coalesce(F.try_to_timestamp(s), as_of)
+    """An unparseable or missing timestamp becomes ``as_of``; so does a time of day without a date."""
+    dated = F.when(s.rlike(r"^\s*[+-]?[0-9]{4,6}(-|\s*$)"), s)
+    return F.coalesce(F.try_to_timestamp(dated), as_of)
 
 
 def recency(ts: Column, as_of: Column) -> Column:

@@ -16,6 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsight.functions.numbers import as_number
 from tabsight.functions.quantiles import column_quantiles
 from tabsight.operators.chartdata import (AUTO_PIVOT_MAX_DISTINCT, TIER_QUANTILES, colour_kinds,
                                           distinct_at_most)
@@ -65,7 +66,7 @@ def result_facts(results: dict[str, DataFrame], points: DataFrame | None = None)
         f.columns[name] = cols
         f.has_error[name] = "error" in cols
         exprs = [F.count(F.lit(1)).alias("__n")]
-        num = {c: F.col(f"`{c}`").try_cast("double") for c in cols}
+        num = {c: as_number(df, c) for c in cols}
         for i, c in enumerate(cols):
             exprs += [F.count(num[c]).alias(f"nn{i}"),
                       F.sum(F.abs(F.coalesce(num[c], F.lit(0.0)))).alias(f"ab{i}")]

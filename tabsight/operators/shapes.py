@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsight.functions.numbers import as_number
 from tabsight.functions.quantiles import exact_quantiles, join_groups
 
 # Names treated as row identifiers, never correlation features.
@@ -21,6 +22,7 @@ AGG_FUNCS = {
     "avg": F.avg, "count": F.count, "sum": F.sum, "min": F.min, "max": F.max,
     "stddev": F.stddev, "variance": F.variance,
 }
+NUMERIC_FUNCS = ("avg", "sum", "stddev", "variance")
 
 
 def _q(c: str) -> Column:
@@ -57,10 +59,11 @@ def _grouped(df: DataFrame, dims: list[str], measures: list[tuple[str, str]],
              count_alias: str | None, round_to: int | None) -> DataFrame:
     aggs = []
     for func, col in measures:
-        e = AGG_FUNCS[func](_q(col).try_cast("double") if func not in ("count",) else _q(col))
+        number = isinstance(df.schema[col].dataType, T.NumericType) or func in NUMERIC_FUNCS
+        e = AGG_FUNCS[func](as_number(df, col) if number and func != "count" else _q(col))   # MIN and MAX keep other types
         if func == "count":
             e = e.cast("long")
-        elif round_to is not None:
+        elif number and round_to is not None:
             e = F.round(e, round_to)
         aggs.append(e.alias(f"{func}_{col}"))
     if count_alias:
@@ -123,8 +126,8 @@ def feature_columns(df: DataFrame, split_underscores: bool = False) -> list[str]
 
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """F8: unparseable values -> NULL."""
-    return df.select(*[(_q(c).try_cast("double").alias(c) if c in cols else _q(c)) for c in df.columns])
+    """F8: unparseable values -> NULL; so are values without a numeric form (dates, times, nested values)."""
+    return df.select(*[(as_number(df, c).alias(c) if c in cols else _q(c)) for c in df.columns])
 
 
 def drop_null_xy(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -534,6 +534,7 @@ def q_distribution_sample(spark, sf_dir):
 
 
 # Later groups register themselves on import.
+from tabsight.plans import catalog_charts  # noqa: E402,F401
 from tabsight.plans import catalog_context  # noqa: E402,F401
 from tabsight.plans import catalog_ingest  # noqa: E402,F401
 from tabsight.plans import catalog_ledger  # noqa: E402,F401

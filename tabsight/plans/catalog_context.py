@@ -134,13 +134,11 @@ def q_text_chunks(spark, sf_dir):
 
 
 @register("extract_sql", r"""WITH r AS """ + fx.REPLIES_SQL + r""",
-b AS (SELECT conv_id, turn, CASE WHEN regexp_matches(reply, '(?is)```(?:sql)?\n?(.*?)```')
-                                 THEN regexp_extract(reply, '(?is)```(?:sql)?\n?(.*?)```', 1) ELSE reply END AS body FROM r)
-SELECT conv_id, turn,
-       CASE WHEN regexp_matches(body, '(?is)^\s*WITH\s') THEN strip_ws(body)
-            WHEN regexp_matches(body, '(?is)SELECT\s') THEN strip_ws(regexp_extract(body, '(?is)(SELECT\s+.*)', 1))
-            ELSE strip_ws(body) END AS extracted_sql
-FROM b""")
+p AS (SELECT conv_id, turn, reply, string_split(reply, '```') AS parts FROM r),
+b AS (SELECT conv_id, turn, CASE WHEN len(parts) > 2 THEN regexp_replace(parts[2], '^(?i:sql)', '') ELSE reply END AS body FROM p),
+s AS (SELECT *, regexp_extract(body, '(?is)\b(SELECT\s|WITH\s+\w+\s*(\([^()]*\)\s*)?AS\s*\().*') AS found FROM b)
+SELECT conv_id, turn, strip_ws(CASE WHEN found <> '' THEN found ELSE body END) AS extracted_sql
+FROM s""")
 def q_extract_sql(spark, sf_dir):
     """SQL pulled out of model replies (fenced, bare SELECT, WITH kept whole, prose)."""
     r = fx.replies(spark, sf_dir)

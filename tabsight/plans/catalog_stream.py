@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabsight.plans.catalog import ORACLE, register
+from tabsight.plans.catalog_charts import MIXED_SQL, mixed_columns
 from tabsight.plans.fixtures import load
 from tabsight.streaming import ledger_stream as ls
 
@@ -61,3 +62,13 @@ def q_stream_rejects(spark, sf_dir):
     """ST3: invalid keys go to the rejects sink, record by record."""
     _, rejects = ls.stream_rejects(spark, f"{sf_dir}/pages.parquet", load(spark, sf_dir, "pages"), _page_keys)
     return rejects.select("page_id", "file_key", "task_status", "error_msg")
+
+
+@register("stream_quota_mixed", """
+SELECT user_id, CAST(ts AS DATE) AS day, tier, count(*) AS n,
+       count(*) > CASE tier WHEN 'admin' THEN 9999 WHEN 'signed_in' THEN 15 ELSE 3 END AS over_limit
+FROM """ + MIXED_SQL + """ e GROUP BY 1, 2, 3""", temporal=('day',))
+def q_stream_quota_mixed(spark, sf_dir):
+    """ST2 over days that mix tiers: every row counts for its own tier, whenever it comes."""
+    events = load(spark, sf_dir, "events")
+    return ls.stream_quota(spark, f"{sf_dir}/events.parquet", events, mixed_columns).select("user_id", "day", "tier", "n", "over_limit")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabsight.functions.text import SELECT_START, STATEMENT_START
 from tabsight.session import materialize
 
 MAX_STATEMENTS = 3
@@ -66,8 +67,8 @@ def split_statements(sql: str, max_statements: int = MAX_STATEMENTS) -> list[str
 
 
 FENCE = "`" * 3
-SQL_SELECT = re.compile(r"SELECT\s", re.IGNORECASE)
-SQL_START = re.compile(r"\A\s*WITH\s|SELECT\s", re.IGNORECASE)
+SQL_SELECT = re.compile(SELECT_START)
+SQL_START = re.compile(STATEMENT_START)
 
 # Session settings under which script text is parsed: SQLite reads "x" as an
 # identifier, and Spark does so too with ANSI double-quoted identifiers.
