@@ -145,6 +145,28 @@ def q_extract_sql(spark, sf_dir):
     return r.select("conv_id", "turn", tx.extract_sql("reply").alias("extracted_sql"))
 
 
+PROSE_SQL = """(SELECT conv_id, turn, CASE turn % 4
+  WHEN 0 THEN 'With this query you get it: SELECT ' || turn || ' AS n -- as asked'
+  WHEN 1 THEN 'With pleasure. ' || chr(10) || 'with t AS (SELECT ' || conv_id || ' AS c) SELECT c FROM t'
+  WHEN 2 THEN 'With regret: no selection can answer this.'
+  ELSE 'First:' || chr(10) || '```SQL' || chr(10) || 'select ' || conv_id || ';' || chr(10) || '```' || chr(10) || 'with notes' END AS reply
+FROM conversations)"""
+
+
+@register("extract_sql_prose", f"""
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'SELECT ' || turn || ' AS n -- as asked'
+  WHEN 1 THEN 'with t AS (SELECT ' || conv_id || ' AS c) SELECT c FROM t' WHEN 2 THEN reply ELSE 'select ' || conv_id || ';' END AS extracted_sql
+FROM {PROSE_SQL} r""")
+def q_extract_sql_prose(spark, sf_dir):
+    """Replies whose prose starts with "With"; only the head of a named part begins a statement."""
+    c, t = F.col("conv_id").cast("string"), F.col("turn")
+    reply = (F.when(t % 4 == 0, F.concat(F.lit("With this query you get it: SELECT "), t.cast("string"), F.lit(" AS n -- as asked")))
+             .when(t % 4 == 1, F.concat(F.lit("With pleasure. \nwith t AS (SELECT "), c, F.lit(" AS c) SELECT c FROM t")))
+             .when(t % 4 == 2, "With regret: no selection can answer this.")
+             .otherwise(F.concat(F.lit("First:\n```SQL\nselect "), c, F.lit(";\n```\nwith notes"))))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", tx.extract_sql(reply).alias("extracted_sql"))
+
+
 # ---------------------------------------------------------------- analysis documents
 
 BRIEF_SQL = """(SELECT doc_id,

@@ -3,21 +3,22 @@
 import pytest
 
 import __spark_entry__ as E
+from tabsight.plans.catalog import QUERIES
 from tests.conftest import SF001
 
 # Queries that execute while being defined (checkpointed script results, CSV
 # round trip, streams): their returned frames read materialised data.
-EXECUTING = {"csv_scan", "run_script", "repair_script", "script_error", "stream_status", "stream_quota",
-             "stream_rejects"}
+EXECUTING = {"csv_scan", "csv_quoted", "run_script", "repair_script", "script_error", "stream_status", "stream_quota",
+             "stream_quota_mixed", "stream_rejects"}
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - EXECUTING))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EXECUTING))
 def test_no_cartesian_product_and_no_row_udf(spark, name):
-    plan = _plan(E.queries()[name](spark, SF001))
+    plan = _plan(QUERIES[name](spark, SF001))
     assert "CartesianProduct" not in plan
     assert "BatchEvalPython" not in plan          # row-at-a-time Python UDF
     assert "ArrowEvalPython" not in plan          # no Python in these plans at all

@@ -356,36 +356,6 @@ def test_daily_quota_with_a_hot_user_equals_row_number(spark):
         assert got[r.req_id] == (r.n <= lim[r.tier])
 
 
-def test_stream_fold_in_any_order_across_batches_equals_batch_fold(spark):
-    from tabsight.streaming.ledger_stream import _fold_group
-
-    class State:
-        exists, get = False, None
-
-        def update(self, v):
-            self.v = v
-
-    rnd = random.Random(2)
-    rows = []
-    for q in range(200):
-        kind = rnd.random()
-        rows.append({"seq": q, "phase": f"p{q}", "log": f"log{q}",
-                     "append": f"a{q}" if kind < 0.6 else ("" if kind < 0.8 else None),
-                     "sql": f"s{q}" if rnd.random() < 0.2 else ("" if rnd.random() < 0.5 else None)})
-    pdf = pd.DataFrame(rows)
-    chunks = [pdf.iloc[i:i + 17] for i in range(0, 200, 17)]
-    rnd.shuffle(chunks)
-    st1 = State()
-    next(_fold_group(("t",), iter(chunks[:5]), st1))          # micro-batch 1: a random subset
-    st2 = State()
-    st2.exists, st2.get = True, st1.v                         # micro-batch 2: the rest, late rows included
-    got = next(_fold_group(("t",), iter(chunks[5:]), st2)).iloc[0]
-    df = spark.createDataFrame(pdf.assign(task_id="t"))
-    want = lg.fold_status(df).first()
-    assert got.execution_log == want.execution_log
-    assert got.current_phase == want.current_phase and got.raw_sql == want.raw_sql
-
-
 def test_ledger_append_and_pruned_read(spark):
     from tabsight.session import scratch_path
     from tabsight.sources import ledger_io
