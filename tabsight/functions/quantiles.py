@@ -16,7 +16,13 @@ fails when one group (or a whole column) holds billions of rows. Here:
    ``max_bracket_rows`` entries, and a hot value collapses to one entry in the
    map-side combine;
 4. a running count over that histogram finds the values at ranks ``floor(k)``
-   and ``ceil(k)``, ``k = (n - 1) p``, and interpolates.
+   and ``ceil(k)``, ``k = (n - 1) p``, and interpolates. Counts below and inside
+   prove that both ranks lie in the bracket; brackets without this certificate
+   are done again, four times as wide each time, at last over the whole range.
+
+Brackets are few rows (groups x probabilities) and checkpointed, so their size
+is known when the rows meet them: up to ``BROADCAST_ROWS`` of them go to the
+rows by broadcast, and no row is shuffled on its group.
 
 Result equals pandas' default ``quantile`` / DuckDB ``quantile_cont``.
 """
@@ -32,11 +38,22 @@ DEFAULT_ACCURACY = 20000
 SMALL_GROUP_FACTOR = 4
 MAX_BRACKET_ROWS = 2_000_000
 REFINE_BINS = 4096
+# Brackets (about 100 bytes each) that are broadcast to the rows; more of them are joined by shuffle.
+BROADCAST_ROWS = 100_000
 MAX_REFINE_PASSES = 12
 
 
+def group_side(groups: DataFrame) -> DataFrame:
+    """A frame of one row per group, computed once; broadcast where it has few rows."""
+    done = materialize(groups)
+    return F.broadcast(done) if done.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else done
+
+
 def join_groups(left: DataFrame, right: DataFrame, keys: list[str] | tuple, how: str = "inner") -> DataFrame:
-    """``left`` with the columns of ``right`` (one row per group); null keys match null keys."""
+    """``left`` with the columns of ``right`` (one row per group); null keys match null keys.
+
+    Give ``right`` as :func:`group_side` where ``left`` has all rows: they then stay where they are.
+    """
     keys = list(keys)
     if not keys:
         return left.crossJoin(F.broadcast(right))
@@ -55,36 +72,51 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     g = list(group_cols)
     names = names or [f"q{i}" for i in range(len(probs))]
     m = len(probs)
-    eps = 3.0 / accuracy
-    lo_p = [max(0.0, p - eps) for p in probs]
-    hi_p = [min(1.0, p + eps) for p in probs]
 
     src = (df.select(*[F.col(c) for c in g], F.col(value_col).cast("double").alias("__v"))
            .where(F.col("__v").isNotNull() & ~F.isnan("__v")))
+    picked, todo, width = None, None, 3.0 / accuracy
+    while True:
+        found = _picked(src, _brackets(src, g, probs, accuracy, width, todo), g, accuracy, max_bracket_rows, bins)
+        good = found.where("__proven")
+        picked = good if picked is None else picked.unionByName(good)
+        todo = found.where("not __proven").select(*g, "__i")
+        if todo.isEmpty():
+            break
+        width = width * 4 if width < 1 else 2.0        # from 1 on the bracket is the whole range, which needs no proof
+    val = F.col("__v0") + (F.col("__k") - F.floor("__k")) * (F.col("__v1") - F.col("__v0"))
+    return picked.groupBy(*g).agg(*[F.max(F.when(F.col("__i") == i, val)).alias(names[i]) for i in range(m)])
 
-    stats = src.groupBy(*g).agg(
-        F.count("__v").alias("__n"),
-        F.percentile_approx("__v", lo_p + hi_p, accuracy).alias("__br"),
-    )
-    # One row per (group, probability): target rank and bracket. A group of at
-    # most ``small`` rows takes the whole range: its histogram is bounded by
-    # ``small`` and the sketch's rank error could be below one rank step.
-    small = F.col("__n") <= F.lit(SMALL_GROUP_FACTOR * accuracy)
-    brackets = (stats.select(*g, "__n", "__br", F.posexplode(F.array(*[F.lit(float(p)) for p in probs]))
-                             .alias("__i", "__p"))
-                .select(*g, "__i", "__n", ((F.col("__n") - 1) * F.col("__p")).alias("__k"),
-                        F.when(small, F.lit(float("-inf"))).otherwise(F.col("__br")[F.col("__i")]).alias("__lo"),
-                        F.when(small, F.lit(float("inf"))).otherwise(F.col("__br")[F.col("__i") + m]).alias("__hi"),
-                        F.lit(None).cast("long").alias("__below")))
-
-    needs_refine = max_bracket_rows is not None and (
-        (stats.agg(F.max("__n")).first()[0] or 0) * 6.0 / accuracy > max_bracket_rows)
-    if needs_refine:
-        brackets = _refine(src, brackets, g, max_bracket_rows, bins)
 
+def _brackets(src: DataFrame, g: list[str], probs: list[float], accuracy: int, width: float, only: DataFrame | None) -> DataFrame:
+    """One row per (group, probability): target rank and value bracket; those of ``only`` where it is given.
+
+    A group of at most ``small`` rows takes the whole range: its histogram is
+    bounded by ``small`` and the sketch's rank error could be below one rank step.
+    """
+    m = len(probs)
+    lo_p, hi_p = [max(0.0, p - width) for p in probs], [min(1.0, p + width) for p in probs]
+    if only is not None:
+        src = join_groups(src, group_side(only.select(*g).distinct()), g) if g else src
+    stats = src.groupBy(*g).agg(F.count("__v").alias("__n"), F.percentile_approx("__v", lo_p + hi_p, accuracy).alias("__br"))
+    whole = (F.col("__n") <= F.lit(SMALL_GROUP_FACTOR * accuracy)) | F.lit(width >= 1)
+    at = F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("__i", "__p")
+    out = (stats.where(F.col("__n") > 0).select(*g, "__n", "__br", at).select(
+        *g, "__i", "__n", ((F.col("__n") - 1) * F.col("__p")).alias("__k"),
+        F.when(whole, F.lit(float("-inf"))).otherwise(F.col("__br")[F.col("__i")]).alias("__lo"),
+        F.when(whole, F.lit(float("inf"))).otherwise(F.col("__br")[F.col("__i") + m]).alias("__hi"),
+        F.lit(None).cast("long").alias("__below")))
+    return out if only is None else join_groups(out, group_side(only), [*g, "__i"])
+
+
+def _picked(src: DataFrame, brackets: DataFrame, g: list[str], accuracy: int, max_bracket_rows: int | None, bins: int) -> DataFrame:
+    """Per (group, probability) the values at both ranks, and whether the counts prove that they are these."""
+    brackets = materialize(brackets)
+    if max_bracket_rows is not None and (brackets.agg(F.max("__n")).first()[0] or 0) * 6.0 / accuracy > max_bracket_rows:
+        brackets = _refine(src, brackets, g, max_bracket_rows, bins)
     # Final pass: "below" counts (unless refinement already knows them) and the
     # histogram of distinct values inside each bracket.
-    joined = join_groups(src, brackets, g)
+    joined = join_groups(src, group_side(brackets), g)
     inside = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
     below_unknown = F.col("__below").isNull() & (F.col("__v") < F.col("__lo"))
     marked = (joined.where(below_unknown | inside)
@@ -96,13 +128,19 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     base = F.coalesce(F.col("__below"), F.lit(0))
     ranked = hist.withColumn("__end", base + F.sum("__c").over(w))
     r0, r1 = F.floor("__k"), F.ceil("__k")
+    found = F.col("__vv").isNotNull()
     picked = ranked.groupBy(*g, "__i").agg(
-        F.min(F.when(F.col("__vv").isNotNull() & (F.col("__end") > r0), F.col("__vv"))).alias("__v0"),
-        F.min(F.when(F.col("__vv").isNotNull() & (F.col("__end") > r1), F.col("__vv"))).alias("__v1"),
+        F.min(F.when(found & (F.col("__end") > r0), F.col("__vv"))).alias("__v0"),
+        F.min(F.when(found & (F.col("__end") > r1), F.col("__vv"))).alias("__v1"),
+        # rows below the bracket: not more than floor(k); rows up to its end: more than ceil(k)
+        F.min(F.when(found, F.col("__end") - F.col("__c"))).alias("__before"), F.max("__end").alias("__upto"),
         F.first("__k").alias("__k"),
     )
-    val = F.col("__v0") + (F.col("__k") - F.floor("__k")) * (F.col("__v1") - F.col("__v0"))
-    return picked.groupBy(*g).agg(*[F.max(F.when(F.col("__i") == i, val)).alias(names[i]) for i in range(m)])
+    proven = F.coalesce((F.col("__before") <= r0) & (F.col("__upto") > r1), F.lit(False))
+    # Brackets in which no row lies have no histogram: they are not proven either.
+    every = join_groups(brackets.select(*g, "__i"), picked.select(*g, "__i", "__v0", "__v1", "__k", proven.alias("__proven")),
+                        [*g, "__i"], "left")
+    return materialize(every.withColumn("__proven", F.coalesce("__proven", F.lit(False))))
 
 
 def _refine(src: DataFrame, brackets: DataFrame, g: list[str], max_rows: int, bins: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tabsight.functions.distinct import distinct_lower_bounds
 from tabsight.functions.numbers import as_number
-from tabsight.functions.quantiles import exact_quantiles, join_groups
+from tabsight.functions.quantiles import exact_quantiles, group_side, join_groups
 from tabsight.functions.ranking import ranked_within
 from tabsight.operators.correlation import corr_matrix
 
@@ -124,7 +124,8 @@ def box_stats(df: DataFrame, x: str | None, y: str, color: str | None = None, ro
     """H1: per group quartiles, mean, min/max, 1.5 IQR whiskers and outlier count.
 
     Quartiles come from the bounded exact-quantile job; whiskers need one more
-    pass that joins the (small, one row per group) fences back to the rows.
+    pass that takes the fences (one row per group) to the rows; no row is
+    shuffled on its group.
     """
     keys = [k for k in (x, color) if k]
     v = as_number(df, y)
@@ -133,7 +134,7 @@ def box_stats(df: DataFrame, x: str | None, y: str, color: str | None = None, ro
     fences = qs.select(*keys, "q1", "median", "q3",
                        (F.col("q1") - WHISKER_IQR * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
                        (F.col("q3") + WHISKER_IQR * (F.col("q3") - F.col("q1"))).alias("hi_fence"))
-    joined = join_groups(base, fences, keys)
+    joined = join_groups(base, group_side(fences) if keys else fences, keys)
     agg = joined.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("long").alias("n"),
         F.avg("__y").alias("mean"),
@@ -155,7 +156,7 @@ def violin_outliers(df: DataFrame, x: str | None, y: str, color: str | None = No
     qs = exact_quantiles(base, y, [0.25, 0.75], keys, names=["q1", "q3"])
     fences = qs.select(*keys, (F.col("q1") - WHISKER_IQR * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
                        (F.col("q3") + WHISKER_IQR * (F.col("q3") - F.col("q1"))).alias("hi_fence"))
-    joined = join_groups(base, fences, keys)
+    joined = join_groups(base, group_side(fences) if keys else fences, keys)
     return joined.where((_q(y) < F.col("lo_fence")) | (_q(y) > F.col("hi_fence"))).select(*keys, y)
 
 
@@ -164,8 +165,8 @@ def violin_density(df: DataFrame, x: str | None, y: str, bins: int = HISTOGRAM_B
     and max and the density ``count / (n * width)``; a constant group is one bin with
     NULL density (zero width).
 
-    Group ranges are one row per group, joined back (AQE broadcasts them when
-    small); counting is a partial aggregate, so no group is gathered whole.
+    Group ranges are one row per group and go to the rows; counting is a partial
+    aggregate, so no group is gathered whole and no row is shuffled on its group.
     """
     keys = [k for k in (x, color) if k]
     base = df.select(*[_q(k) for k in keys], as_number(df, y).alias("__y")).where(F.col("__y").isNotNull())
@@ -174,7 +175,7 @@ def violin_density(df: DataFrame, x: str | None, y: str, bins: int = HISTOGRAM_B
     width = (F.col("__mx") - F.col("__mn")) / bins
     b = F.when(F.col("__mx") == F.col("__mn"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("__y") - F.col("__mn")) / width), F.lit(bins - 1))).cast("int")
-    counted = (join_groups(base, rng, keys).withColumn("bin", b)
+    counted = (join_groups(base, group_side(rng) if keys else rng, keys).withColumn("bin", b)
                .groupBy(*[_q(k) for k in keys], "bin", "__mn", "__mx", "__n").agg(F.count(F.lit(1)).cast("long").alias("count")))
     lo = F.col("__mn") + F.col("bin") * width
     density = F.when(F.col("__mx") == F.col("__mn"), F.lit(None).cast("double")).otherwise(

@@ -53,15 +53,19 @@ def new_tasks(requests: DataFrame) -> DataFrame:
 
 
 def completion_record(df: DataFrame, brief: Column, points: Column, sql: Column, ts: Column,
-                      title: Column, prompt: Column, n_columns: Column) -> DataFrame:
-    """The completed record; JSON fields are built with ``to_json``."""
+                      title: Column, prompt: Column, n_columns: Column, chart_data: Column | None = None,
+                      history: Column | None = None) -> DataFrame:
+    """The completed record; JSON fields are built with ``to_json``. ``chart_data`` and ``history`` are JSON texts
+    (of the charts and of the pruned conversation) and become columns where they are given."""
     analysis = F.to_json(F.struct(brief.alias("strategy_brief"), points.alias("point_analyses"),
                                   sql.alias("raw_sql"),
                                   F.concat(F.lit("Ontology Map Generated. Sanitized "), n_columns.cast("string"),
                                            F.lit(" columns.")).alias("preprocessing_log")))
     return df.select("task_id", F.lit(STATUS_COMPLETED).alias("task_status"), analysis.alias("ai_analysis"),
                      F.lit("done").alias("current_phase"), F.date_format(ts, TS_FORMAT).alias("last_updated"),
-                     title.alias("session_title"), prompt.alias("prompt_snippet"))
+                     title.alias("session_title"), prompt.alias("prompt_snippet"),
+                     *([chart_data.alias("chart_data")] if chart_data is not None else []),
+                     *([history.alias("conversation_history")] if history is not None else []))
 
 
 def failure_record(df: DataFrame, message: Column) -> DataFrame:

@@ -91,4 +91,30 @@ class MissingAnalysis(ValueError):
 def require_points(points: DataFrame, brief: DataFrame | None = None) -> None:
     """M6: fail when no points remain (after de-duplication) or the brief is empty."""
     if points.isEmpty() or (brief is not None and brief.isEmpty()):
-        raise MissingAnalysis("Model failed to generate structured output.")
+        raise MissingAnalysis(MISSING_MESSAGE)
+
+
+MAX_CHARTS = 4
+MISSING_MESSAGE = "Model failed to generate structured output."
+
+
+def document_checks(documents: DataFrame, points: DataFrame, manifest: DataFrame, doc: str, brief: str,
+                    order_col: str = "pos") -> DataFrame:
+    """M4-M6 per document: a document without points or brief fails, the others go on.
+
+    ``documents`` has a row per document with its ``brief`` text. Columns: the
+    document, ``n_points`` (first points per ``point_id``), ``n_valid`` (without
+    a violation), ``charts_ok`` (1 to 4 of them), ``task_status``, ``error_msg``.
+    Counts are partial aggregates, so a document may hold a third of all points.
+    """
+    first = points.groupBy(doc, "point_id").agg(F.min_by(F.struct("chart_type", "x_col", "y_col"), F.col(order_col)).alias("p"))
+    checked = route_points(first.select(doc, "point_id", "p.*"), manifest)
+    counts = checked.groupBy(F.col(doc).alias("__doc")).agg(
+        F.count(F.lit(1)).alias("n_points"), F.count_if(F.col("violation").isNull()).alias("n_valid"))
+    joined = documents.join(counts, F.col(doc).eqNullSafe(F.col("__doc")), "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    failed = (n("n_points") == 0) | (F.trim(F.coalesce(F.col(brief), F.lit(""))) == "")
+    return joined.select(doc, n("n_points").alias("n_points"), n("n_valid").alias("n_valid"),
+                         n("n_valid").between(1, MAX_CHARTS).alias("charts_ok"),
+                         F.when(failed, "failed").otherwise("completed").alias("task_status"),
+                         F.when(failed, MISSING_MESSAGE).alias("error_msg"))

@@ -11,7 +11,9 @@ from tabsight.operators import routing as rt
 from tabsight.operators import shapes as sh
 from tabsight.plans import fixtures as fx
 from tabsight.plans.catalog import _corr_sql, register
+from tabsight.plans.composed import Task, run_task
 from tabsight.plans.fixtures import load
+from tabsight.session import scratch_path
 
 # One request per step of the fallback chains, made for nations 0 to 11: (result, chart type, x, y, colour).
 REQUESTS = (
@@ -162,3 +164,63 @@ FROM n""", temporal=("day",))
 def q_daily_quota_mixed(spark, sf_dir):
     """T4: the n-th request of a day against the limit of its own tier; days mix tiers, some requests have no user."""
     return lg.daily_quota(mixed_columns(load(spark, sf_dir, "events")))
+
+
+TASK_SCRIPT = """SELECT o_orderstatus, sum(o_totalprice) AS total FROM dataset GROUP BY o_orderstatus;
+SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM dataset GROUP BY o_orderpriority, o_orderstatus;
+SELECT o_custkey, o_totalprice FROM dataset"""
+TASK_POINTS = [("Query_1", "bar", "o_orderstatus", "total", None, "Totals"), ("Query_2", "bar", "o_orderpriority", "n", None, "Counts"),
+               ("Query_3", "histogram", "o_totalprice", "o_totalprice", None, "Spread"), ("heatmap", "heatmap", "", "", None, "Ties"),
+               ("Query_1", "pie", "o_orderstatus", "total", None, "A second point of Query_1")]
+
+
+def composed_task(spark, sf_dir) -> Task:
+    """orders written as CSV, with what a model could have answered."""
+    path = scratch_path(spark, "task-csv")
+    (load(spark, sf_dir, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+     .write.option("header", True).csv(path))
+    return Task("t1", path, "Subject: orders\nShow \"totals\" by status", TASK_SCRIPT, TASK_POINTS, {"descriptive": "Orders by status."},
+                [("user", "earlier"), ("assistant", "answer")])
+
+
+def _composed_sql() -> str:
+    corr = " UNION ALL ".join(
+        f"SELECT '{b}' AS item, '{a}' AS colour, coalesce(round(corr({a}, {b}), 2), 0) AS v FROM orders"
+        for a in ("o_orderkey", "o_custkey", "o_totalprice") for b in ("o_orderkey", "o_custkey", "o_totalprice"))
+    bins = """(SELECT bin, any_value(mn) AS mn, any_value(mx) AS mx, count(*) AS c FROM
+      (SELECT CAST(least(floor((o_totalprice - mn) / ((mx - mn) / 40)), 39) AS INTEGER) AS bin, mn, mx
+       FROM orders, (SELECT min(o_totalprice) AS mn, max(o_totalprice) AS mx FROM orders)) GROUP BY 1)"""
+    charts = [
+        _unpivot("Query_1|bar|o_orderstatus|total|", "bar", "q1", "o_orderstatus", "NULL", {"total": "total"}),
+        _unpivot("Query_2|pivot_heatmap|||", "pivot_heatmap", "q2", "o_orderstatus", "o_orderpriority", {"n": "n"}),
+        _unpivot("Query_3|histogram|o_totalprice|o_totalprice|", "histogram", "bins", "bin", "NULL",
+                 {"bin_start": "round(mn + bin * ((mx - mn) / 40), 2)", "bin_end": "round(mn + bin * ((mx - mn) / 40) + (mx - mn) / 40, 2)",
+                  "count": "c"}),
+        _unpivot("|heatmap|||", "heatmap", "ties", "item", "colour", {"corr": "v"})]
+    return f"""WITH q1 AS (SELECT o_orderstatus, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1),
+q2 AS (SELECT s.o_orderstatus, p.o_orderpriority, count(o_orderkey) AS n
+       FROM (SELECT DISTINCT o_orderstatus FROM orders) s CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p
+       LEFT JOIN orders USING (o_orderstatus, o_orderpriority) GROUP BY 1, 2),
+bins AS {bins},
+ties AS ({corr}),
+charts AS ({' UNION ALL '.join(charts)}),
+sizes AS (SELECT chart, count(*) AS n FROM charts GROUP BY 1),
+kept AS (SELECT * FROM (VALUES (0, 'Query_1|bar|o_orderstatus|total|', 'bar'), (1, 'Query_2|pivot_heatmap|||', 'pivot_heatmap'),
+                        (2, 'Query_3|histogram|o_totalprice|o_totalprice|', 'histogram'), (3, '|heatmap|||', 'heatmap')) AS k(pos, chart, kind)),
+listed AS (SELECT '[' || string_agg('{{"pos":' || pos || ',"chart":"' || chart || '","rendered_as":"' || kind || '","rows":' || n || '}}', ',' ORDER BY pos) || ']' AS j
+           FROM kept JOIN sizes USING (chart))
+SELECT * FROM charts
+UNION ALL SELECT 'record', 'completed', 'Show totals by status', NULL, 'session_title', NULL
+UNION ALL SELECT 'record', 'completed', j, NULL, 'chart_data', NULL FROM listed
+UNION ALL SELECT 'record', 'completed', '[{{"role":"user","content":"earlier"}},{{"role":"assistant","content":"answer"}},{{"role":"user","content":"Subject: orders\\nShow \\"totals\\" by status"}},{{"role":"assistant","content":"Orders by status."}}]', NULL, 'conversation_history', NULL"""
+
+
+@register("composed_run", _composed_sql())
+def q_composed_run(spark, sf_dir):
+    """S1-S9 in one run: CSV, profile, mount, script, manifest, routing, chart tables and the record."""
+    out = run_task(spark, composed_task(spark, sf_dir), "2024-01-25 15:30:00")
+    charts = out.charts.withColumn("value", F.round("value", 2))
+    fields = F.array(*[F.struct(F.col(c).alias("item"), F.lit(None).cast("string").alias("colour"), F.lit(c).alias("measure"),
+                                F.lit(None).cast("double").alias("value")) for c in ("session_title", "chart_data", "conversation_history")])
+    record = out.record.select(F.lit("record").alias("chart"), F.col("task_status").alias("rendered_as"), F.inline(fields))
+    return charts.unionByName(record)

@@ -92,6 +92,42 @@ def q_pruned_history(spark, sf_dir):
     return cv.prune_history(history, prompts)
 
 
+@register("pruned_documents", """
+WITH m AS (SELECT lang AS conv_id, doc_id AS turn, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, text FROM documents),
+p AS (SELECT conv_id, max(turn) + 1 AS nxt FROM m GROUP BY 1),
+u AS (SELECT conv_id, turn AS pos, role, text AS content FROM m
+      UNION ALL SELECT conv_id, nxt, 'user', 'Summarise ' || conv_id FROM p
+      UNION ALL SELECT conv_id, nxt + 1, 'assistant', CASE WHEN conv_id <> 'en' THEN 'Summary of ' || conv_id ELSE 'Processed data.' END FROM p)
+SELECT conv_id, pos, role, content
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS rn FROM u) WHERE rn <= 10""")
+def q_pruned_documents(spark, sf_dir):
+    """V9 where much is pruned: a few very long conversations, with a reply given or missing."""
+    d = load(spark, sf_dir, "documents")
+    history = d.select(F.col("lang").alias("conv_id"), F.col("doc_id").alias("turn"),
+                       F.when(F.col("doc_id") % 2 == 0, "user").otherwise("assistant").alias("role"), "text")
+    ids = d.select(F.col("lang").alias("conv_id")).distinct()
+    prompts = ids.select("conv_id", F.concat(F.lit("Summarise "), "conv_id").alias("prompt"))
+    replies = ids.where("conv_id <> 'en'").select("conv_id", F.concat(F.lit("Summary of "), "conv_id").alias("reply"))
+    return cv.prune_history(history, prompts, replies)
+
+
+@register("turn_titles", r"""
+WITH t1 AS (SELECT conv_id, turn, text,
+              left(strip_ws(regexp_replace(coalesce(text, ''), '(?mi)^(To|From|Subject|Executive Memo):.*$', '', 'g')), 500) AS body
+            FROM """ + fx.MEMOS_SQL + r""" m),
+t2 AS (SELECT conv_id, turn, text, strip_ws(translate(body, '"''*', '')) AS t FROM t1),
+s1 AS (SELECT conv_id, turn, t, left(coalesce(text, 'Analysis Task'), 45) || '...' AS snip FROM t2),
+s2 AS (SELECT *, strip_ws(regexp_replace(snip, '(?i)^(To:|From:|Subject:|Executive Memo:)\s*', '')) AS st FROM s1)
+SELECT conv_id, turn, snip AS prompt_snippet, CASE WHEN t = '' THEN 'Advanced Data Analysis' ELSE t END AS title,
+       CASE WHEN st = '' THEN 'Analysis Session' ELSE array_to_string(string_split(st, ' ')[1:4], ' ') || '...' END AS short_title
+FROM s2""")
+def q_turn_titles(spark, sf_dir):
+    """V10-V12 over every turn of every conversation."""
+    m = fx.memos(spark, sf_dir)
+    return m.select("conv_id", "turn", tx.snippet("text").alias("prompt_snippet"), tx.clean_title("text").alias("title"),
+                    tx.short_title(tx.snippet("text")).alias("short_title"))
+
+
 FIRST_USER_SQL = f"""fu AS (SELECT conv_id, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
                            FROM {fx.MEMOS_SQL} m WHERE role = 'user') WHERE rn = 1)"""
 

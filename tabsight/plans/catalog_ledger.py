@@ -66,6 +66,23 @@ def q_ledger_record(spark, sf_dir):
     return ok.unionByName(bad)
 
 
+@register("user_tasks", f"""SELECT task_id, user_id, task_status FROM {fx.TASKS_SQL} t WHERE user_id = 'u7'""")
+def q_user_tasks(spark, sf_dir):
+    """One user's tasks by an equality filter."""
+    return lg.user_tasks(fx.tasks(spark, sf_dir), "u7").select("task_id", "user_id", "task_status")
+
+
+@register("surviving_tasks", f"""
+WITH t AS (SELECT task_id, user_id, task_status FROM {fx.TASKS_SQL} x),
+gone AS (SELECT DISTINCT task_id FROM {fx.REQUESTS_SQL} r JOIN t USING (task_id) WHERE r.action = 'delete_task' AND t.user_id = r.user_id)
+SELECT * FROM t WHERE task_id NOT IN (SELECT task_id FROM gone)""")
+def q_surviving_tasks(spark, sf_dir):
+    """The tasks left after all delete requests of their owners."""
+    t = fx.tasks(spark, sf_dir).select("task_id", "user_id", "task_status")
+    r = fx.requests(spark, sf_dir).where(F.col("action") == "delete_task").select("req_id", "task_id", "user_id")
+    return lg.surviving_tasks(t, lg.owner_delete(r, t))
+
+
 @register("action_routes", f"""
 SELECT CASE WHEN action IN ('delete_task', 'get_upload_url', 'get_history', 'check_status') THEN action ELSE 'execute' END AS route,
        count(*) AS requests

@@ -80,7 +80,7 @@ POINTS_SQL = """(SELECT conv_id, turn AS pos,
   'l_returnflag' AS x_col,
   CASE turn % 3 WHEN 0 THEN 'avg_l_extendedprice' WHEN 1 THEN 'l_extendedprice' ELSE 'bogus' END AS y_col,
   CASE WHEN turn % 2 = 0 THEN 'l_quantity_tier' END AS color_col,
-  left(text, 30) AS point_title
+  text AS point_title
 FROM conversations)"""
 
 
@@ -97,7 +97,7 @@ def points_frame(spark, sf_dir):
         F.lit("l_returnflag").alias("x_col"),
         F.when(t % 3 == 0, "avg_l_extendedprice").when(t % 3 == 1, "l_extendedprice").otherwise("bogus").alias("y_col"),
         F.when(t % 2 == 0, F.lit("l_quantity_tier")).alias("color_col"),
-        F.substring("text", 1, 30).alias("point_title"))
+        F.col("text").alias("point_title"))
 
 
 MANIFEST_VALUES = """(VALUES ('Query_1', ['l_returnflag', 'avg_l_extendedprice', 'row_count'], ['bar', 'pie', 'line']),
@@ -139,6 +139,28 @@ def q_route_points(spark, sf_dir):
                     F.when(F.col("violation").isNull(), F.coalesce("analysis_title", F.lit(""))).alias("analysis_title")))
 
 
+@register("document_checks", f"""
+WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, point_id ORDER BY pos) AS rn FROM {POINTS_SQL} x
+                          WHERE conv_id % 5 <> 0) WHERE rn = 1),
+v AS (SELECT p.*, CASE WHEN point_id = 'heatmap' THEN chart_type <> 'heatmap'
+             ELSE columns IS NULL OR NOT list_contains(allowed, chart_type) OR NOT list_contains(columns, x_col)
+                  OR NOT list_contains(columns, y_col) END AS bad FROM p LEFT JOIN {MANIFEST_VALUES} USING (point_id)),
+c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (NOT bad) AS ok FROM v GROUP BY 1),
+d AS (SELECT conv_id, CASE WHEN conv_id % 7 <> 0 THEN 'brief of ' || conv_id WHEN conv_id % 2 = 0 THEN '  ' END AS brief
+      FROM (SELECT DISTINCT conv_id FROM conversations))
+SELECT conv_id, coalesce(n, 0) AS n_points, coalesce(ok, 0) AS n_valid, coalesce(ok, 0) BETWEEN 1 AND 4 AS charts_ok,
+       CASE WHEN coalesce(n, 0) = 0 OR trim(coalesce(brief, '')) = '' THEN 'failed' ELSE 'completed' END AS task_status,
+       CASE WHEN coalesce(n, 0) = 0 OR trim(coalesce(brief, '')) = '' THEN 'Model failed to generate structured output.' END AS error_msg
+FROM d LEFT JOIN c USING (conv_id)""")
+def q_document_checks(spark, sf_dir):
+    """Every conversation is an analysis document; some have no points, some no brief."""
+    c = load(spark, sf_dir, "conversations").select("conv_id").distinct()
+    k = F.col("conv_id")
+    docs = c.select("conv_id", F.when(k % 7 != 0, F.concat(F.lit("brief of "), k.cast("string"))).when(k % 2 == 0, "  ").alias("brief"))
+    manifest = mf.shape_manifest(spark, _plan_results(spark, sf_dir))
+    return mf.document_checks(docs, points_frame(spark, sf_dir).where(k % 5 != 0), manifest, "conv_id", "brief")
+
+
 PLAN_COLUMNS = {
     "Query_1": ["l_returnflag", "avg_l_extendedprice", "row_count"],
     "Query_2": ["l_returnflag", "l_quantity_tier", "avg_l_extendedprice"],
@@ -161,7 +183,7 @@ def _chart_routes_sql() -> str:
         lst = "[" + ", ".join(f"'{c}'" for c in cols) + "]"
         meta.append(f"SELECT '{q}' AS q, {lst} AS cols, (SELECT count(*) FROM {src[q]} t) AS nrows, "
                     f"(SELECT count(*) > 0 AND count(DISTINCT {cols[0]}) <= 8 AND count(DISTINCT {cols[1]}) <= 8 "
-                    f"FROM (SELECT * FROM {src[q]} t LIMIT 300)) AS pivot_ok")
+                    f"FROM {src[q]} t) AS pivot_ok")
     return f"""WITH {PLAN_SQL},
 fc AS ({' UNION ALL '.join(fc)}),
 fxy AS ({' UNION ALL '.join(fxy)}),

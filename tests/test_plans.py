@@ -9,7 +9,7 @@ from tests.conftest import SF001
 # Queries that execute while being defined (checkpointed script results, CSV
 # round trip, streams): their returned frames read materialised data.
 EXECUTING = {"csv_scan", "csv_quoted", "run_script", "repair_script", "script_error", "stream_status", "stream_quota",
-             "stream_quota_mixed", "stream_rejects"}
+             "stream_quota_mixed", "stream_rejects", "composed_run"}
 
 
 def _plan(df) -> str:
