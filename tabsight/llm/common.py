@@ -15,7 +15,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame under the shared checkpoint folder and read it back: later jobs start from the files."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-__all__ = ["materialize", "stored", "table"]
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that :func:`stored` gave, once everything that reads them has been written."""
+    session = df.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
+__all__ = ["discard", "materialize", "stored", "table"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import stored
+from tabsight.llm.common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,14 +34,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node with a link to another node.
 
     ``edges`` are undirected; null ends and loops are ignored, an empty frame
-    gives no rows. Each round is written to the shared folder; the driver sees
+    gives no rows. Each round is written to the shared folder in place of the one before; the driver sees
     three numbers a round. Hubs cost one row a link: minima are aggregates
     joined back, no neighbour list is gathered.
     """
     e = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "links")
     seen = _digest(e)
     while True:
-        e = stored(_small_star(_large_star(e)), "stars")
+        before, e = e, stored(_small_star(_large_star(e)), "stars")
+        discard(before)
         now = _digest(e)
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

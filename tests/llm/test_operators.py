@@ -356,3 +356,29 @@ def test_cover_tree_lengths(spark):
     assert any(near[i] for i in range(40, 60))
     none = cover_tree.embedding_links(spark.createDataFrame([(1, None), (2, [])], "vec_id long, embedding array<double>")).collect()
     assert {(x.vec_id, x.n_links, x.component_id, x.kept) for x in none} == {(1, 0, 1, True), (2, 0, 2, True)}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_cover_tree_ties_blocks_and_hot_groups(spark, monkeypatch, small):
+    if small:          # many blocks, leaves over several blocks, chunks of a few rows
+        for name, value in {"LEAST_ROWS": 7, "BLOCK_BYTES": 7 * 8 * 4, "CHUNK_COSINES": 40, "LEAF_ROWS": 10, "SENT_ROWS": 64}.items():
+            monkeypatch.setattr(cover_tree, name, value)
+    r = np.random.default_rng(12)
+    v = [[1, 0, 0, 0], [9, 3, 3, 1], [9, 3, 1, 3], [9, -3, -3, 1], [2, 0, 0, 0], [1, 0, 0, 0]]         # cosine 0.9 to the first
+    v += [[float(x) for x in r.integers(-9, 10, 4)] for _ in range(120)]
+    v += [[5 + x, 5, 5, 5 - x] for x in r.normal(0, 0.2, 60).tolist()]                                  # a hot group
+    v = [[float(y) for y in x] for x in v if any(x)]
+    rows = [(i, x, 1, 2) for i, x in enumerate(v)] + [(0, v[0], 1, 2), (None, v[1], 1, 2)]
+    got = cover_tree.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, k int, leaf int")).collect()
+    one = {x.vec_id: x for x in got}
+    x = np.array(v, np.float64)
+    n = np.sqrt((x * x).sum(axis=1))
+    g = (x @ x.T) / (n[:, None] * n[None, :]) >= 0.9
+    np.fill_diagonal(g, False)
+    low = np.arange(len(x))
+    for _ in range(len(x)):
+        low = np.minimum(low, np.where(g, low[None, :], 10**6).min(axis=1))
+    assert g[0, 1] and len(got) == len(v) + 1
+    many = g.sum(axis=1) + g[:, 0]          # the first row occurs twice
+    many[0] += 1
+    assert [(one[i].n_links, one[i].component_id) for i in range(len(v))] == [(int(a), int(b)) for a, b in zip(many, low, strict=True)]
