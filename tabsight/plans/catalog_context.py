@@ -93,21 +93,22 @@ def q_pruned_history(spark, sf_dir):
 
 
 @register("pruned_documents", """
-WITH m AS (SELECT lang AS conv_id, doc_id AS turn, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, text FROM documents),
+WITH m AS (SELECT doc_id // 25 AS conv_id, doc_id AS turn, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, text FROM documents),
 p AS (SELECT conv_id, max(turn) + 1 AS nxt FROM m GROUP BY 1),
 u AS (SELECT conv_id, turn AS pos, role, text AS content FROM m
       UNION ALL SELECT conv_id, nxt, 'user', 'Summarise ' || conv_id FROM p
-      UNION ALL SELECT conv_id, nxt + 1, 'assistant', CASE WHEN conv_id <> 'en' THEN 'Summary of ' || conv_id ELSE 'Processed data.' END FROM p)
+      UNION ALL SELECT conv_id, nxt + 1, 'assistant', CASE WHEN conv_id % 4 <> 0 THEN 'Summary of ' || conv_id ELSE 'Processed data.' END FROM p)
 SELECT conv_id, pos, role, content
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS rn FROM u) WHERE rn <= 10""")
 def q_pruned_documents(spark, sf_dir):
-    """V9 where much is pruned: a few very long conversations, with a reply given or missing."""
+    """V9 where much is pruned: 25 documents are a conversation, with a reply given or missing."""
     d = load(spark, sf_dir, "documents")
-    history = d.select(F.col("lang").alias("conv_id"), F.col("doc_id").alias("turn"),
+    conv = F.floor(F.col("doc_id") / 25)
+    history = d.select(conv.alias("conv_id"), F.col("doc_id").alias("turn"),
                        F.when(F.col("doc_id") % 2 == 0, "user").otherwise("assistant").alias("role"), "text")
-    ids = d.select(F.col("lang").alias("conv_id")).distinct()
-    prompts = ids.select("conv_id", F.concat(F.lit("Summarise "), "conv_id").alias("prompt"))
-    replies = ids.where("conv_id <> 'en'").select("conv_id", F.concat(F.lit("Summary of "), "conv_id").alias("reply"))
+    ids = d.select(conv.alias("conv_id")).distinct()
+    prompts = ids.select("conv_id", F.concat(F.lit("Summarise "), F.col("conv_id").cast("string")).alias("prompt"))
+    replies = ids.where("conv_id % 4 <> 0").select("conv_id", F.concat(F.lit("Summary of "), F.col("conv_id").cast("string")).alias("reply"))
     return cv.prune_history(history, prompts, replies)
 
 
