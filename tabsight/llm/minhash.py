@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import stored
+from tabsight.llm.common import discard, stored
 from tabsight.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -100,15 +100,25 @@ def _linked(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="bool")
 
 
+def _of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of the documents that occur in pairs; only these are shuffled to the pairs."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return rows.join(ends, "id", "left_semi")
+
+
 def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that agree on their signatures and then on their full shingle sets."""
-    s = sigs.select("id", "sig")
-    near = (pairs.join(s.withColumnsRenamed({"id": "a", "sig": "sa"}), "a")
-            .join(s.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
-            .filter(_agree("sa", "sb") >= MIN_AGREE).select("a", "b"))
-    return (near.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
-            .join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
-            .filter(_linked("ta", "tb")).select("a", "b"))
+    """The stored ``pairs`` (a, b) that agree on their signatures and then on their full shingle sets, stored in their place."""
+    s = _of(sigs.select("id", "sig"), pairs)
+    near = stored(pairs.join(s.withColumnsRenamed({"id": "a", "sig": "sa"}), "a")
+                  .join(s.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
+                  .filter(_agree("sa", "sb") >= MIN_AGREE).select("a", "b"), "near")
+    discard(pairs)
+    t = _of(texts, near)
+    out = stored(near.join(t.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
+                 .join(t.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
+                 .filter(_linked("ta", "tb")).select("a", "b"), "links")
+    discard(near)
+    return out
 
 
 def _mixed_buckets(inside: DataFrame, found: DataFrame) -> DataFrame:
@@ -131,11 +141,13 @@ def _probes(owned: DataFrame, turn: int) -> DataFrame:
 
 
 def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
-    """``found`` after links between members of its components: the components are joined, not the members."""
+    """The stored ``found`` after links between members of its components, in its place: the components are joined, not the members."""
     ends = links.join(found.toDF("a", "ca"), "a").join(found.toDF("b", "cb"), "b").select("ca", "cb")
     up = components(ends, "ca", "cb").toDF("component", "low")
-    return stored(found.join(up, "component", "left").select(
+    out = stored(found.join(up, "component", "left").select(
         "node", F.coalesce("low", "component").alias("component")), "found")
+    discard(found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,7 +167,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     entries = one.select("id", F.posexplode(_bands("sig")).alias("band", "h"))
     box = entries.groupBy("band", "h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
     inside = stored(entries.join(box.drop("hi"), ["band", "h"]), "buckets")
-    star = inside.select(F.col("lo").alias("a"), F.col("id").alias("b")).filter("a < b").distinct()
+    star = stored(inside.select(F.col("lo").alias("a"), F.col("id").alias("b")).filter("a < b").distinct(), "star")
     first = components(_verified(star, one, src))
     found = stored(inside.select(F.col("id").alias("node")).distinct().join(first, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")), "found")
@@ -164,8 +176,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     while True:
         owned = _mixed_buckets(inside, found)
         probes = stored(_probes(owned, turn), "probes")
-        links = stored(_verified(probes, one, src), "links")
-        tested, joined = probes.count(), links.count()
+        tested = probes.count()
+        links = _verified(probes, one, src)
+        joined = links.count()
         found = _merged(found, links) if joined else found
         turn += 1
         if joined < PROBE_YIELD * tested or not joined:
@@ -174,8 +187,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     left = _mixed_buckets(inside, found).filter("id <> lo")
     x = left.select("band", "h", F.col("id").alias("a"), F.col("c").alias("ca"))
     y = left.select("band", "h", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = x.join(y, ["band", "h"]).filter("a < b and ca <> cb").select("a", "b").distinct()
-    more = stored(_verified(rest, one, src), "links")
+    rest = stored(x.join(y, ["band", "h"]).filter("a < b and ca <> cb").select("a", "b").distinct(), "rest")
+    more = _verified(rest, one, src)
     if not more.isEmpty():
         found = _merged(found, more)
     named = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
