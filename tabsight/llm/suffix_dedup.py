@@ -1,16 +1,24 @@
-"""Exact removal of repeated byte strings by refining q-gram buckets over a sampled suffix array.
-
-A position of the suffix array stands for a string of ``SPAN`` bytes. Of the
-q-grams inside a string the smallest hash is its bucket, so equal strings meet
-in one bucket, and the strings of a run of positions share it. Buckets are
-refined on the identifiers of later offsets (the hashes of the strings at the
-run's two ends fix every string between): runs with equal identifiers are equal
-throughout, and all but those of the smallest document are settled. A bucket
-that one document alone holds drops out. Only buckets that stay mixed are
-refined to single positions, by the identifier of the whole string.
-
-Each step shuffles runs or positions by bucket. Copies of whole texts are
-settled before the first step by a checksum.
+"""Exact removal of repeated byte strings by bucket-pointer refinement over a sampled suffix array.
+
+A position of the suffix array stands for a string of ``SPAN`` bytes; its
+q-grams' hashes are the bucket identifiers of its offsets. Of the q-grams inside
+a string the one with the smallest hash is its anchor, so equal strings meet in
+one bucket, and neighbouring positions with one anchor are a unit. Each level
+puts units in finer buckets by the identifiers of later offsets, always the
+q-gram identifiers of the first level:
+
+1. runs, by the anchor's q-gram alone;
+2. pieces of runs (starts at most ``STEP`` bytes apart, counted from the anchor),
+   by the identifiers at three offsets, which span what a piece's strings share;
+3. single positions, by the identifiers at four offsets, which span the string.
+
+On every level a bucket that one document alone holds drops out, units that
+are equal throughout are settled for all but their smallest document, and only
+what is left of buckets with unlike units goes on to the next level.
+
+Each level shuffles its units by bucket; equal runs of one task are settled
+before that. Copies of whole texts are settled before the first level by a
+checksum.
 """
 
 from __future__ import annotations
@@ -27,6 +35,14 @@ from tabsight.llm.common import stored
 
 SPAN = 50
 GRAM = 16
+#: Starts of a piece: its strings share SPAN - STEP + 1 bytes.
+STEP = 9
+_WHOLE = (GRAM, 2 * GRAM, SPAN - GRAM)
+_CORE = (GRAM, SPAN - STEP + 1 - GRAM)
+#: A unit in one number: first position and number of positions.
+_SHIFT = 2**31
+#: Units of a task that are compared with each other before the shuffle.
+_CHUNK = 1_000_000
 _ODD = 0xD6E8FEB86659FD93
 _INVERSE = pow(_ODD, -1, 2**64)
 
@@ -43,9 +59,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def string_ids(data: bytes, *sizes: int) -> list[np.ndarray]:
-    """For every size, a 64-bit identifier of the string of that size at every offset."""
+def gram_ids(data: bytes, gram: int = GRAM) -> np.ndarray:
+    """A 64-bit identifier of the q-gram at every offset."""
     n = len(data)
+    if n < gram:
+        return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
         step = np.full(n + 1, _INVERSE, np.uint64)
         step[0] = 1
@@ -54,8 +72,23 @@ def string_ids(data: bytes, *sizes: int) -> list[np.ndarray]:
         up = np.multiply.accumulate(step)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUES[np.frombuffer(data, np.uint8)] * down[:n], out=total[1:])
-        return [_mixed((total[k:] - total[:n + 1 - k]) * up[:n + 1 - k]) if n >= k else np.empty(0, np.uint64)
-                for k in sizes]
+        return _mixed((total[gram:] - total[:n + 1 - gram]) * up[:n + 1 - gram])
+
+
+def refined(grams: np.ndarray, at: np.ndarray, later: tuple[int, ...]) -> np.ndarray:
+    """The identifiers at ``at`` refined by those at later offsets."""
+    with np.errstate(over="ignore"):
+        out = grams[at]
+        for d in later:
+            out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + grams[at + d])
+        return out
+
+
+def _unit_ids(grams: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Equal for units that are equal throughout: their outer strings overlap and fix every string between."""
+    with np.errstate(over="ignore"):
+        ends = refined(grams, first, _WHOLE) * np.uint64(0xC2B2AE3D27D4EB4F) + refined(grams, first + length - 1, _WHOLE)
+        return _mixed(ends) + length.astype(np.uint64)
 
 
 def _lowest_in_window(x: np.ndarray, width: int) -> np.ndarray:
@@ -68,43 +101,94 @@ def _lowest_in_window(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def runs_of(data: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, identifier, first, length) of the runs of string positions that share their smallest q-gram."""
-    if len(data) < span:
-        e = np.empty(0, np.uint64)
-        return e, e, e.astype(np.int64), e.astype(np.int64)
-    grams, whole = string_ids(data, gram, span)
+def runs_of(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, length, anchor) of the runs of string positions that share their smallest q-gram."""
+    width = SPAN - GRAM + 1
+    if len(grams) < width:
+        return (np.empty(0, np.int64),) * 3
     at = np.arange(len(grams), dtype=np.uint64)
-    low = _lowest_in_window((grams & np.uint64(0xFFFFFFFF00000000)) | at, span - gram + 1)
+    low = _lowest_in_window((grams & np.uint64(0xFFFFFFFF00000000)) | at, width)
     pick = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, pick[1:] != pick[:-1]])
-    length = np.diff(np.r_[first, len(pick)])
+    return first, np.diff(np.r_[first, len(pick)]), pick[first]
+
+
+def _every(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, number of its unit) for all positions of units."""
+    unit = np.repeat(np.arange(len(first)), length)
+    return first[unit] + np.arange(len(unit)) - np.repeat(np.cumsum(length) - length, length), unit
+
+
+def _settled_here(bucket: np.ndarray, unit: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which units have an equal one of a smaller document among these rows."""
     with np.errstate(over="ignore"):
-        ids = _mixed(whole[first] * np.uint64(0x9E3779B97F4A7C15) + whole[first + length - 1]) + length.astype(np.uint64)
-    return grams[pick[first]], ids, first, length
+        order = np.lexsort((doc, _mixed(bucket) + unit))
+    b, u = bucket[order], unit[order]
+    new = np.r_[True, (b[1:] != b[:-1]) | (u[1:] != u[:-1])]
+    lowest = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = np.empty(len(order), bool)
+    out[order] = doc[order] > lowest
+    return out
+
+
+def _rows(bucket: np.ndarray, unit: np.ndarray, doc: np.ndarray, first: np.ndarray, length: np.ndarray) -> pd.DataFrame:
+    """Units for the shuffle; neighbours that are settled here become one row, without a unit and with a bucket of its own."""
+    gone = _settled_here(bucket, unit, doc)
+    keep, g = np.flatnonzero(~gone), np.flatnonzero(gone)
+    out = pd.DataFrame({"bucket": bucket[keep].view(np.int64), "unit": unit[keep].view(np.int64), "id": doc[keep],
+                        "spot": first[keep] * _SHIFT + length[keep]}).astype({"unit": "Int64"})
+    if not len(g):
+        return out
+    apart = (doc[g][1:] != doc[g][:-1]) | (first[g][1:] != first[g][:-1] + length[g][:-1])
+    heads = np.flatnonzero(np.r_[True, apart])
+    size = np.add.reduceat(length[g], heads)
+    head = g[heads]
+    with np.errstate(over="ignore"):
+        own = _mixed(doc[head].view(np.uint64) * np.uint64(_ODD) + first[head].astype(np.uint64))
+    done = pd.DataFrame({"bucket": own.view(np.int64), "unit": pd.array([None] * len(heads), "Int64"), "id": doc[head],
+                         "spot": first[head] * _SHIFT + size})
+    return pd.concat([out, done])
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts, size = [], 0
     for pdf in batches:
-        parts, size = [], 0
         for i, data in zip(pdf["id"], pdf["body"], strict=True):
-            bucket, ids, first, length = runs_of(data)
-            parts.append(pd.DataFrame({"bucket": bucket.view(np.int64), "run": ids.view(np.int64), "id": i,
-                                       "spot": first * 64 + length}))
+            grams = gram_ids(data)
+            first, length, anchor = runs_of(grams)
+            if not len(first):
+                continue
+            parts.append((grams[anchor], _unit_ids(grams, first, length), np.full(len(first), i, np.int64), first, length))
             size += len(first)
-            if size > 500_000:
-                yield pd.concat(parts)
+            if size > _CHUNK:
+                yield _rows(*map(np.concatenate, zip(*parts, strict=True)))
                 parts, size = [], 0
-        if parts:
-            yield pd.concat(parts)
+    if parts:
+        yield _rows(*map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for i, data, spots in zip(pdf["id"], pdf["body"], pdf["spots"], strict=True):
+            grams = gram_ids(data)
+            first, length, anchor = runs_of(grams)
+            mine = np.isin(first, np.asarray(spots, np.int64) // _SHIFT)
+            at, unit = _every(first[mine], length[mine])
+            part = (anchor[mine][unit] - at) // STEP
+            head = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (part[1:] != part[:-1])])
+            size = np.diff(np.r_[head, len(at)])
+            core = refined(grams, anchor[mine][unit[head]] - part[head] * STEP, _CORE)
+            yield pd.DataFrame({"bucket": core.view(np.int64), "unit": _unit_ids(grams, at[head], size).view(np.int64),
+                                "id": i, "spot": at[head] * _SHIFT + size})
 
 
 def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for i, data, spots in zip(pdf["id"], pdf["body"], pdf["spots"], strict=True):
-            s = np.asarray(spots, dtype=np.int64)
-            at = np.concatenate([np.arange(x // 64, x // 64 + x % 64) for x in s])
-            yield pd.DataFrame({"string": string_ids(data, SPAN)[0][at].view(np.int64), "id": i, "at": at})
+            s = np.asarray(spots, np.int64)
+            at, _ = _every(s // _SHIFT, s % _SHIFT)
+            string = refined(gram_ids(data), at, _WHOLE)
+            yield pd.DataFrame({"bucket": string.view(np.int64), "unit": 0, "id": i, "spot": at * _SHIFT + 1})
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,8 +201,8 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 edge[0], edge[n] = 1, -1
             elif spots is not None and len(spots):
                 s = np.asarray(spots, dtype=np.int64)
-                np.add.at(edge, s // 64, 1)
-                np.add.at(edge, s // 64 + s % 64 + SPAN - 1, -1)
+                np.add.at(edge, s // _SHIFT, 1)
+                np.add.at(edge, s // _SHIFT + s % _SHIFT + SPAN - 1, -1)
             gone = np.cumsum(edge[:n]) > 0
             left = np.frombuffer(data, np.uint8)[~gone].tobytes()
             spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if n else 0
@@ -127,6 +211,25 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "left", "kept_text"])
 
 
+_UNITS = "bucket long, unit long, id long, spot long"
+
+
+def _refine(units: DataFrame, level: str) -> DataFrame:
+    """(id, spot, gone, mixed) of the units of shared buckets: settled ones, and whether their bucket holds unlike ones."""
+    b = Window.partitionBy("bucket")
+    shared = units.withColumns({"d0": F.min("id").over(b), "d1": F.max("id").over(b), "u0": F.min("unit").over(b),
+                                "u1": F.max("unit").over(b)}).filter("d0 < d1 or unit is null")
+    low = F.min("id").over(Window.partitionBy("bucket", "unit"))
+    return stored(shared.withColumn("low", low).select(
+        "id", "spot", F.expr("unit is null or id > low").alias("gone"), F.expr("u0 < u1").alias("mixed")), level)
+
+
+def _open(refined_units: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts with their units that the next level has to look at."""
+    todo = refined_units.filter("mixed and not gone").groupBy("id").agg(F.collect_set("spot").alias("spots"))
+    return texts.join(todo, "id")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, left, kept_text) for every row.
 
@@ -144,18 +247,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     first = ids.groupBy("mark").agg(F.min("id").alias("rep"))
     copies = stored(ids.join(first, "mark").filter("id > rep").select("id").distinct(), "copies")
     single = src.join(copies, "id", "left_anti")
-    runs = single.mapInPandas(_runs, "bucket long, run long, id long, spot long")
-    b = Window.partitionBy("bucket")
-    shared = runs.withColumns({"d0": F.min("id").over(b), "d1": F.max("id").over(b), "r0": F.min("run").over(b),
-                               "r1": F.max("run").over(b)}).filter("d0 < d1")
-    settled = stored(shared.withColumn("low", F.min("id").over(Window.partitionBy("bucket", "run"))).select(
-        "id", "spot", (F.col("id") > F.col("low")).alias("gone"), (F.col("r0") < F.col("r1")).alias("mixed")), "runs")
-    todo = settled.filter("mixed and not gone").groupBy("id").agg(F.collect_list("spot").alias("spots"))
-    strings = single.join(todo, "id").mapInPandas(_positions, "string long, id long, at long")
-    low = F.min("id").over(Window.partitionBy("string"))
-    later = strings.withColumn("low", low).filter("id > low").select("id", (F.col("at") * 64 + 1).alias("spot"))
-    gone = settled.filter("gone").select("id", "spot").unionByName(later).groupBy("id").agg(
-        F.collect_list("spot").alias("spots"))
+    runs = _refine(single.mapInPandas(_runs, _UNITS), "runs")
+    pieces = _refine(_open(runs, single).mapInPandas(_pieces, _UNITS), "pieces")
+    strings = _refine(_open(pieces, single).mapInPandas(_positions, _UNITS), "strings")
+    every = runs.unionByName(pieces).unionByName(strings).filter("gone")
+    gone = every.groupBy("id").agg(F.collect_list("spot").alias("spots"))
     found = src.join(gone, "id", "left").join(copies.withColumn("copied", F.lit(True)), "id", "left")
     cut = found.withColumn("copied", F.coalesce("copied", F.lit(False))).mapInPandas(
         _cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, left binary, kept_text string")

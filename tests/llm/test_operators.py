@@ -71,8 +71,8 @@ def test_minhash_components(docs, none, corpus):
     assert minhash.near_duplicates(none).count() == 0
 
 
-def test_suffix_dedup(docs, none, corpus):
-    got, seen = by_id(suffix_dedup.remove_repeats(docs)), set()
+def check_repeats(got, corpus):
+    seen = set()
     for i, t in corpus:
         b = (t or "").encode()
         gone, mine = bytearray(len(b)), set()
@@ -86,9 +86,35 @@ def test_suffix_dedup(docs, none, corpus):
         spans = sum(1 for p in range(len(b)) if gone[p] and (not p or not gone[p - 1]))
         r = got[i]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(left).hexdigest())
+
+
+def test_suffix_dedup(docs, none, corpus):
+    check_repeats(by_id(suffix_dedup.remove_repeats(docs)), corpus)
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_of_periodic_and_edited_texts(spark):
+    """Hot q-grams in unlike surroundings, strings of one character, periods, edits near the string size, repeats inside a text."""
+    r = random.Random(11)
+    hot = "sixteen byte gram"
+    base = [prose(40), hot * 9, "a" * 130, "ab" * 60, "x" * 49, "x" * 50, "x" * 51]
+    more = [t[:k] + c + t[k + 1:] for t in base for k, c in ((len(t) // 3, "?"), (len(t) // 2, "")) for _ in range(2)]
+    mixed = [prose(r.randint(1, 9)) + hot + prose(r.randint(1, 9)) for _ in range(25)]
+    cuts = [base[0][r.randrange(60):][:r.randint(45, 90)] + prose(3) + base[0][:r.randint(48, 53)] for _ in range(25)]
+    rows = [*base, *more, *mixed, *cuts]
+    r.shuffle(rows)
+    corpus = [(i * 7 - 50, t) for i, t in enumerate(rows)]
+    frame = spark.createDataFrame(corpus, "doc_id long, text string").repartition(5)
+    check_repeats(by_id(suffix_dedup.remove_repeats(frame)), corpus)
+
+
+def test_settled_here():
+    import numpy as np
+    u = lambda *x: np.array(x, np.uint64)
+    got = suffix_dedup._settled_here(u(1, 1, 1, 2, 1), u(7, 7, 8, 7, 7), np.array([5, 3, 9, 9, 3]))
+    assert got.tolist() == [True, False, False, False, False]
+
+
 def test_packing_round_trip(docs, none, corpus):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(tokenizer_path())
