@@ -150,45 +150,61 @@ def _rows(bucket: np.ndarray, unit: np.ndarray, doc: np.ndarray, first: np.ndarr
     return pd.concat([out, done])
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts, size = [], 0
+def _chunks(parts: Iterator[tuple]) -> Iterator[list[np.ndarray]]:
+    """Units of documents put together until a chunk is full: small frames cost more than their rows."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > _CHUNK:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _rows_of(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
     for pdf in batches:
-        for i, data in zip(pdf["id"], pdf["body"], strict=True):
+        yield from zip(*(pdf[c] for c in columns), strict=True)
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts():
+        for i, data in _rows_of(batches, "id", "body"):
             grams = gram_ids(data)
             first, length, anchor = runs_of(grams)
-            if not len(first):
-                continue
-            parts.append((grams[anchor], _unit_ids(grams, first, length), np.full(len(first), i, np.int64), first, length))
-            size += len(first)
-            if size > _CHUNK:
-                yield _rows(*map(np.concatenate, zip(*parts, strict=True)))
-                parts, size = [], 0
-    if parts:
-        yield _rows(*map(np.concatenate, zip(*parts, strict=True)))
+            if len(first):
+                yield grams[anchor], _unit_ids(grams, first, length), np.full(len(first), i, np.int64), first, length
+    for chunk in _chunks(parts()):
+        yield _rows(*chunk)
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for i, data, spots in zip(pdf["id"], pdf["body"], pdf["spots"], strict=True):
+    def parts():
+        for i, data, spots in _rows_of(batches, "id", "body", "spots"):
             grams = gram_ids(data)
             first, length, anchor = runs_of(grams)
-            mine = np.isin(first, np.asarray(spots, np.int64) // _SHIFT)
+            mine = np.searchsorted(first, np.sort(np.asarray(spots, np.int64)) // _SHIFT)
             at, unit = _every(first[mine], length[mine])
             part = (anchor[mine][unit] - at) // STEP
             head = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (part[1:] != part[:-1])])
             size = np.diff(np.r_[head, len(at)])
             core = refined(grams, anchor[mine][unit[head]] - part[head] * STEP, _CORE)
-            yield pd.DataFrame({"bucket": core.view(np.int64), "unit": _unit_ids(grams, at[head], size).view(np.int64),
-                                "id": i, "spot": at[head] * _SHIFT + size})
+            yield core, _unit_ids(grams, at[head], size), np.full(len(head), i, np.int64), at[head], size
+    for chunk in _chunks(parts()):
+        yield _rows(*chunk)
 
 
 def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for i, data, spots in zip(pdf["id"], pdf["body"], pdf["spots"], strict=True):
-            s = np.asarray(spots, np.int64)
+    def parts():
+        for i, data, spots in _rows_of(batches, "id", "body", "spots"):
+            s = np.sort(np.asarray(spots, np.int64))
             at, _ = _every(s // _SHIFT, s % _SHIFT)
             string = refined(gram_ids(data), at, _WHOLE)
-            yield pd.DataFrame({"bucket": string.view(np.int64), "unit": 0, "id": i, "spot": at * _SHIFT + 1})
+            one = np.ones(len(at), np.int64)
+            yield string, one.view(np.uint64), np.full(len(at), i, np.int64), at, one
+    for chunk in _chunks(parts()):
+        yield _rows(*chunk)
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
