@@ -145,6 +145,48 @@ ORACLE: dict[str, str] = {
                CASE WHEN rep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN rep <> page_id THEN rep END AS refers_to
         FROM m""",
+    # crc32 by its table: 256 remainders of the reflected polynomial, then one look-up a byte.
+    "op9_url_filter": """
+        WITH RECURSIVE steps AS (
+            SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) r(i)
+            UNION ALL
+            SELECT i, xor(v >> 1, (v & 1) * 3988292384), k + 1 FROM steps WHERE k < 8),
+        remainders AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+        fetched AS (
+            SELECT page_id, (20000 + page_id % 365) * 86400 AS moment,
+                   regexp_replace(regexp_replace(lower(regexp_extract(coalesce(url, ''),
+                       '(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), '\\.?(:[0-9]*)?$', '') AS host
+            FROM pages),
+        named AS (
+            SELECT DISTINCT host, page_id % 12 AS m, hex(encode(host)) AS hx, hex(encode(host || '/' || (page_id % 12))) AS mx
+            FROM fetched WHERE host <> ''),
+        bytes AS (
+            SELECT host, m, list_transform(range(1, length(hx), 2), lambda i: ('0x' || substr(hx, i, 2))::BIGINT) AS hb,
+                   list_transform(range(1, length(mx), 2), lambda i: ('0x' || substr(mx, i, 2))::BIGINT) AS mb
+            FROM named),
+        codes AS (
+            SELECT host, m,
+                   xor(list_reduce(list_prepend(4294967295, hb), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS c,
+                   xor(list_reduce(list_prepend(4294967295, mb), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS code
+            FROM bytes, remainders),
+        entries AS (
+            SELECT CASE WHEN c % 3 = 0 THEN 'spam' ELSE 'adult' END AS list,
+                   CASE WHEN code % 16 = 0 THEN regexp_extract(host, '[^.]+\\.[^.]+$') ELSE host END AS pattern,
+                   (20000 + m * 30) * 86400 AS moment, code % 4 = 0 AS listed
+            FROM codes WHERE m IS NOT NULL),
+        dated AS (SELECT list, pattern, moment, bool_and(listed) AS listed FROM entries GROUP BY ALL),
+        runs AS (
+            SELECT *, coalesce(lead(moment) OVER (PARTITION BY list, pattern ORDER BY moment), 20400 * 86400) AS until FROM dated),
+        hits AS (
+            SELECT f.page_id, f.host, f.moment, count(DISTINCT r.list) AS n_lists,
+                   max(struct_pack(n := length(r.pattern), p := r.pattern)) AS best
+            FROM fetched f JOIN runs r ON r.listed AND f.moment >= r.moment AND f.moment < r.until
+                 AND (f.host = r.pattern OR ends_with(f.host, '.' || r.pattern))
+            WHERE f.host <> '' GROUP BY ALL)
+        SELECT f.page_id, f.host, f.moment AS fetched_at, h.n_lists IS NOT NULL AS blocked,
+               coalesce(h.n_lists, 0) AS n_lists, h.best.p AS pattern
+        FROM fetched f LEFT JOIN hits h
+             ON f.page_id IS NOT DISTINCT FROM h.page_id AND f.host = h.host AND f.moment = h.moment""",
     "op11_hard_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
