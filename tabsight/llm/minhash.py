@@ -5,7 +5,11 @@ Within a band bucket every member is compared with the smallest id. Members of
 buckets that still hold several components then meet two drawn centres of other
 components a turn, as long as that joins a good part of them: a group of copies
 costs work linear in its size. What remains is compared in full across
-components, so a bucket costs pairs only where its members are unlike.
+components, where it shares a small bucket. Members of large buckets meet over
+rare shingles instead: two linked sets share one of the first shingles of each
+in the order of falling rarity, and the places of the first shared one bound
+what they can share (prefix and positional filter). This loses no link and
+passes over documents that have much of their own.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +34,8 @@ HASHES = BANDS * BAND_ROWS
 MIN_AGREE = 66
 #: Turns of chosen centres end when fewer of their pairs are links; the pairs that remain are all compared.
 PROBE_YIELD = 0.1
+#: Members of a mixed bucket up to which all pairs across its components are compared; larger ones meet over rare shingles.
+SMALL_BUCKET = 32
 _BLOCK = 512
 
 
@@ -64,6 +70,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def _packed(sig: np.ndarray) -> bytes:
+    """The low bytes of all minima, then the second bytes: what differs there differs, so no agreement is lost."""
+    return (sig & np.uint32(255)).astype(np.uint8).tobytes() + (sig >> np.uint32(8)).astype(np.uint8).tobytes()
+
+
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ids, sizes, sets, sigs = [], [], [], []
@@ -72,20 +83,21 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids.append(i)
             sizes.append(len(s))
             sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            sigs.append(signature(s).tobytes() if len(s) else None)
+            sigs.append(_packed(signature(s)) if len(s) else None)
         yield pd.DataFrame({"id": ids, "n": sizes, "same": sets, "sig": sigs})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _bands(sig: pd.Series) -> pd.Series:
-    return sig.map(lambda s: [int(np.uint64(xxhash.xxh3_64_intdigest(s[i * 4 * BAND_ROWS:(i + 1) * 4 * BAND_ROWS], i))
-                                  .astype(np.int64)) for i in range(BANDS)])
+    """The packed minima of a band as one number."""
+    both = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), 2, BANDS, BAND_ROWS)
+    return pd.Series(list(np.ascontiguousarray(both.transpose(0, 2, 1, 3)).reshape(len(sig), 2 * HASHES).view(np.int64)))
 
 
 @F.pandas_udf(T.IntegerType())
 def _agree(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([int((np.frombuffer(p, np.uint32) == np.frombuffer(q, np.uint32)).sum())
-                      for p, q in zip(x, y, strict=True)], dtype="int32")
+    p, q = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), HASHES) for v in (x, y))
+    return pd.Series((p == q).sum(axis=1), dtype="int32")
 
 
 @F.pandas_udf(T.BooleanType())
@@ -100,6 +112,11 @@ def _linked(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="bool")
 
 
+def _fit(n: str, m: str) -> Column:
+    """Set sizes that a link can have."""
+    return F.expr(f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})")
+
+
 def _of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of the documents that occur in pairs; only these are shuffled to the pairs."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -108,7 +125,7 @@ def _of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """The stored ``pairs`` (a, b) that agree on their signatures and then on their full shingle sets, stored in their place."""
-    s = _of(sigs.select("id", "sig"), pairs)
+    s = _of(sigs.select("id", F.substring("sig", 1, HASHES).alias("sig")), pairs)
     near = stored(pairs.join(s.withColumnsRenamed({"id": "a", "sig": "sa"}), "a")
                   .join(s.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
                   .filter(_agree("sa", "sb") >= MIN_AGREE).select("a", "b"), "near")
@@ -122,24 +139,72 @@ def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _mixed_buckets(inside: DataFrame, found: DataFrame) -> DataFrame:
-    """(band, h, id, lo, c) of the buckets with members of several components."""
+    """(band, h, id, n, lo, c, members) of the buckets with members of several components; one of buckets with the same members."""
     owned = inside.join(found.withColumnsRenamed({"node": "id", "component": "c"}), "id")
-    mixed = owned.groupBy("band", "h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1")
-    return owned.join(mixed.select("band", "h"), ["band", "h"], "left_semi")
+    mixed = owned.groupBy("band", "h").agg(
+        F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("members"), F.min("id").alias("least"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("c0 < c1")
+    one = mixed.groupBy("members", "least", "x", "y").agg(F.min(F.struct("band", "h")).alias("b"))
+    return owned.join(one.select("b.band", "b.h", "members"), ["band", "h"])
 
 
 def _probes(owned: DataFrame, turn: int) -> DataFrame:
     """For every member two of its buckets' centres of another component; a bucket's centre changes with the turn."""
     draw = F.xxhash64("id", "band", "h", F.lit(turn))
-    centre = owned.groupBy("band", "h").agg(F.min(F.struct(draw.alias("d"), "id", "c")).alias("m")).select(
-        "band", "h", F.col("m.id").alias("to"), F.col("m.c").alias("cto"))
+    centre = owned.groupBy("band", "h").agg(F.min(F.struct(draw.alias("d"), "id", "c", "n")).alias("m")).select(
+        "band", "h", F.col("m.id").alias("to"), F.col("m.c").alias("cto"), F.col("m.n").alias("nto"))
     order = F.struct(F.xxhash64("id", "to", F.lit(turn)).alias("d"), "to")
-    two = owned.join(centre, ["band", "h"]).filter("c <> cto").groupBy("id").agg(
+    two = owned.join(centre, ["band", "h"]).filter((F.col("c") != F.col("cto")) & _fit("n", "nto")).groupBy("id").agg(
         F.min(order).alias("x"), F.max(order).alias("y"))
     pairs = two.select("id", F.explode(F.array("x.to", "y.to")).alias("to"))
     return pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
 
 
+def _rest(left: DataFrame) -> DataFrame:
+    """All pairs across components of small buckets that the smallest member has not tested and that sizes allow."""
+    small = left.filter((F.col("members") <= SMALL_BUCKET) & (F.col("id") != F.col("lo")))
+    x, y = (small.select("band", "h", F.col("id").alias(i), F.col("c").alias("c" + i), F.col("n").alias("n" + i)) for i in "ab")
+    return x.join(y, ["band", "h"]).filter(F.expr("a < b and ca <> cb") & _fit("na", "nb")).select("a", "b")
+
+
+def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        sets = [shingle_hashes(t) for t in pdf["text"]]
+        size = np.array([len(s) for s in sets], np.int64)
+        part = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), size), "part": np.repeat(part, size), "n": np.repeat(size, size),
+                            "token": np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)})
+
+
+def _prefixes(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, c, n, token, at) of the members of large buckets: shared shingles among the first quarter, rarest first.
+
+    ``at`` is the place of a shingle in its set, counted from 0. Shingles of one document alone come first and only count.
+    """
+    big = left.filter(F.col("members") > SMALL_BUCKET).select("id", "c").distinct()
+    tokens = texts.join(big, "id", "left_semi").mapInPandas(_shingles, "id long, part long, n long, token long")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # rows with one id are sets of their own (part)
+    own = Window.partitionBy("id", "part")
+    placed = tokens.join(shared, "token").withColumn("r", F.dense_rank().over(own.orderBy("df", "token")))
+    placed = placed.withColumn("at", F.col("n") - F.max("r").over(own) + F.col("r") - 1)
+    return placed.filter(f"100 * at <= {100 - PERCENT} * n").join(big, "id").select("id", "c", "n", "token", "at")
+
+
+def _rare_pairs(prefixes: DataFrame) -> DataFrame:
+    """Pairs across components that a shared shingle of their prefixes allows to be links.
+
+    Sets of sizes n <= m are linked if they share 3 (n + m) / 7 shingles or more, and all shared ones stand at or
+    after the first: it stands in the first seventh of the smaller and the first quarter of the larger set.
+    """
+    x, y = (prefixes.select("token", F.col("id").alias("i" + k), F.col("c").alias("c" + k), F.col("n").alias("n" + k),
+                            F.col("at").alias("at" + k)) for k in "ab")
+    enough = f"{100 + PERCENT} * least(na - ata, nb - atb) >= {PERCENT} * (na + nb)"
+    met = x.filter(f"{100 + PERCENT} * ata <= {100 - PERCENT} * na").join(y, "token").filter(
+        F.expr(f"(na < nb or na = nb and ia < ib) and ca <> cb and {enough}") & _fit("na", "nb"))
+    return met.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+
+
 def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     """The stored ``found`` after links between members of its components, in its place: the components are joined, not the members."""
     ends = links.join(found.toDF("a", "ca"), "a").join(found.toDF("b", "cb"), "b").select("ca", "cb")
@@ -163,11 +228,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rep = full.groupBy("same").agg(F.min("id").alias("rep"))
     member = stored(full.select("id", "same").join(rep, "same").select("id", "rep"), "copies")
     one = full.join(rep, (F.col("id") == F.col("rep")) & full["same"].eqNullSafe(rep["same"]), "left_semi")
-    one = one.dropDuplicates(["id"]).select("id", "sig")
-    entries = one.select("id", F.posexplode(_bands("sig")).alias("band", "h"))
-    box = entries.groupBy("band", "h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    inside = stored(entries.join(box.drop("hi"), ["band", "h"]), "buckets")
-    star = stored(inside.select(F.col("lo").alias("a"), F.col("id").alias("b")).filter("a < b").distinct(), "star")
+    one = one.dropDuplicates(["id"]).select("id", "n", "sig")
+    entries = one.select("id", "n", F.posexplode(_bands("sig")).alias("band", "h"))
+    box = entries.groupBy("band", "h").agg(F.min(F.struct("id", "n")).alias("lo"), F.max("id").alias("hi")).filter("lo.id < hi")
+    inside = stored(entries.join(box.select("band", "h", F.col("lo.id").alias("lo"), F.col("lo.n").alias("nlo")), ["band", "h"]), "buckets")
+    star = stored(inside.filter((F.col("lo") < F.col("id")) & _fit("n", "nlo")).select(
+        F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "star")
     first = components(_verified(star, one, src))
     found = stored(inside.select(F.col("id").alias("node")).distinct().join(first, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")), "found")
@@ -183,11 +249,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         turn += 1
         if joined < PROBE_YIELD * tested or not joined:
             break
-    # ... then all pairs across components that the smallest member has not tested.
-    left = _mixed_buckets(inside, found).filter("id <> lo")
-    x = left.select("band", "h", F.col("id").alias("a"), F.col("c").alias("ca"))
-    y = left.select("band", "h", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = stored(x.join(y, ["band", "h"]).filter("a < b and ca <> cb").select("a", "b").distinct(), "rest")
+    # ... then all pairs across components of small buckets, and the pairs of large ones that rare shingles allow.
+    left = stored(_mixed_buckets(inside, found), "left")
+    prefixes = stored(_prefixes(left, src), "prefixes")
+    rest = stored(_rest(left).union(_rare_pairs(prefixes)).distinct(), "rest")
+    discard(prefixes)
+    discard(left)
     more = _verified(rest, one, src)
     if not more.isEmpty():
         found = _merged(found, more)

@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small fixtures with nulls, empty texts, ties and odd columns."""
 
 import hashlib
+import itertools
 import json
 import random
 import struct
@@ -71,6 +72,36 @@ def test_minhash_components(docs, none, corpus):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_minhash_group_of_near_copies(spark, monkeypatch):
+    """Members of a large bucket that differ meet over rare shingles: few pairs, and the links of the full comparison."""
+    tested, verified = [], minhash._verified
+
+    def counted(pairs, sigs, texts):
+        tested.append(pairs.count())
+        return verified(pairs, sigs, texts)
+    monkeypatch.setattr(minhash, "_verified", counted)
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(70)]
+    rows = []
+    for i in range(240):
+        words = list(rows[r.randrange(len(rows))][1].split()) if rows and i % 4 == 0 else list(base)
+        for k in r.sample(range(70), r.choice((1, 3, 3, 3, 4))):
+            words[k] = f"own{i}_{k}" if i % 3 else f"v{k % 5}"
+        rows.append((i, " ".join(words)))
+    rows.append((7, prose(40)))          # an id that occurs again
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    low = {i: i for i, _ in rows}
+    links = [(x[0], y[0]) for (x, a), (y, b) in itertools.combinations(zip(rows, sets, strict=True), 2)
+             if 100 * len(a & b) >= 75 * len(a | b)]
+    for _ in rows:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == set(low.items()) and len(got) == len(rows)
+    assert 20 < len(set(low.values())) < 200
+    assert tested[-1] < 20 * len(rows), tested
+
+
 def check_repeats(got, corpus):
     seen = set()
     for i, t in corpus:
