@@ -117,24 +117,27 @@ def _fit(n: str, m: str) -> Column:
     return F.expr(f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})")
 
 
-def _of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of the documents that occur in pairs; only these are shuffled to the pairs."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return rows.join(ends, "id", "left_semi")
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The documents of stored pairs, stored: their files tell their size, so few of them go to the texts and no text is shuffled for them."""
+    return stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
 
 
 def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """The stored ``pairs`` (a, b) that agree on their signatures and then on their full shingle sets, stored in their place."""
-    s = _of(sigs.select("id", F.substring("sig", 1, HASHES).alias("sig")), pairs)
+    ends = _ends(pairs)
+    s = sigs.select("id", F.substring("sig", 1, HASHES).alias("sig")).join(ends, "id", "left_semi")
     near = stored(pairs.join(s.withColumnsRenamed({"id": "a", "sig": "sa"}), "a")
                   .join(s.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
                   .filter(_agree("sa", "sb") >= MIN_AGREE).select("a", "b"), "near")
     discard(pairs)
-    t = _of(texts, near)
+    discard(ends)
+    ends = _ends(near)
+    t = texts.join(ends, "id", "left_semi")
     out = stored(near.join(t.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
                  .join(t.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
                  .filter(_linked("ta", "tb")).select("a", "b"), "links")
     discard(near)
+    discard(ends)
     return out
 
 
@@ -176,12 +179,11 @@ def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "token": np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)})
 
 
-def _prefixes(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, c, n, token, at) of the members of large buckets: shared shingles among the first quarter, rarest first.
+def _prefixes(big: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, c, n, token, at) of the members (id, c) of large buckets: shared shingles among the first quarter, rarest first.
 
     ``at`` is the place of a shingle in its set, counted from 0. Shingles of one document alone come first and only count.
     """
-    big = left.filter(F.col("members") > SMALL_BUCKET).select("id", "c").distinct()
     tokens = texts.join(big, "id", "left_semi").mapInPandas(_shingles, "id long, part long, n long, token long")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # rows with one id are sets of their own (part)
@@ -251,7 +253,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             break
     # ... then all pairs across components of small buckets, and the pairs of large ones that rare shingles allow.
     left = stored(_mixed_buckets(inside, found), "left")
-    prefixes = stored(_prefixes(left, src), "prefixes")
+    big = stored(left.filter(F.col("members") > SMALL_BUCKET).select("id", "c").distinct(), "big")
+    prefixes = stored(_prefixes(big, src), "prefixes")
+    discard(big)
     rest = stored(_rest(left).union(_rare_pairs(prefixes)).distinct(), "rest")
     discard(prefixes)
     discard(left)
