@@ -19,4 +19,7 @@ def as_number(df: DataFrame, name: str) -> Column:
     if not is_number_like(df.schema[name].dataType):
         return F.lit(None).cast("double")
     number = F.col(f"`{name}`").try_cast("double")
+    if isinstance(df.schema[name].dataType, T.StringType):
+        # every refused text costs an exception in the cast: texts without a digit are no numbers but NaN and infinities
+        number = F.when(F.col(f"`{name}`").rlike("(?i)[0-9]|inf|nan"), number)
     return F.when(~F.isnan(number), number)

@@ -66,13 +66,15 @@ def result_facts(results: dict[str, DataFrame], points: DataFrame | None = None)
         f.columns[name] = cols
         f.has_error[name] = "error" in cols
         exprs = [F.count(F.lit(1)).alias("__n")]
-        num = {c: as_number(df, c) for c in cols}
+        # every value becomes a number once, not once per fact
+        numbers = df.select(*[as_number(df, c).alias(f"__v{i}") for i, c in enumerate(cols)])
+        num = {c: F.col(f"__v{i}") for i, c in enumerate(cols)}
         for i, c in enumerate(cols):
             exprs += [F.count(num[c]).alias(f"nn{i}"),
                       F.sum(F.abs(F.coalesce(num[c], F.lit(0.0)))).alias(f"ab{i}")]
         for (i, a), (j, b) in product(enumerate(cols), enumerate(cols)):
             exprs.append(F.count_if(num[a].isNotNull() & num[b].isNotNull()).alias(f"xy{i}_{j}"))
-        v = wide_agg(df, exprs)
+        v = wide_agg(numbers, exprs)
         f.n_rows[name] = v["__n"]
         for i, c in enumerate(cols):
             f.n_numeric[name + SEP + c] = v[f"nn{i}"]

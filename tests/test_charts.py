@@ -86,3 +86,19 @@ def test_chart_tables_follow_routing(spark, raw):
     lone = ct.chart_tables(routed, results)                           # no dataset: the heatmap is an error row
     assert lone.where("rendered_as = 'heatmap'").collect()[0].measure == "error"
     assert ct.chart_tables(routed.limit(0), results).collect() == []
+
+
+def test_facts_cast_each_value_once(spark, monkeypatch):
+    """Texts that are no numbers never reach the cast, and each column is cast once for all facts."""
+    from tabsight.functions.numbers import as_number
+    texts = ["A", "N", "", " ", "1", " 2.5 ", "-3e2", "NaN", "nan", "inf", "+Inf", "-Infinity", "infinite", "0x1p3", "7d", "1,5", "\u0661", None]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, i int")
+    plain = F.col("t").try_cast("double")
+    both = df.select(as_number(df, "t").alias("a"), F.when(~F.isnan(plain), plain).alias("b"))
+    assert both.where(~F.col("a").eqNullSafe(F.col("b"))).collect() == [] and both.where("a is not null").count() >= 7
+    assert "RLIKE" in both.select("a")._jdf.queryExecution().optimizedPlan().toString()
+    seen, agg = [], rt.wide_agg
+    monkeypatch.setattr(rt, "wide_agg", lambda d, exprs: seen.append(d) or agg(d, exprs))
+    facts = rt.result_facts({"Query_1": df})
+    assert [t for _, t in seen[0].dtypes] == ["double", "double"]
+    assert facts.n_numeric["Query_1" + rt.SEP + "t"] == both.where("a is not null").count()
