@@ -11,7 +11,7 @@ import pytest
 
 pytest.importorskip("tabsight.llm.queries")
 
-from tabsight.llm import cover_tree, decontamination, license_scan, minhash, packing, sharding, suffix_dedup  # noqa: E402
+from tabsight.llm import common, cover_tree, decontamination, license_scan, minhash, packing, sharding, suffix_dedup  # noqa: E402
 from tabsight.llm import toxicity, url_filter, warc  # noqa: E402
 from tabsight.llm.queries import tokenizer_path  # noqa: E402
 
@@ -102,6 +102,15 @@ def test_minhash_group_of_near_copies(spark, monkeypatch):
     assert tested[-1] < 20 * len(rows), tested
 
 
+def test_minhash_ends_go_to_the_texts(spark):
+    """The documents of many pairs have a size that the planner knows, so the texts need no shuffle to be found."""
+    pairs = common.stored(spark.range(400_000).selectExpr("id as a", "id + 1 as b"), "pairs")
+    ends = minhash._ends(pairs)
+    texts = common.stored(spark.range(2_000_000).selectExpr("id", "uuid() as text"), "texts")
+    plan = lambda df: texts.join(df, "id", "left_semi")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan(ends) and ends.count() == 400_001
+
+
 def check_repeats(got, corpus):
     seen = set()
     for i, t in corpus:
