@@ -262,6 +262,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     more = _verified(rest, one, src)
     if not more.isEmpty():
         found = _merged(found, more)
+    discard(inside)
     named = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "id", F.coalesce("component", "rep").alias("component"))
     named = named.groupBy("id").agg(F.min("component").alias("component"))

@@ -3,20 +3,21 @@
 A position of the suffix array stands for a string of ``SPAN`` bytes; its
 q-grams' hashes are the bucket identifiers of its offsets. Of the q-grams inside
 a string the one with the smallest hash is its anchor, so equal strings meet in
-one bucket, and neighbouring positions with one anchor are a unit. Each level
+one bucket, and neighbouring positions with one anchor make up units. Each level
 puts units in finer buckets by the identifiers of later offsets, always the
 q-gram identifiers of the first level:
 
-1. runs, by the anchor's q-gram alone;
-2. pieces of runs (starts at most ``STEP`` bytes apart, counted from the anchor),
-   by the identifiers at three offsets, which span what a piece's strings share;
-3. single positions, by the identifiers at four offsets, which span the string.
+1. pieces, neighbours whose starts fall into one step of ``STEP`` bytes counted
+   back from the anchor, by the identifiers at three offsets, which span the 33
+   bytes that a piece's strings share (an anchor alone is too short: the more
+   documents, the more of its buckets hold unlike units by chance);
+2. single positions, by the identifiers at four offsets, which span the string.
 
 On every level a bucket that one document alone holds drops out, units that
 are equal throughout are settled for all but their smallest document, and only
 what is left of buckets with unlike units goes on to the next level.
 
-Each level shuffles its units by bucket; equal runs of one task are settled
+Each level shuffles its units by bucket; equal units of one task are settled
 before that. Copies of whole texts are settled before the first level by a
 checksum.
 """
@@ -24,25 +25,26 @@ checksum.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsight.llm.common import stored
 
 SPAN = 50
 GRAM = 16
-#: Starts of a piece: its strings share SPAN - STEP + 1 bytes.
-STEP = 9
+#: Starts of a piece: its strings share SPAN - STEP + 1 bytes; anchors lie up to SPAN - GRAM bytes after a start, in two steps.
+STEP = 18
 _WHOLE = (GRAM, 2 * GRAM, SPAN - GRAM)
 _CORE = (GRAM, SPAN - STEP + 1 - GRAM)
 #: A unit in one number: first position and number of positions.
 _SHIFT = 2**31
 #: Units of a task that are compared with each other before the shuffle.
-_CHUNK = 1_000_000
+_CHUNK = 500_000
 _ODD = 0xD6E8FEB86659FD93
 _INVERSE = pow(_ODD, -1, 2**64)
 
@@ -101,22 +103,22 @@ def _lowest_in_window(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def runs_of(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, length, anchor) of the runs of string positions that share their smallest q-gram."""
+def pieces_of(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, length, begin of the bytes that their strings share) of the pieces: positions with one anchor and step."""
     width = SPAN - GRAM + 1
     if len(grams) < width:
         return (np.empty(0, np.int64),) * 3
     at = np.arange(len(grams), dtype=np.uint64)
     low = _lowest_in_window((grams & np.uint64(0xFFFFFFFF00000000)) | at, width)
     pick = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, pick[1:] != pick[:-1]])
-    return first, np.diff(np.r_[first, len(pick)]), pick[first]
+    step = (pick - np.arange(len(pick))) // STEP
+    first = np.flatnonzero(np.r_[True, (pick[1:] != pick[:-1]) | (step[1:] != step[:-1])])
+    return first, np.diff(np.r_[first, len(pick)]), pick[first] - step[first] * STEP
 
 
-def _every(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, number of its unit) for all positions of units."""
-    unit = np.repeat(np.arange(len(first)), length)
-    return first[unit] + np.arange(len(unit)) - np.repeat(np.cumsum(length) - length, length), unit
+def _every(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All positions of units."""
+    return np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
 
 
 def _settled_here(bucket: np.ndarray, unit: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -157,8 +159,9 @@ def _chunks(parts: Iterator[tuple]) -> Iterator[list[np.ndarray]]:
         held.append(part)
         size += len(part[0])
         if size > _CHUNK:
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            full = [np.concatenate(x) for x in zip(*held, strict=True)]
             held, size = [], 0
+            yield full
     if held:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
@@ -168,29 +171,13 @@ def _rows_of(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
         yield from zip(*(pdf[c] for c in columns), strict=True)
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def parts():
         for i, data in _rows_of(batches, "id", "body"):
             grams = gram_ids(data)
-            first, length, anchor = runs_of(grams)
+            first, length, core = pieces_of(grams)
             if len(first):
-                yield grams[anchor], _unit_ids(grams, first, length), np.full(len(first), i, np.int64), first, length
-    for chunk in _chunks(parts()):
-        yield _rows(*chunk)
-
-
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def parts():
-        for i, data, spots in _rows_of(batches, "id", "body", "spots"):
-            grams = gram_ids(data)
-            first, length, anchor = runs_of(grams)
-            mine = np.searchsorted(first, np.sort(np.asarray(spots, np.int64)) // _SHIFT)
-            at, unit = _every(first[mine], length[mine])
-            part = (anchor[mine][unit] - at) // STEP
-            head = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (part[1:] != part[:-1])])
-            size = np.diff(np.r_[head, len(at)])
-            core = refined(grams, anchor[mine][unit[head]] - part[head] * STEP, _CORE)
-            yield core, _unit_ids(grams, at[head], size), np.full(len(head), i, np.int64), at[head], size
+                yield refined(grams, core, _CORE), _unit_ids(grams, first, length), np.full(len(first), i, np.int64), first, length
     for chunk in _chunks(parts()):
         yield _rows(*chunk)
 
@@ -199,7 +186,7 @@ def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def parts():
         for i, data, spots in _rows_of(batches, "id", "body", "spots"):
             s = np.sort(np.asarray(spots, np.int64))
-            at, _ = _every(s // _SHIFT, s % _SHIFT)
+            at = _every(s // _SHIFT, s % _SHIFT)
             string = refined(gram_ids(data), at, _WHOLE)
             one = np.ones(len(at), np.int64)
             yield string, one.view(np.uint64), np.full(len(at), i, np.int64), at, one
@@ -207,24 +194,25 @@ def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _rows(*chunk)
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for i, data, spots, copied in zip(pdf["id"], pdf["body"], pdf["spots"], pdf["copied"], strict=True):
-            n = len(data)
-            edge = np.zeros(n + 1, np.int64)
-            if copied and n >= SPAN:
-                edge[0], edge[n] = 1, -1
-            elif spots is not None and len(spots):
-                s = np.asarray(spots, dtype=np.int64)
-                np.add.at(edge, s // _SHIFT, 1)
-                np.add.at(edge, s // _SHIFT + s % _SHIFT + SPAN - 1, -1)
-            gone = np.cumsum(edge[:n]) > 0
-            left = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if n else 0
-            rows.append((i, n, int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left,
-                         left.decode("utf-8", "ignore")))
-        yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "left", "kept_text"])
+@F.pandas_udf(T.StructType([T.StructField(name, kind) for name, kind in (
+    ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()),
+    ("left", T.BinaryType()), ("kept_text", T.StringType()))]))
+def _cut(body: pd.Series, spots: pd.Series, copied: pd.Series) -> pd.DataFrame:
+    rows = []
+    for data, where, whole in zip(body, spots, copied, strict=True):
+        n = len(data)
+        edge = np.zeros(n + 1, np.int64)
+        if whole and n >= SPAN:
+            edge[0], edge[n] = 1, -1
+        elif where is not None and len(where):
+            s = np.asarray(where, dtype=np.int64)
+            np.add.at(edge, s // _SHIFT, 1)
+            np.add.at(edge, s // _SHIFT + s % _SHIFT + SPAN - 1, -1)
+        gone = np.cumsum(edge[:n]) > 0
+        left = np.frombuffer(data, np.uint8)[~gone].tobytes()
+        spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if n else 0
+        rows.append((n, int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left, left.decode("utf-8", "ignore")))
+    return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "left", "kept_text"])
 
 
 _UNITS = "bucket long, unit long, id long, spot long"
@@ -246,8 +234,8 @@ def _open(refined_units: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(todo, "id")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256, left, kept_text) for every row.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, left, kept_text) and the columns ``keep`` for every row.
 
     ``left`` is what remains, ``kept_text`` the same without characters that lost a byte.
 
@@ -256,19 +244,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     out; rows with equal keys don't remove each other's bytes. An empty table
     gives no rows; other columns are ignored.
     """
-    src = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
-                      ).filter("id is not null")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("__text__"), *(F.col(c).alias(f"__{n}__") for n, c in enumerate(keep)
+                                                                                if c != text)).filter("id is not null")
+    body = F.coalesce(F.col("__text__"), F.lit("")).cast("binary")
+    src = rows.select("id", body.alias("body"))
     mark = F.struct(F.xxhash64("body").alias("h"), F.crc32("body").alias("c"), F.octet_length("body").alias("n"))
     ids = src.select("id", mark.alias("mark"))
     first = ids.groupBy("mark").agg(F.min("id").alias("rep"))
     copies = stored(ids.join(first, "mark").filter("id > rep").select("id").distinct(), "copies")
     single = src.join(copies, "id", "left_anti")
-    runs = _refine(single.mapInPandas(_runs, _UNITS), "runs")
-    pieces = _refine(_open(runs, single).mapInPandas(_pieces, _UNITS), "pieces")
+    pieces = _refine(single.mapInPandas(_pieces, _UNITS), "pieces")
     strings = _refine(_open(pieces, single).mapInPandas(_positions, _UNITS), "strings")
-    every = runs.unionByName(pieces).unionByName(strings).filter("gone")
+    every = pieces.unionByName(strings).filter("gone")
     gone = every.groupBy("id").agg(F.collect_list("spot").alias("spots"))
-    found = src.join(gone, "id", "left").join(copies.withColumn("copied", F.lit(True)), "id", "left")
-    cut = found.withColumn("copied", F.coalesce("copied", F.lit(False))).mapInPandas(
-        _cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, left binary, kept_text string")
-    return cut.withColumnRenamed("id", key)
+    found = rows.join(gone, "id", "left").join(copies.withColumn("copied", F.lit(True)), "id", "left")
+    cut = found.withColumn("cut", _cut(body, "spots", F.coalesce("copied", F.lit(False))))
+    return cut.select(F.col("id").alias(key), "cut.*", *(
+        F.col("__text__" if c == text else f"__{n}__").alias(c) for n, c in enumerate(keep)))

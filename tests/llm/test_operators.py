@@ -155,6 +155,25 @@ def test_settled_here():
     assert got.tolist() == [True, False, False, False, False]
 
 
+def test_suffix_dedup_of_one_word_group_in_many_texts(spark, monkeypatch):
+    """A q-gram in unlike surroundings is no reason to look at its strings again: such units would grow with the square of the rows."""
+    r = random.Random(17)
+    noise = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(70))
+    corpus = [(i, noise() + "sixteen byte gram and" + noise()) for i in range(200)]
+    units, refine = [], suffix_dedup._refine
+    monkeypatch.setattr(suffix_dedup, "_refine", lambda *x: units.append(refine(*x)) or units[-1])
+    check_repeats(by_id(suffix_dedup.remove_repeats(spark.createDataFrame(corpus, "doc_id long, text string"))), corpus)
+    assert [u.filter("mixed and not gone").count() for u in units] == [0] * len(units)
+
+
+def test_suffix_dedup_passes_columns_along(spark):
+    rows = [(3, None, 1.5, "a"), (5, "é" * 40, None, None), (9, "x" + "é" * 40, 2.5, "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, id double, n_bytes_ string")
+    got = by_id(suffix_dedup.remove_repeats(frame, keep=["text", "id", "n_bytes_"]))
+    assert {i: (x.text, x.id, x.n_bytes_) for i, x in got.items()} == {i: tuple(x) for i, *x in rows}
+    assert [got[i].n_removed for i in (3, 5, 9)] == [0, 0, 80] and got[9].kept_text == "x"
+
+
 def test_packing_round_trip(docs, none, corpus):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(tokenizer_path())
@@ -349,6 +368,36 @@ def test_pipeline_rows(spark, tmp_path):
     assert Counter(i for i, _ in n) == Counter(i for i, _ in left)
 
 
+def test_pipeline_leaves_only_numbers(spark, tmp_path):
+    """Rows with an id of their own are not written for their number, and what was stored to find rows that go is deleted."""
+    import os
+
+    import corpus_pipeline
+    from tabsight.session import ensure_checkpoint_dir
+    r = random.Random(3)
+    words = lambda n: " ".join("".join(r.choice("abcdefghi") for _ in range(r.randint(3, 8))) for _ in range(n))
+    rows = [(i, words(30) + (" you idiot" if i % 4 == 0 else "")) for i in range(160)]
+    rows += [(200, rows[5][1]), (201, words(9) + " " + rows[6][1]), (202, None), (203, "")]
+    spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, "
+                          "n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, rows[7][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    scratch = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "scratch")
+    there = lambda: set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
+    got, sizes, kinds = spark.read.parquet(f"{tmp_path}/documents.parquet"), [], []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = there()
+        out = stage(spark, got, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        got = spark.read.parquet(f"{tmp_path}/{name}")
+        sizes.append(got.count())
+        kinds.append(sorted(x.rsplit("-", 1)[0] for x in there() - before))
+    assert sizes == [124, 123, 123, 122]
+    assert [kinds[k] for k in (0, 1, 3)] == [["gone"]] * 3
+    assert all(x.row_id == x.doc_id for x in got.collect())
+
+
 def test_sharding(docs, none, corpus):
     rows = sharding.shard_documents(docs).collect()
     assert len(rows) == len(corpus) and all(0 <= r.shard < 40 and r.grown_shard in (r.shard, 40) for r in rows)
