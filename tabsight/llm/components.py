@@ -9,11 +9,10 @@ from tabsight.llm.common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
+    """Every larger neighbour of a node is linked to the smallest of the node and its neighbours; a row a link."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .filter("u <> v").distinct())
+    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -24,27 +23,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"),
-                    F.bit_xor(F.xxhash64("v", "u")).alias("y")).first()
-    return row["n"], row["x"], row["y"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is either linked to one smaller node or smaller than all its neighbours: no round changes that."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.count(F.lit(1)).alias("n"))
+    return not nodes.agg(F.sum(F.expr("if(ups > 0 and n > 1, 1, 0)"))).first()[0]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node with a link to another node.
 
     ``edges`` are undirected; null ends and loops are ignored, an empty frame
-    gives no rows. Each round is written to the shared folder in place of the one before; the driver sees
-    three numbers a round. Hubs cost one row a link: minima are aggregates
+    gives no rows. They are written first unless they are a stored frame, which stays. Each round is written to
+    the shared folder in place of the one before; the driver sees
+    one number a round. Hubs cost one row a link: minima are aggregates
     joined back, no neighbour list is gathered.
     """
-    e = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "links")
-    seen = _digest(e)
+    own = not hasattr(edges, "stored_at")
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
+    e = stored(e, "links") if own else e
     while True:
         before, e = e, stored(_small_star(_large_star(e)), "stars")
-        discard(before)
-        now = _digest(e)
-        if now == seen:
+        if own:
+            discard(before)
+        own = True
+        if _settled(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = now

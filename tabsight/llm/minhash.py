@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import discard, stored
+from tabsight.llm.common import discard, lean, stored
 from tabsight.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -75,6 +75,7 @@ def _packed(sig: np.ndarray) -> bytes:
     return (sig & np.uint32(255)).astype(np.uint8).tobytes() + (sig >> np.uint32(8)).astype(np.uint8).tobytes()
 
 
+@lean
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ids, sizes, sets, sigs = [], [], [], []
@@ -124,13 +125,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """The stored ``pairs`` (a, b) that agree on their signatures and then on their full shingle sets, stored in their place."""
-    ends = _ends(pairs)
-    s = sigs.select("id", F.substring("sig", 1, HASHES).alias("sig")).join(ends, "id", "left_semi")
+    s = sigs.select("id", F.substring("sig", 1, HASHES).alias("sig"))
     near = stored(pairs.join(s.withColumnsRenamed({"id": "a", "sig": "sa"}), "a")
                   .join(s.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
                   .filter(_agree("sa", "sb") >= MIN_AGREE).select("a", "b"), "near")
     discard(pairs)
-    discard(ends)
     ends = _ends(near)
     t = texts.join(ends, "id", "left_semi")
     out = stored(near.join(t.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
@@ -142,7 +141,11 @@ def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _mixed_buckets(inside: DataFrame, found: DataFrame) -> DataFrame:
-    """(band, h, id, n, lo, c, members) of the buckets with members of several components; one of buckets with the same members."""
+    """(band, h, id, n, lo, c, members) of the buckets with members of several components; one of buckets with the same members.
+
+    ``inside`` holds all buckets, or those that were mixed before: components only grow together.
+    """
+    inside = inside.select("band", "h", "id", "n", "lo")
     owned = inside.join(found.withColumnsRenamed({"node": "id", "component": "c"}), "id")
     mixed = owned.groupBy("band", "h").agg(
         F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("members"), F.min("id").alias("least"),
@@ -170,6 +173,7 @@ def _rest(left: DataFrame) -> DataFrame:
     return x.join(y, ["band", "h"]).filter(F.expr("a < b and ca <> cb") & _fit("na", "nb")).select("a", "b")
 
 
+@lean
 def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sets = [shingle_hashes(t) for t in pdf["text"]]
@@ -230,7 +234,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rep = full.groupBy("same").agg(F.min("id").alias("rep"))
     member = stored(full.select("id", "same").join(rep, "same").select("id", "rep"), "copies")
     one = full.join(rep, (F.col("id") == F.col("rep")) & full["same"].eqNullSafe(rep["same"]), "left_semi")
-    one = one.dropDuplicates(["id"]).select("id", "n", "sig")
+    one = stored(one.dropDuplicates(["id"]).select("id", "n", "sig"), "representatives")
     entries = one.select("id", "n", F.posexplode(_bands("sig")).alias("band", "h"))
     box = entries.groupBy("band", "h").agg(F.min(F.struct("id", "n")).alias("lo"), F.max("id").alias("hi")).filter("lo.id < hi")
     inside = stored(entries.join(box.select("band", "h", F.col("lo.id").alias("lo"), F.col("lo.n").alias("nlo")), ["band", "h"]), "buckets")
@@ -240,29 +244,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = stored(inside.select(F.col("id").alias("node")).distinct().join(first, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")), "found")
     # Buckets that still hold several components: chosen centres first, as long as they join a good part ...
-    turn = 0
-    while True:
-        owned = _mixed_buckets(inside, found)
-        probes = stored(_probes(owned, turn), "probes")
+    left = stored(_mixed_buckets(inside, found), "left")
+    discard(inside)
+    turn, go_on = 0, not left.isEmpty()
+    while go_on:
+        probes = stored(_probes(left, turn), "probes")
         tested = probes.count()
         links = _verified(probes, one, src)
         joined = links.count()
-        found = _merged(found, links) if joined else found
-        turn += 1
-        if joined < PROBE_YIELD * tested or not joined:
-            break
+        if joined:
+            found = _merged(found, links)
+            before, left = left, stored(_mixed_buckets(left, found), "left")
+            discard(before)
+        turn, go_on = turn + 1, joined and joined >= PROBE_YIELD * tested
     # ... then all pairs across components of small buckets, and the pairs of large ones that rare shingles allow.
-    left = stored(_mixed_buckets(inside, found), "left")
-    big = stored(left.filter(F.col("members") > SMALL_BUCKET).select("id", "c").distinct(), "big")
-    prefixes = stored(_prefixes(big, src), "prefixes")
-    discard(big)
-    rest = stored(_rest(left).union(_rare_pairs(prefixes)).distinct(), "rest")
-    discard(prefixes)
+    if not left.isEmpty():
+        big = stored(left.filter(F.col("members") > SMALL_BUCKET).select("id", "c").distinct(), "big")
+        prefixes = stored(_prefixes(big, src), "prefixes")
+        discard(big)
+        rest = stored(_rest(left).union(_rare_pairs(prefixes)).distinct(), "rest")
+        discard(prefixes)
+        more = _verified(rest, one, src)
+        if not more.isEmpty():
+            found = _merged(found, more)
     discard(left)
-    more = _verified(rest, one, src)
-    if not more.isEmpty():
-        found = _merged(found, more)
-    discard(inside)
+    discard(one)
     named = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "id", F.coalesce("component", "rep").alias("component"))
     named = named.groupBy("id").agg(F.min("component").alias("component"))

@@ -111,6 +111,18 @@ def test_minhash_ends_go_to_the_texts(spark):
     assert "BroadcastHashJoin" in plan(ends) and ends.count() == 400_001
 
 
+def test_components_end_with_the_round_that_settles_them(spark, monkeypatch):
+    """A stored star forest takes one written round, and no round is made to see that nothing changes."""
+    from tabsight.llm import components
+    written, write = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: written.append(name) or write(df, name))
+    star = common.stored(spark.createDataFrame([(2, 1), (3, 1), (9, 8), (1, 3), (5, 5), (None, 4)], "a long, b long"), "star")
+    assert {tuple(r) for r in components.components(star).collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
+    assert written == ["stars"] and star.count() == 6
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {tuple(r) for r in components.components(chain).collect()} == {(i, 0) for i in range(41)}
+
+
 def check_repeats(got, corpus):
     seen = set()
     for i, t in corpus:
