@@ -20,6 +20,9 @@ from tabsight.llm.queries import tokenizer_path
 ORACLE_SQL = None
 
 
+#: Words of one generation that a worker of the last stage keeps: executors have come near their memory by then.
+KEPT_WORDS = 100_000
+
 #: A number for every row, in the order of ``doc_id`` (null ones last) and text: ids may be null or occur again.
 ROW = "row_id"
 
@@ -81,7 +84,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences; pieces of one document share id and row number."""
     docs = numbered(docs)
-    pieces = packing.pack(docs, tokenizer_path(), ROW)
+    pieces = packing.pack(docs, tokenizer_path(), ROW, kept=KEPT_WORDS)
     rest = [c for c in pieces.columns if c != ROW]
     return pieces.join(docs.select(ROW, "doc_id"), ROW).select("doc_id", *rest, ROW)
 

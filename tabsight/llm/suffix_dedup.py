@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import stored
+from tabsight.llm.common import lean, stored, trim
 
 SPAN = 50
 GRAM = 16
@@ -45,6 +45,8 @@ _CORE = (GRAM, SPAN - STEP + 1 - GRAM)
 _SHIFT = 2**31
 #: Units of a task that are compared with each other before the shuffle.
 _CHUNK = 500_000
+#: Rows of a frame that leaves a task: it is held by pandas, Arrow and the JVM at once.
+_FRAME = 100_000
 _ODD = 0xD6E8FEB86659FD93
 _INVERSE = pow(_ODD, -1, 2**64)
 
@@ -133,23 +135,27 @@ def _settled_here(bucket: np.ndarray, unit: np.ndarray, doc: np.ndarray) -> np.n
     return out
 
 
-def _rows(bucket: np.ndarray, unit: np.ndarray, doc: np.ndarray, first: np.ndarray, length: np.ndarray) -> pd.DataFrame:
-    """Units for the shuffle; neighbours that are settled here become one row, without a unit and with a bucket of its own."""
+def _rows(bucket: np.ndarray, unit: np.ndarray, doc: np.ndarray, first: np.ndarray, length: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Units for the shuffle, in frames of bounded size; neighbours that are settled here become one row, without a unit and with a
+    bucket of its own."""
     gone = _settled_here(bucket, unit, doc)
     keep, g = np.flatnonzero(~gone), np.flatnonzero(gone)
-    out = pd.DataFrame({"bucket": bucket[keep].view(np.int64), "unit": unit[keep].view(np.int64), "id": doc[keep],
-                        "spot": first[keep] * _SHIFT + length[keep]}).astype({"unit": "Int64"})
+    for at in range(0, len(keep), _FRAME):
+        k = keep[at:at + _FRAME]
+        yield pd.DataFrame({"bucket": bucket[k].view(np.int64), "unit": unit[k].view(np.int64), "id": doc[k],
+                            "spot": first[k] * _SHIFT + length[k]})
     if not len(g):
-        return out
+        return
     apart = (doc[g][1:] != doc[g][:-1]) | (first[g][1:] != first[g][:-1] + length[g][:-1])
     heads = np.flatnonzero(np.r_[True, apart])
     size = np.add.reduceat(length[g], heads)
     head = g[heads]
     with np.errstate(over="ignore"):
         own = _mixed(doc[head].view(np.uint64) * np.uint64(_ODD) + first[head].astype(np.uint64))
-    done = pd.DataFrame({"bucket": own.view(np.int64), "unit": pd.array([None] * len(heads), "Int64"), "id": doc[head],
-                         "spot": first[head] * _SHIFT + size})
-    return pd.concat([out, done])
+    for at in range(0, len(head), _FRAME):
+        h, own_h = head[at:at + _FRAME], own[at:at + _FRAME]
+        yield pd.DataFrame({"bucket": own_h.view(np.int64), "unit": pd.array([None] * len(h), "Int64"), "id": doc[h],
+                            "spot": first[h] * _SHIFT + size[at:at + _FRAME]})
 
 
 def _chunks(parts: Iterator[tuple]) -> Iterator[list[np.ndarray]]:
@@ -171,6 +177,7 @@ def _rows_of(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
         yield from zip(*(pdf[c] for c in columns), strict=True)
 
 
+@lean
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def parts():
         for i, data in _rows_of(batches, "id", "body"):
@@ -179,9 +186,10 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(first):
                 yield refined(grams, core, _CORE), _unit_ids(grams, first, length), np.full(len(first), i, np.int64), first, length
     for chunk in _chunks(parts()):
-        yield _rows(*chunk)
+        yield from _rows(*chunk)
 
 
+@lean
 def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def parts():
         for i, data, spots in _rows_of(batches, "id", "body", "spots"):
@@ -191,7 +199,7 @@ def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             one = np.ones(len(at), np.int64)
             yield string, one.view(np.uint64), np.full(len(at), i, np.int64), at, one
     for chunk in _chunks(parts()):
-        yield _rows(*chunk)
+        yield from _rows(*chunk)
 
 
 @F.pandas_udf(T.StructType([T.StructField(name, kind) for name, kind in (
@@ -212,6 +220,7 @@ def _cut(body: pd.Series, spots: pd.Series, copied: pd.Series) -> pd.DataFrame:
         left = np.frombuffer(data, np.uint8)[~gone].tobytes()
         spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if n else 0
         rows.append((n, int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left, left.decode("utf-8", "ignore")))
+    trim()
     return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "left", "kept_text"])
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import stored
+from tabsight.llm.common import lean, stored
 
 #: Letters that a sign may stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -38,7 +38,7 @@ ALPHABET = 80
 TRAINING_ROWS = 20_000
 MIN_SUPPORT, MIN_LIFT, MIN_CHI2 = 4, 3.0, 25.0
 FOLDS = 5
-_CACHE = 300_000
+_CACHE = 100_000
 _BARE_SIGNS = ".,;:?-_~`'^\")]}>"
 _LETTER = re.compile(r"[^\W\d_]")
 _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
@@ -151,6 +151,7 @@ class Restorer:
         return out
 
 
+@lean
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         c: Counter = Counter()
@@ -159,6 +160,7 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"word": list(c.keys()), "n": list(c.values())})
 
 
+@lean
 def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Three signs of a word, blanks for its ends, with their weight."""
     table: Counter = Counter()
@@ -207,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: tuple[np.ndarray, str], key:
     y = y.orderBy(F.xxhash64("id"), "id").limit(rows)
     train = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(y, "id")
 
+    @lean
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restore = Restorer(*model)
         for pdf in batches:
@@ -235,6 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: tuple[np.ndarray, str], key:
 def score(docs: DataFrame, model: tuple[np.ndarray, str], bias: float, weights: dict[str, float], key: str = "doc_id",
           text: str = "text") -> DataFrame:
     """(key, score): the logistic of bias and the weights of the restored words present; null texts are empty."""
+    @lean
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restore = Restorer(*model, only=weights.keys())
         for pdf in batches:

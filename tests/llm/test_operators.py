@@ -207,6 +207,27 @@ def test_packing_round_trip(docs, none, corpus):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
+def test_repeats_leave_tasks_in_bounded_frames(monkeypatch):
+    """Frames of a chunk hold few rows, and together the units that no smaller document settles and the settled runs."""
+    monkeypatch.setattr(suffix_dedup, "_FRAME", 4)
+    bucket = np.arange(10, dtype=np.uint64).repeat(2)
+    doc, first = np.tile(np.array([1, 2]), 10), np.arange(10).repeat(2) * 3
+    frames = list(suffix_dedup._rows(bucket, bucket, doc, first, np.full(20, 2)))
+    assert max(map(len, frames)) <= 4
+    rows = [r for f in frames for r in f.itertuples(index=False)]
+    assert sorted(r.spot for r in rows if r.id == 1) == sorted(r.spot for r in rows if r.id == 2) == [k * 3 * 2**31 + 2 for k in range(10)]
+
+
+def test_packing_keeps_few_words():
+    """Ids are the tokenizer's when words come again after they were dropped."""
+    from tokenizers import Tokenizer
+    tokenizer, words = Tokenizer.from_file(tokenizer_path()), packing.WordTokenizer(tokenizer_path(), kept=20)
+    for _ in range(3):
+        some = [prose(30), "", "it's  don''t 12ab½ É!", " x\ty\x0bz ", "\u3000 naïve\u0301 <|endoftext|>", prose(5)]
+        assert [x.tolist() for x in words.encode(some)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+        assert len(words.known) <= 20 and len(words.pieces) <= 20
+
+
 def test_packing_limits():
     bins = packing.pack_block([(10, 10, 0), (10, 0, 1), (7, 7, 2), (1, 0, 3)], 16, 2, 8)
     assert sum(t for b in bins for _, _, t in b) == 28
