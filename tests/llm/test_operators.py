@@ -178,6 +178,49 @@ def test_suffix_dedup_of_one_word_group_in_many_texts(spark, monkeypatch):
     assert [u.filter("mixed and not gone").count() for u in units] == [0] * len(units)
 
 
+def test_suffix_dedup_units_travel_packed():
+    """Packed units are the same afterwards, settled ones too, and take few bytes; ids and spots may have any size."""
+    import numpy as np
+    r = np.random.default_rng(3)
+    n = 60_000
+    bucket = r.integers(0, 2**64, n // 2, np.uint64)[r.integers(0, n // 2, n)] & suffix_dedup._BRIEF
+    unit, doc = r.integers(0, 2**64, 9, np.uint64)[r.integers(0, 9, n)], r.integers(0, 3000, n)
+    for ids, first, length in ((doc, r.integers(0, 30_000, n), r.integers(1, 19, n)),
+                               (r.integers(-2**63, 2**63 - 1, 3000)[doc], r.integers(0, 2**31 - 60, n), r.integers(1, 2**31 - 60, n))):
+        size, kinds = 0, set()
+        for frame in suffix_dedup._rows(bucket, unit, ids, first, length):
+            packed = suffix_dedup._packed(frame)
+            b, u, i, spot = suffix_dedup._unpacked(*(packed[c] for c in ("part", "n", "id0", "radix")), packed["widths"][0], packed["data"])
+            settled = frame["unit"].isna().all()
+            kinds.add(settled)
+            assert packed["settled"].eq(settled).all() and (packed["part"].is_unique or settled)
+            want = zip(frame["id"], frame["spot"], *(() if settled else (frame["bucket"], frame["unit"])), strict=True)
+            assert sorted(want) == sorted(zip(*(x.tolist() for x in ((i, spot) if settled else (
+                i, spot, b.view(np.int64), u.view(np.int64)))), strict=True))
+            size += packed["data"].map(len).sum()
+        assert kinds == {True, False} and (first.max() > 2**20 or size < 22 * n)
+
+
+def test_suffix_dedup_looks_at_whole_parts(spark, monkeypatch):
+    """Chunks of a few units give what one chunk gives; the shares divide the pieces."""
+    import pandas as pd
+    r = random.Random(23)
+    base = [prose(30) for _ in range(6)]
+    corpus = [(i * 3 - 9, r.choice(base)[r.randrange(80):] + prose(r.randint(1, 5)) + r.choice(base)[:r.randint(40, 120)]) for i in range(40)]
+    pdf = pd.DataFrame([(i, t.encode()) for i, t in corpus], columns=["id", "body"])
+    shares = [sum(f["n"].sum() for f in suffix_dedup._pieces(k)([pdf])) for k in range(suffix_dedup._SHARES)]
+    assert min(shares) > 0 and max(shares) < 0.8 * sum(shares)
+    packed = [f for k in range(suffix_dedup._SHARES) for f in suffix_dedup._pieces(k)([pdf.iloc[at:at + 7] for at in (0, 7, 14, 21, 28, 35)])]
+    rows = pd.concat(packed).sort_values("part", kind="stable")
+    met = lambda: sorted(x for f in suffix_dedup._meet([rows]) for x in f.itertuples(index=False, name=None))
+    want = met()
+    for size in (1, 50):
+        monkeypatch.setattr(suffix_dedup, "_CHUNK", size)
+        monkeypatch.setattr(suffix_dedup, "_FRAME", size)
+        assert met() == want and any(x[2] for x in want) and any(x[3] for x in want)
+    check_repeats(by_id(suffix_dedup.remove_repeats(spark.createDataFrame(corpus, "doc_id long, text string").repartition(4))), corpus)
+
+
 def test_suffix_dedup_passes_columns_along(spark):
     rows = [(3, None, 1.5, "a"), (5, "é" * 40, None, None), (9, "x" + "é" * 40, 2.5, "b")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, id double, n_bytes_ string")
